@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,34 @@ def map_columns(df: DataFrame, columns: list[str], fn: Callable[..., Iterator[di
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Iterator[pa.Table]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """Deal rows out by `keys`, sort them by keys and `order` within partitions, and apply
+    `fn` to each group, given as an iterator of tables so that a group need not fit in memory."""
+    kind = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch])
+            own = [part[k].to_numpy() for k in keys]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in own], axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, part.num_rows], strict=True):
+                yield tuple(c[a] for c in own), part.slice(a, b - a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: dict[str, list] = {f.name: [] for f in arrow}
+        for _, group in itertools.groupby(parts(batches), key=lambda p: p[0]):
+            tables = (t for _, t in group)
+            for out in fn(tables):
+                for name, values in out.items():
+                    pending[name].extend(values)
+                if len(pending[arrow[0].name]) >= 8192:
+                    yield pa.RecordBatch.from_arrays([pa.array(pending[f.name], f.type) for f in arrow], schema=arrow)
+                    pending = {f.name: [] for f in arrow}
+        yield pa.RecordBatch.from_arrays([pa.array(pending[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docprov.llm import html, mixing, packing, pii, quality, secrets, sharding, toxicity
+from docprov.llm import html, jaccard, mixing, packing, pii, quality, ranges, secrets, sharding, toxicity
 from docprov.llm.common import table
 from docprov.session import attach
 
@@ -43,6 +43,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.withColumn("spans", spans).select(F.col("path").alias("doc_id"), *counts, F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -70,12 +74,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "lang_threshold", "toxic")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mixing, op2_quality, op3_sharding, op4_packing, op5_secrets, op7_pii, op8_toxicity, op10_html)
+    named = (op1_mixing, op2_quality, op3_sharding, op4_packing, op5_secrets, op6_embeddings, op7_pii, op8_toxicity, op9_jaccard, op10_html)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(attach(spark), sf_dir)) for f in named}
 
 
