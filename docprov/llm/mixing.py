@@ -20,14 +20,16 @@ an empty result; other columns are dropped.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docprov.llm.common import staged, word_count
+from docprov.llm.common import WORD, staged, word_count
 
+WORDS = re.compile(WORD)
 CHUNK = 4096
 
 
@@ -180,3 +182,45 @@ def mix_totals(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     taken: Column = F.sum(F.col("piece_words") * F.coalesce("uses", F.lit(0))).cast("long")
     out = joined.groupBy("source_no", "bucket", "rank", "doc_id", "source", "size", "source_size", "target").agg(taken.alias("taken"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 128, n_shards: int = 64, seed: int = 17, length: str | None = None) -> DataFrame:
+    """The mix as documents: a row for each round in which the mix uses any of a document,
+    with its columns and, where only some blocks are used, the text of these: runs of words
+    as they stand, joined by line feeds. `length` names a column to set to the new length.
+    Rows equal in id and text are mixed one by one; what their other columns hold is taken
+    from one of them."""
+    sizes = sized(docs)
+    sources, slots = mix_plan(sizes, weights, share, most, block, n_shards, seed)
+    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
+    used = _pieces(sizes, sources, block).where("block is not null").join(uses, ["source_no", "block"])
+    rounds = used.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
+    part = F.struct("piece_start", "piece_words")
+    wanted = rounds.groupBy("source_no", "bucket", "rank", "doc_id", "check", "size", "round").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    # A document taken whole keeps its text as it is.
+    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + p.piece_words) == F.col("size")
+    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.when(~whole, F.col("parts")).alias("__parts"))
+    one = docs.withColumn("__own", F.xxhash64("text")).dropDuplicates(["doc_id", "__own"])
+    both = one.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__check")))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([t if p is None else words_of(t, [(x["piece_start"], x["piece_words"]) for x in p]) for t, p in zip(texts, parts, strict=True)], dtype=object)
+
+    text = F.when(F.col("__parts").isNull(), F.col("text")).otherwise(cut("text", "__parts"))
+    both = both.withColumn("text", text)
+    if length:
+        both = both.withColumn(length, F.when(F.col("__parts").isNull(), F.col(length)).otherwise(F.length("text").cast(docs.schema[length].dataType)))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def words_of(text: str, parts: list[tuple[int, int]]) -> str:
+    """The words at some ranges of a text, neighbouring ranges as one run."""
+    runs: list[list[int]] = []
+    for start, n in parts:
+        if runs and runs[-1][1] == start:
+            runs[-1][1] = start + n
+        else:
+            runs.append([start, start + n])
+    spans = [m.span() for m in WORDS.finditer(text)]
+    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs)

@@ -131,33 +131,58 @@ def group_count(docs: DataFrame, limits: Limits = Limits(), group_rows: int = 40
     return max(1, math.ceil((found.n + (found.bytes or 0) / most) / group_rows))
 
 
+def _packed(group: pa.Table, limits: Limits) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A group's pieces in the order of its sequences, with each one's sequence and offset."""
+    group = group.sort_by([("order_no", "ascending"), ("start", "ascending"), ("length", "ascending")])
+    sequence, place = assign(group["length"].to_numpy(), group["loss"].to_numpy(), limits)
+    order = np.lexsort((place, sequence))
+    group, sequence, place = group.take(pa.array(order)), sequence[order], place[order]
+    length = group["length"].to_numpy()
+    before = np.cumsum(length) - length
+    first = np.flatnonzero(place == 0)
+    offset = before - np.repeat(before[first], np.diff([*first, len(order)]))
+    return group, sequence + group["group_no"][0].as_py() * (1 << 32), offset
+
+
+def _dealt(rows: DataFrame, groups: int, key: str, keep: list[str]) -> DataFrame:
+    # Start and checksum keep the pieces of repeated keys apart.
+    spread = F.xxhash64(key, "start", "ids_crc32")
+    return rows.select(F.pmod(spread, F.lit(groups)).cast("long").alias("group_no"), F.xxhash64(spread).alias("order_no"), "loss", *keep).groupBy("group_no")
+
+
 def pack(rows: DataFrame, groups: int, limits: Limits = Limits(), key: str = "doc_id", payload: tuple[str, ...] = ()) -> DataFrame:
     """Adds sequence_id and offset to pieces; `payload` names further columns to carry."""
     keep = [key, "start", "length", *payload]
-    # Start and checksum keep the pieces of repeated keys apart.
-    spread = F.xxhash64(key, "start", "ids_crc32")
-    dealt = rows.select(F.pmod(spread, F.lit(groups)).cast("long").alias("group_no"), F.xxhash64(spread).alias("order_no"), "loss", *keep)
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("order_no", "ascending"), ("start", "ascending"), ("length", "ascending")])
-        length = group["length"].to_numpy()
-        sequence, place = assign(length, group["loss"].to_numpy(), limits)
-        order = np.lexsort((place, sequence))
-        before = np.cumsum(length[order]) - length[order]
-        first = np.flatnonzero(place[order] == 0)
-        offset = before - np.repeat(before[first], np.diff([*first, len(order)]))
-        out = group.select(keep).take(pa.array(order))
-        ids = sequence[order] + group["group_no"][0].as_py() * (1 << 32)
-        return out.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+        group, sequence, offset = _packed(group, limits)
+        return group.select(keep).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return dealt.groupBy("group_no").applyInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return _dealt(rows, groups, key, keep).applyInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(sequence_id, n_tokens, n_segments, ids, doc_ids): the packed ids themselves."""
+    """(sequence_id, n_tokens, n_segments, ids, keys, lengths): the packed ids themselves,
+    and whose pieces they are, in order."""
     rows = pieces(docs, limits, True, key, text)
-    placed = pack(rows, group_count(docs, limits, text=text), limits, key, ("ids",))
-    part = F.struct("offset", "ids", F.col(key).alias("doc"))
-    out = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.sum("length").alias("n_tokens"), F.count("*").alias("n_segments"))
-    return out.select("sequence_id", "n_tokens", "n_segments", F.flatten(F.transform("parts", lambda p: p.ids)).alias("ids"), F.transform("parts", lambda p: p.doc).alias("doc_ids"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group, sequence, offset = _packed(group, limits)
+        first = np.append(np.flatnonzero(offset == 0), len(sequence))
+        ids = group["ids"].combine_chunks()
+        cuts = ids.offsets.to_numpy()
+        length = group["length"].to_numpy()
+        columns = [
+            pa.array(sequence[first[:-1]], pa.int64()),
+            pa.array(np.add.reduceat(length, first[:-1]), pa.int64()),
+            pa.array(np.diff(first), pa.int64()),
+            pa.ListArray.from_arrays(pa.array(cuts[first], pa.int32()), ids.values),
+            pa.ListArray.from_arrays(pa.array(first, pa.int32()), group[key].combine_chunks()),
+            pa.ListArray.from_arrays(pa.array(first, pa.int32()), group["length"].combine_chunks()),
+        ]
+        return pa.Table.from_arrays(columns, names=["sequence_id", "n_tokens", "n_segments", "ids", "keys", "lengths"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    dealt = _dealt(rows, group_count(docs, limits, text=text), key, [key, "start", "length", "ids"])
+    return dealt.applyInArrow(run, f"sequence_id long, n_tokens long, n_segments long, ids array<int>, keys array<{kind}>, lengths array<long>")

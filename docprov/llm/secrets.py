@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docprov.llm.common import map_columns, staged
@@ -40,6 +40,8 @@ ORDER = {k: i for i, k in enumerate(RULES)}
 #: Up to this many paths to scan are sent to all tasks (16 bytes and a hash each, 12 MB at
 #: most); beyond it both sides are shuffled.
 SMALL = 100_000
+#: Findings of up to so many bytes are sent to all tasks.
+SMALL_BYTES = 8_000_000
 
 SPANS = "array<struct<start: int, end: int, kind: string>>"
 
@@ -74,8 +76,8 @@ def unscanned(paths: DataFrame, ledger: DataFrame | None, rules: dict[str, int])
 def scan_blobs(docs: DataFrame, todo: DataFrame, rules: dict[str, int]) -> DataFrame:
     """New rows of the ledger: (blob, kind, version, spans) for each pair scanned. Blobs
     are scanned once each, also where one path holds a blob in several rows."""
-    few = todo.limit(SMALL + 1).count() <= SMALL
-    side = F.broadcast(todo) if few else todo.hint("shuffle_hash")
+    n = todo.count()
+    side = F.broadcast(todo) if n <= SMALL else todo.hint("shuffle_hash")
     texts = docs.join(side.withColumnRenamed("blob", "todo_blob").withColumnRenamed("path", "todo_path"), (F.col("path").eqNullSafe(F.col("todo_path"))) & (F.col("blob") == F.col("todo_blob")))
 
     def scan(blobs: list, texts: list, kinds: list) -> Iterator[dict[str, list]]:
@@ -106,35 +108,36 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: dict[str, int]
     return findings, full
 
 
-def ordered(spans: F.Column) -> F.Column:
+def ordered(spans: Column) -> Column:
     """Spans by start, then by kind as listed."""
     rank = F.create_map(*[x for k, i in ORDER.items() for x in (F.lit(k), F.lit(i))])
     keyed = F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.element_at(rank, s.kind).alias("rank"), s.end.alias("end"), s.kind.alias("kind")))
     return F.array_sort(keyed)
 
 
-def joined(spans: F.Column) -> F.Column:
+def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", path: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", path: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """`docs` with its columns, every found span of the text replaced by `mark`; null texts
-    stay null."""
+    stay null. `length` names a column to set to the new number of code points."""
     findings, _ = scan(docs, path=path, text=text)
-    hit = findings.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
-    keyed = docs.withColumn("__blob", F.unhex(F.sha2(F.col(text).cast("string").cast("binary"), 256)))
-    both = keyed.join(hit.select(F.col("blob").alias("__key"), F.col("spans").alias("__spans")), F.col("__blob") == F.col("__key"), "left")
-
+    hits = staged(findings.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"]))
+    size = hits.agg(F.count("*").alias("n"), F.sum(F.size("__spans")).alias("spans")).first()
+    few = 64 * (size.n + (size.spans or 0)) <= SMALL_BYTES
+    blob = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
+    both = docs.join(F.broadcast(hits) if few else hits, blob == F.col("__blob"), "left")
     covered = F.array_sort(F.transform("__spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: F.Column, s: F.Column) -> F.Column:
-        fresh = s.start >= acc.at
-        return F.struct(
-            F.when(fresh, F.concat(acc.out, F.substring(F.col(text), acc.at + 1, s.start - acc.at), F.lit(mark))).otherwise(acc.out).alias("out"),
-            F.greatest(acc.at, s.end).alias("at"),
-        )
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(F.col(text), acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))
+        out = F.when(s.start >= acc.at, F.concat(acc.out, before, F.lit(mark))).otherwise(acc.out)
+        return F.struct(out.alias("out"), F.greatest(acc.at, s.end).alias("at"))
 
-    rest = lambda acc: F.concat(acc.out, F.substring(F.col(text), acc.at + 1, F.length(text)))
-    clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.aggregate(covered, start, step, rest))
-    return both.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    clean = F.aggregate(covered, start, step, lambda acc: F.concat(acc.out, F.substring(F.col(text), acc.at + 1, F.length(F.col(text)))))
+    new = {text: F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean)}
+    if length:
+        new[length] = F.when(F.col("__spans").isNull(), F.col(length)).otherwise(F.length(clean).cast(docs.schema[length].dataType))
+    return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
