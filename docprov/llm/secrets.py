@@ -126,18 +126,19 @@ def redact(docs: DataFrame, mark: str = "[secret]", path: str = "doc_id", text:
     hits = staged(findings.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"]))
     size = hits.agg(F.count("*").alias("n"), F.sum(F.size("__spans")).alias("spans")).first()
     few = 64 * (size.n + (size.spans or 0)) <= SMALL_BYTES
-    blob = F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256))
+    own = docs[text]  # not F.col: that could be read as the new column of the same name
+    blob = F.unhex(F.sha2(F.coalesce(own.cast("string"), F.lit("")).cast("binary"), 256))
     both = docs.join(F.broadcast(hits) if few else hits, blob == F.col("__blob"), "left")
     covered = F.array_sort(F.transform("__spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))))
 
     def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col(text), acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))
+        before = F.substring(own, acc.at + 1, F.greatest(s.start - acc.at, F.lit(0)))
         out = F.when(s.start >= acc.at, F.concat(acc.out, before, F.lit(mark))).otherwise(acc.out)
         return F.struct(out.alias("out"), F.greatest(acc.at, s.end).alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate(covered, start, step, lambda acc: F.concat(acc.out, F.substring(F.col(text), acc.at + 1, F.length(F.col(text)))))
-    new = {text: F.when(F.col("__spans").isNull(), F.col(text)).otherwise(clean)}
+    clean = F.aggregate(covered, start, step, lambda acc: F.concat(acc.out, F.substring(own, acc.at + 1, F.length(own))))
+    new = {text: F.when(F.col("__spans").isNull(), own).otherwise(clean)}
     if length:
-        new[length] = F.when(F.col("__spans").isNull(), F.col(length)).otherwise(F.length(clean).cast(docs.schema[length].dataType))
+        new[length] = F.when(F.col("__spans").isNull(), docs[length]).otherwise(F.length(clean).cast(docs.schema[length].dataType))
     return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
