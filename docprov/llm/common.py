@@ -88,3 +88,26 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Ite
         yield pa.RecordBatch.from_arrays([pa.array(pending[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+
+
+#: Bits of a filter: 2 MB whatever the number of rows; filters of many rows pass more by chance.
+FILTER_BITS = 1 << 24
+
+
+def filter_place(h: Column) -> Column:
+    """Where a hash falls in a filter."""
+    return F.pmod(h, F.lit(FILTER_BITS)).cast("int")
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes in column h, as 64-bit words; what is collected is of fixed size."""
+    at = hashes.select(filter_place(F.col("h")).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        out[r.word] = r.bits
+    return out
+
+
+def passes(bitmap: np.ndarray, place: int) -> bool:
+    return bool(bitmap[place >> 6] >> (place & 63) & 1)

@@ -33,7 +33,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Look-alikes, spelled digits, and words for the signs of an address.
 LOOKALIKE = dict(zip("аеорсухѕіјԁһԛԝвкмнтАВЕКМНОРСТУХЅІЈαοινρτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxsijdhqwbkmhtABEKMHOPCTYXSIJaoivptuxABEZHIKMNOPTYX", strict=True))
-SIGNS = {"＠": "@", "﹫": "@", "．": ".", "․": ".", "。": ".", "＋": "+", "－": "-", "‐": "-", "‑": "-", "‒": "-", "–": "-", "（": "(", "）": ")", " ": " ", " ": " ", " ": " ", "　": " "}
+SIGNS = {"＠": "@", "﹫": "@", "．": ".", "․": ".", "。": ".", "＋": "+", "－": "-", "‐": "-", "‑": "-", "‒": "-", "–": "-", "（": "(", "）": ")", " ": " ", " ": " ", " ": " ", "　": " "}
 INVISIBLE = "­​‌‍⁠﻿"
 DIGITS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",

@@ -6,7 +6,7 @@ out the pairs that the ledger lacks, scans one copy of each such blob, and joins
 findings of old and new pairs back to every path. Rules carry a version each, so changing
 one rule scans all blobs again for that rule alone.
 
-Only hashes and ids are grouped; texts move once, and just those to be scanned.
+Only hashes and ids are grouped; texts are read where they lie and never shuffled.
 
 Defined results: null text is the empty text; a text without findings has an empty span
 list; repeated rows each get their findings; paths may be null and may repeat; an empty
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docprov.llm.common import map_columns, staged
+from docprov.llm.common import filter_place, hash_filter, map_columns, passes, staged
 
 # The rules' patterns.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -37,12 +37,10 @@ STARTS = {"private_key": ("-----BEGIN",), "web_token": ("eyJ",), "service_token"
 RULES = {"assign": 1, "access": 1, "hex": 1, "private_key": 1, "web_token": 1, "service_token": 1}
 BASE = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate(RULES)}
-#: Up to this many paths to scan are sent to all tasks (16 bytes and a hash each, 12 MB at
-#: most); beyond it both sides are shuffled.
-SMALL = 100_000
 #: Findings of up to so many bytes are sent to all tasks.
 SMALL_BYTES = 8_000_000
 
+PAIRS = "array<struct<kind: string, version: int>>"
 SPANS = "array<struct<start: int, end: int, kind: string>>"
 
 
@@ -62,49 +60,66 @@ def find(text: str, kind: str) -> list[tuple[int, int, str]]:
 
 
 def unscanned(paths: DataFrame, ledger: DataFrame | None, rules: dict[str, int]) -> DataFrame:
-    """(blob, path, kinds): a blob that misses rules in the ledger, one path that holds it,
+    """(blob, path, rules): a blob that misses rules in the ledger, one path that holds it,
     and the rules to run."""
-    versions = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v in rules.items()])
-    blobs = paths.groupBy("blob").agg(F.min_by("path", F.coalesce(F.col("path"), F.lit(-1))).alias("path"))
+    blobs = paths.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is None:
-        return blobs.withColumn("kinds", F.transform(versions, lambda r: r.kind))
-    done = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))
-    missing = F.array_except(versions, F.coalesce("done", F.array().cast("array<struct<kind: string, version: int>>")))
-    return blobs.join(done, "blob", "left").withColumn("kinds", F.transform(missing, lambda r: r.kind)).where(F.size("kinds") > 0).drop("done")
-
-
-def scan_blobs(docs: DataFrame, todo: DataFrame, rules: dict[str, int]) -> DataFrame:
-    """New rows of the ledger: (blob, kind, version, spans) for each pair scanned. Blobs
-    are scanned once each, also where one path holds a blob in several rows."""
-    n = todo.count()
-    side = F.broadcast(todo) if n <= SMALL else todo.hint("shuffle_hash")
-    texts = docs.join(side.withColumnRenamed("blob", "todo_blob").withColumnRenamed("path", "todo_path"), (F.col("path").eqNullSafe(F.col("todo_path"))) & (F.col("blob") == F.col("todo_blob")))
-
-    def scan(blobs: list, texts: list, kinds: list) -> Iterator[dict[str, list]]:
-        out: dict[str, list] = {"blob": [], "kind": [], "version": [], "spans": []}
-        for blob, text, wanted in zip(blobs, texts, kinds, strict=True):
-            for kind in wanted:
-                out["blob"].append(blob)
-                out["kind"].append(kind)
-                out["version"].append(rules[kind])
-                out["spans"].append([{"start": a, "end": b, "kind": k} for a, b, k in find(text, kind)])
+        return blobs.withColumn("rules", current(rules))
+    done = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("done"))
+    missing = F.array_except(current(rules), F.coalesce("done", F.array().cast(PAIRS)))
+    return blobs.join(done, "blob", "left").select("blob", "path", missing.alias("rules")).where(F.size("rules") > 0)
+
+
+def current(rules: dict[str, int]) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v in rules.items()])
+
+
+def of_rules(spans: Column, rules: Column) -> Column:
+    """The spans whose kind is among the rules."""
+    return F.filter(spans, lambda s: F.exists(rules, lambda r: r.kind == s.kind))
+
+
+def scan_blobs(docs: DataFrame, todo: DataFrame) -> DataFrame:
+    """(blob, spans) of the blobs in `todo` where anything is found. The rows to scan are
+    picked where they are read, by a bitmap of fixed size over (blob, path): no text moves.
+    A row that the bitmap lets pass by chance is scanned in vain, and dropped below."""
+    row = F.xxhash64("blob", "path")
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(todo.select(row.alias("h"))))
+    kinds = [r.kind for r in todo.select(F.explode("rules.kind").alias("kind")).distinct().collect()]  # at most a row a rule
+
+    def run(blobs: list, places: list, texts: list) -> Iterator[dict[str, list]]:
+        out: dict[str, list] = {"blob": [], "spans": []}
+        for blob, place, text in zip(blobs, places, texts, strict=True):
+            if passes(sent.value, place):
+                found = [s for kind in kinds for s in find(text, kind)]
+                if found:
+                    out["blob"].append(blob)
+                    out["spans"].append([{"start": a, "end": b, "kind": k} for a, b, k in found])
         yield out
 
-    return map_columns(texts, ["blob", "text", "kinds"], scan, f"blob binary, kind string, version int, spans {SPANS}")
+    found = map_columns(docs.select("blob", filter_place(row).alias("place"), "text"), ["blob", "place", "text"], run, f"blob binary, spans {SPANS}")
+    once = found.dropDuplicates(["blob"])
+    return once.join(todo.select("blob", "rules"), "blob").select("blob", of_rules(F.col("spans"), F.col("rules")).alias("spans")).where(F.size("spans") > 0)
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: dict[str, int] = RULES, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, ledger): a row (path, blob, spans) for each row of `docs`, and the ledger
-    with this scan's pairs added, both over all kinds of `rules` at their versions."""
+    with this scan added: (blob, rules, spans), a row for each scan of a blob. Findings are
+    those of the present versions of `rules`, from this scan or an earlier one."""
     versioned = docs.select(F.col(path).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     versioned = versioned.withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     paths = staged(versioned.select("path", "blob"))
-    new = staged(scan_blobs(versioned, unscanned(paths, ledger, rules), rules).dropDuplicates(["blob", "kind", "version"]))
-    full = new if ledger is None else ledger.unionByName(new)
-    current = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v in rules.items()])
-    found = full.where((F.size("spans") > 0) & F.array_contains(current, F.struct("kind", "version")))
-    per_blob = found.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a row a kind at most
-    findings = paths.join(per_blob, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    todo = staged(unscanned(paths, ledger, rules))
+    found = staged(scan_blobs(versioned, todo))
+    none = F.array().cast(SPANS)
+    new = todo.join(found, "blob", "left").select("blob", "rules", F.coalesce("spans", none).alias("spans"))
+    full, valid = new, found
+    if ledger is not None:
+        full = ledger.unionByName(new)
+        kept = F.array_intersect("rules", current(rules))
+        old = ledger.select("blob", of_rules(F.col("spans"), kept).alias("spans")).where(F.size("spans") > 0)
+        valid = old.unionByName(found).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a row a scan with findings
+    findings = paths.join(valid, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans"))
     return findings, full
 
 
