@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docprov.llm.common import staged
+
 TOKEN = re.compile(r"\w+")
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 12
 PREFIXES = (4, 5)
@@ -146,7 +148,7 @@ def fit(texts: list[str], labels: list[int], langs: list[str], cut: float = 0.7,
                 m[touched] = 0.9 * m[touched] + 0.1 * g * g
                 table[touched] -= rate * g / (np.sqrt(m[touched]) + 1e-4)
         # The pass that does best on the rows held back counts: few rows are soon learned by heart.
-        if epoch >= epochs // 3 or epoch == epochs - 1:
+        if epoch >= epochs // 2:
             table[0] = 0
             now = Model(np.concatenate([table @ conv[w][j] for w in WIDTHS for j in range(w)], axis=1), {w: b.copy() for w, b in biases.items()}, out.copy(), bias, cut=cut)
             z = np.clip(Scorer(now).logits([texts[i] for i in check]), -STEEP, STEEP)
@@ -260,15 +262,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.model.scale * z.astype(float) + self.model.shift, -STEEP, STEEP)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 3000, cut: float = 0.7, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> Model:
-    """A model from at most `max_train` rows of each label, those whose keys hash lowest."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000, cut: float = 0.7, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> Model:
+    """A model from at most `max_train` rows of each label, those whose keys hash lowest.
+    The keys are picked first, so only the texts of these rows are read out."""
     agreed = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
-    rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).join(agreed, key)
-    parts = []
-    for value in (0, 1):
-        few = rows.where(F.col("label") == value).orderBy(F.xxhash64(key), key, F.xxhash64("text")).limit(max_train)  # the bound on what is trained on
-        parts.append(few.select("text", "label", "lang").toPandas())
-    sample = pd.concat(parts)
+    there = agreed.join(docs.select(key), key, "left_semi").select(key, "label")
+    picked = [there.where(F.col("label") == value).orderBy(F.xxhash64(key), key).limit(max_train) for value in (0, 1)]  # the bound on what is trained on
+    few = staged(picked[0].unionByName(picked[1]))
+    rows = docs.select(F.col(key), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).join(F.broadcast(few), key)
+    sample = rows.groupBy(key).agg(F.min("text").alias("text"), F.min("lang").alias("lang"), F.min("label").alias("label")).toPandas().sort_values(key)
     return fit([t or "" for t in sample["text"]], [int(v) for v in sample["label"]], sample["lang"].tolist(), cut)
 
 
