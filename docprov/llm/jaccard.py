@@ -34,15 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprov.llm.common import by_group, map_columns, staged
+from docprov.llm.common import by_group, filter_place, hash_filter, map_columns, passes, staged
 from docprov.llm.components import Forest, connected_components
 
 #: Counters of the sketch: 4 MB when sent to the tasks, as logarithms of one byte.
 SKETCH = 1 << 22
 #: Counters a row while sketches are added up.
 SKETCH_PART = 1 << 14
-#: Bits of the filter for classes that have candidates: 2 MB.
-FILTER_BITS = 1 << 24
 #: Prefix shingles held by more classes are not paired up.
 LONG_LIST = 128
 #: Sets compared in one task's group.
@@ -141,8 +139,7 @@ def prefix(own: np.ndarray, levels: np.ndarray, usual: float, percent: int) -> t
         cost = size + entries + COMPARISON * entries / shared
         if cost < price:
             best, price = shared, cost
-    at = order[: first + best]
-    return own[at[level[at] > 12]], best  # a counter at 1 is a shingle that no one else holds
+    return own[order[: first + best]], best
 
 
 def _lists(docs: DataFrame, levels: np.ndarray, width: int, percent: int, key: str, text: str) -> DataFrame:
@@ -185,16 +182,6 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
     return met.where("met >= least_met").select("a", "b").unionByName(ties)
 
 
-def _filter(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of the nodes' hashes, as 64-bit words: FILTER_BITS whatever their number."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    words = nodes.select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(pmod(xxhash64(node), %d), 64) as int))" % FILTER_BITS).alias("bit"))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        out[r.word] = r.bits
-    return out
-
-
 def _compare(percent: int):  # noqa: ANN202
     def run(tables: Iterator[pa.Table]) -> Iterator[dict[str, list]]:
         group = pa.concat_tables(list(tables))
@@ -233,18 +220,18 @@ def _compare(percent: int):  # noqa: ANN202
 def links(docs: DataFrame, groups: DataFrame, width: int, percent: int, key: str, text: str, block: int = BLOCK) -> DataFrame:
     """(a, b, whole): links that span each component within a group; `whole` if the group
     was compared in one piece, so that a is the least of its component."""
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(groups))
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(groups.select(F.xxhash64("node").alias("h"))))
 
     def run(keys: list, places: list, texts: list) -> Iterator[dict[str, list]]:
         wanted, shingles = sent.value, Shingles(width)
         out: dict[str, list] = {"node": [], "shingles": []}
-        for k, at, t in zip(keys, places, texts, strict=True):
-            if wanted[at >> 6] >> (at & 63) & 1:
+        for k, place, t in zip(keys, places, texts, strict=True):
+            if passes(wanted, place):
                 out["node"].append(k)
                 out["shingles"].append(shingles.of(t).view(np.int64))
         yield out
 
-    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(FILTER_BITS)).alias("place")
+    place = filter_place(F.xxhash64(F.col(key).cast("long"))).alias("place")
     sets = map_columns(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), place, F.col(text).cast("string").alias("text")), ["node", "place", "text"], run, "node long, shingles array<long>")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
