@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprov.llm.common import by_group, filter_place, hash_filter, map_columns, passes, staged
+from docprov.llm.common import by_group, filter_place, hash_filter, map_columns, passes, staged, unstaged
 from docprov.llm.components import Forest, connected_components
 
 #: Counters of the sketch: 4 MB when sent to the tasks, as logarithms of one byte.
@@ -165,19 +165,24 @@ def _lists(docs: DataFrame, levels: np.ndarray, width: int, percent: int, key: s
     return map_columns(docs.withColumn(text, F.col(text).cast("string")), [key, text], run, f"`{key}` {kind}, n long, class_key binary, shared int, prefix array<long>")
 
 
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs of classes, of (cls, n, shared, prefix), that have to be compared, and a
-    tie from every holder of a long list to its least holder."""
+def shared_lists(reps: DataFrame) -> DataFrame:
+    """(token, cls, n, shared, holders, least): the prefix entries of classes (cls, n, shared,
+    prefix) whose shingle another class has in its prefix too."""
     entries = reps.select("cls", "n", "shared", F.explode("prefix").alias("token"))
     held = entries.groupBy("token").agg(F.count("*").alias("holders"), F.min("cls").alias("least")).where("holders > 1")
-    lists = staged(entries.join(held, "token"))
+    return entries.join(held, "token")
+
+
+def candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs of classes that have to be compared, and a tie from every holder of a
+    long list to its least holder."""
     short = lists.where(F.col("holders") <= LONG_LIST)
     x = short.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
     y = short.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
     close = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
     pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & close)
-    # Holders of a long list are tied together whatever they share of it.
     met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("s_a", "s_b")).alias("least_met"))
+    # Holders of a long list are tied together whatever they share of it.
     ties = lists.where((F.col("holders") > LONG_LIST) & (F.col("cls") != F.col("least"))).select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
     return met.where("met >= least_met").select("a", "b").unionByName(ties)
 
@@ -244,11 +249,15 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
     """(rows, moved): `rows` has (key, n, class_key) for each row; `moved` maps classes (by
     their least id) to the least id of their component, where that is another."""
     levels = sketch(docs, width, text)
-    rows = staged(_lists(docs, levels, width, percent, key, text))
+    wide = staged(_lists(docs, levels, width, percent, key, text))
+    rows = staged(wide.select(key, "n", "class_key"))
     classes = staged(rows.where(F.col("class_key").isNotNull() & F.col(key).isNotNull()).groupBy("class_key").agg(F.min(F.col(key).cast("long")).alias("cls")))
-    one = rows.select(F.col(key).cast("long").alias("cls"), F.col("class_key").alias("own_key"), "n", "shared", "prefix")
+    one = wide.select(F.col(key).cast("long").alias("cls"), F.col("class_key").alias("own_key"), "n", "shared", "prefix")
     reps = one.join(classes, "cls").where(F.col("own_key") == F.col("class_key")).select("cls", "n", "shared", "prefix")
-    groups = staged(connected_components(candidates(reps, percent)))
+    lists = staged(shared_lists(reps))
+    unstaged(wide)
+    groups = staged(connected_components(candidates(lists, percent)))
+    unstaged(lists)
     found = staged(links(docs, groups, width, percent, key, text))
     done = found.where("whole").select(F.col("b").alias("node"), F.col("a").alias("component"))
     rest = connected_components(found.where("not whole").select("a", "b"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprov.llm.common import by_group, map_columns, staged
+from docprov.llm.common import by_group, map_columns, staged, unstaged
 from docprov.llm.components import connected_components
 
 #: Vectors a pivot, natives a block, and partners compared at a time.
@@ -166,6 +166,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, max_pivots: int =
     role = F.when(F.col("native") & (F.pmod(F.xxhash64("cls"), F.col("blocks")) == F.col("block")), 0).otherwise(1)
     dealt = dealt.select(*place, "block", role.alias("role"), "cls", "copies", "v")
     found = staged(by_group(dealt, [*place, "block"], ["role", "cls"], _join(cosine), "a long, b long, n_links long"))
+    unstaged(spread)
     parts = connected_components(found.where("a <> b").select("a", "b"))
     counts = found.where("n_links is not null").select(F.col("a").alias("cls"), "n_links")
     known = classes.join(counts, "cls").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
