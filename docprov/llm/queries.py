@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docprov.llm import html, jaccard, mixing, packing, pii, quality, ranges, secrets, sharding, toxicity
 from docprov.llm.common import table
+from docprov.llm.sql import SQL
 from docprov.session import attach
 
 
@@ -88,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -248,3 +248,12 @@ def test_odd_pages(spark, trees):
     assert html.extract(pages.limit(0), trees).collect() == []
 
 
+
+
+def test_sql_gives_the_same_rows(spark, sf):
+    from docprov.llm.sql import SQL
+    from tests.compare import connection, difference
+
+    con = connection(sf)
+    for name, sql in SQL.items():
+        assert difference(queries.queries()[name](spark, sf), con, sql) == ""
