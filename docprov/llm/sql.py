@@ -69,4 +69,27 @@ by_doc AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTE
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM t LEFT JOIN by_doc USING (doc_id)"""
 
 
-SQL = {"op2_quality": quality_sql(), "op5_secrets": secrets_sql()}
+def jaccard_sql(percent: int = 80) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    leads = ", ".join(f"lead(a, {k}) OVER (PARTITION BY doc_id ORDER BY i) AS a{k}" for k in range(1, 5))
+    return f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') AS w FROM documents),
+places AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i, len(w) AS n FROM words),
+shingles AS (SELECT DISTINCT doc_id, concat_ws(' ', a, a1, a2, a3, a4) AS g FROM (SELECT *, {leads} FROM places) WHERE a4 IS NOT NULL OR (i = 1 AND n < 5)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * m >= {percent} * (p.n + q.n - m)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(lowest, doc_id)) AS component_id FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS lowest FROM reach GROUP BY 1) USING (doc_id)"""
+
+
+def ranges_sql(cosine: float = 0.98) -> str:
+    d = "list_dot_product"
+    return f"""WITH RECURSIVE sound AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE {d}(x.v, y.v) >= {cosine}::DOUBLE * sqrt({d}(x.v, x.v)) * sqrt({d}(y.v, y.v))),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(lowest, vec_id)) AS component_id, coalesce(lowest, vec_id) >= vec_id AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS lowest FROM reach GROUP BY 1) USING (vec_id)"""
+
+
+SQL = {"op2_quality": quality_sql(), "op5_secrets": secrets_sql(), "op6_embeddings": ranges_sql(), "op9_jaccard": jaccard_sql()}
