@@ -16,7 +16,8 @@ def one(spark, **columns):
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
 
 
-def mark(content=F.lit(CONTENT), corpus="gdpr-core-v1", sequence=3, secret=None):
+def mark(content=None, corpus="gdpr-core-v1", sequence=3, secret=None):
+    content = F.lit(CONTENT) if content is None else content
     return watermark.injected(content, F.lit(corpus), F.lit(sequence), text.sha256(watermark.stripped(content)), secret)
 
 

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from docprov.operators import access, jobs, store, workflow
 from docprov.streaming import worker
 
-NOW = F.lit("2024-01-02 00:00:00").cast("timestamp")
 DAY1, DAY2, DAY3 = (datetime(2024, 1, d) for d in (1, 2, 3))
 DOC = "corpus_id string, version string, organization_id string, content_hash string, title string, is_active boolean"
 CHUNK = "id int, status string, updated_at timestamp, lease_expires_at timestamp, is_active boolean, run_id string, authority_id string, error string"
 
 
+def now():
+    return F.lit("2024-01-02 00:00:00").cast("timestamp")
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, DOC)
 
@@ -38,18 +41,18 @@ def test_replacing_and_deduplicating(spark):
 def test_leases(spark):
     rows = [(1, "pending", DAY3, None, True), (2, "stale", DAY1, None, True), (3, "processing", DAY1, DAY1, True), (4, "processing", DAY1, DAY3, True), (5, "failed", DAY1, None, True), (6, "pending", DAY1, None, False)]
     state = spark.createDataFrame([(*r, "old", "a", "e") for r in rows], CHUNK)
-    after = store.claim(state, NOW, batch=2, run_id="new", authority="auth")
+    after = store.claim(state, now(), batch=2, run_id="new", authority="auth")
     got = {r.id: r for r in after.collect()}
     assert {i for i, r in got.items() if r.claimed} == {2, 3}
     assert got[2].run_id == "new" and got[2].lease_expires_at == datetime(2024, 1, 2, 0, 10) and got[2].error is None and got[1].run_id == "old"
-    second = store.claim(after.drop("claimed"), NOW, batch=9, run_id="more")
+    second = store.claim(after.drop("claimed"), now(), batch=9, run_id="more")
     assert {r.id for r in second.collect() if r.claimed} == {1}
 
 
 def test_fences(spark):
     state = spark.createDataFrame([(i, "processing", DAY1, DAY3 if i < 5 else DAY1, True, "r", "a", None) for i in range(1, 8)], CHUNK)
     results = spark.createDataFrame([(1, "r", "a", True, None), (2, "x", "a", True, None), (3, "r", "x", True, None), (4, "r", "a", False, "e" * 5000), (5, "r", "a", True, None), (6, "r", "a", False, "late")], "id int, run_id string, authority_id string, ok boolean, error string")
-    got = {r.id: r for r in store.settle(state, results, NOW).collect()}
+    got = {r.id: r for r in store.settle(state, results, now()).collect()}
     assert {i: (r.status, r.accepted) for i, r in got.items()} == {1: ("complete", True), 2: ("processing", False), 3: ("processing", False), 4: ("failed", True), 5: ("processing", False), 6: ("failed", True), 7: ("processing", False)}
     assert len(got[4].error) == 4000 and got[1].lease_expires_at is None and got[7].lease_expires_at == DAY1
 
@@ -70,21 +73,21 @@ def queue(spark, rows):
 
 
 def test_queue(spark):
-    q = jobs.enqueue(queue(spark, [(1, "d1", "pending", DAY3, 0), (2, "d1", "pending", DAY1, 0)]), spark.createDataFrame([(3, "k", "d2")], "id long, kind string, payload string"), NOW)
-    started = jobs.claim(q, NOW, 5)
+    q = jobs.enqueue(queue(spark, [(1, "d1", "pending", DAY3, 0), (2, "d1", "pending", DAY1, 0)]), spark.createDataFrame([(3, "k", "d2")], "id long, kind string, payload string"), now())
+    started = jobs.claim(q, now(), 5)
     assert {r.id for r in started.where("claimed").collect()} == {2, 3}
-    after = {r.id: r for r in jobs.fail(started.drop("claimed"), spark.createDataFrame([(2, "boom"), (1, "no")], "id long, error string"), NOW).collect()}
+    after = {r.id: r for r in jobs.fail(started.drop("claimed"), spark.createDataFrame([(2, "boom"), (1, "no")], "id long, error string"), now()).collect()}
     assert (after[2].status, after[2].visible_at, after[2].error) == ("pending", datetime(2024, 1, 2, 0, 0, 10), "boom") and after[1].error is None
     assert {r.id: r.status for r in jobs.complete(started.drop("claimed"), spark.createDataFrame([(3,), (1,)], "id long")).collect()} == {1: "pending", 2: "in_progress", 3: "completed"}
-    beat = {r.id: r.visible_at for r in jobs.heartbeat(started.drop("claimed"), spark.createDataFrame([(3,), (1,)], "id long"), NOW, 60).collect()}
+    beat = {r.id: r.visible_at for r in jobs.heartbeat(started.drop("claimed"), spark.createDataFrame([(3,), (1,)], "id long"), now(), 60).collect()}
     assert beat[3] == datetime(2024, 1, 2, 0, 1) and beat[1] == DAY3
 
 
 def test_backoff_reaping_and_cancelling(spark):
     q = queue(spark, [(1, "a", "in_progress", DAY1, 2), (2, "a", "in_progress", DAY1, 3), (3, "a", "in_progress", DAY3, 3), (4, "b", "pending", DAY1, 0)])
-    failed = {r.id: r for r in jobs.fail(q, spark.createDataFrame([(1, "x"), (2, "y")], "id long, error string"), NOW).collect()}
+    failed = {r.id: r for r in jobs.fail(q, spark.createDataFrame([(1, "x"), (2, "y")], "id long, error string"), now()).collect()}
     assert (failed[1].status, failed[1].visible_at) == ("pending", datetime(2024, 1, 2, 0, 0, 20)) and failed[2].status == "failed"
-    assert {r.id: (r.status, r.error) for r in jobs.reap(q, NOW).collect()} == {1: ("pending", None), 2: ("failed", jobs.EXPIRED), 3: ("in_progress", None), 4: ("pending", None)}
+    assert {r.id: (r.status, r.error) for r in jobs.reap(q, now()).collect()} == {1: ("pending", None), 2: ("failed", jobs.EXPIRED), 3: ("in_progress", None), 4: ("pending", None)}
     assert {r.id: r.status for r in jobs.cancel(q, "payload").collect()} == {1: "in_progress", 2: "in_progress", 3: "failed", 4: "failed"}
     assert {r.payload: r.id for r in jobs.latest(q, "payload").collect()} == {"a": 3, "b": 4}
 
@@ -98,7 +101,7 @@ def test_pages(spark):
 
 def test_state_of_documents(spark):
     rows = [("failed", False, False, DAY1, " bad "), ("failed", False, False, DAY1, None), ("parsing", False, False, DAY1, None), ("parsing", False, False, DAY2, None), ("edited", False, False, DAY1, None), ("watermarked", False, True, DAY1, None), ("watermarked", True, False, DAY1, None), ("watermarked", True, True, DAY1, None)]
-    out = workflow.dashboard_rows(spark.createDataFrame(rows, "status string, promoted boolean, crosswalk boolean, updated_at timestamp, error_message string"), NOW).collect()
+    out = workflow.dashboard_rows(spark.createDataFrame(rows, "status string, promoted boolean, crosswalk boolean, updated_at timestamp, error_message string"), now()).collect()
     assert [r.stage for r in out] == ["failed", "failed", "parse", "parse", "chunk", "promote", "crosswalk", "ready"]
     assert [r.attention_reason for r in out] == ["bad", "Processing failed", "Parsing appears stalled (24h since update)", None, "Needs chunking (24h pending)", "Watermarked but not promoted (24h pending)", None, None]
     assert [r.is_stale for r in out] == [False, False, True, False, True, True, False, False]
