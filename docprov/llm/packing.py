@@ -147,7 +147,7 @@ def _packed(group: pa.Table, limits: Limits) -> tuple[pa.Table, np.ndarray, np.n
 def _dealt(rows: DataFrame, groups: int, key: str, keep: list[str]) -> DataFrame:
     # Start and checksum keep the pieces of repeated keys apart.
     spread = F.xxhash64(key, "start", "ids_crc32")
-    return rows.select(F.pmod(spread, F.lit(groups)).cast("long").alias("group_no"), F.xxhash64(spread).alias("order_no"), "loss", *keep).groupBy("group_no")
+    return rows.select(F.pmod(spread, F.lit(groups)).cast("long").alias("group_no"), F.xxhash64(spread).alias("order_no"), *dict.fromkeys(["loss", *keep])).groupBy("group_no")
 
 
 def pack(rows: DataFrame, groups: int, limits: Limits = Limits(), key: str = "doc_id", payload: tuple[str, ...] = ()) -> DataFrame:
