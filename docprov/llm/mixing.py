@@ -67,21 +67,33 @@ def draw_counts(owed: list[int], n_shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A keyed pseudorandom permutation of 0..size-1, applied to each index: a four-round
-    Feistel network on the next even number of bits, repeated until it falls below size."""
+def round_key(source_no: np.ndarray | int, round_no: np.ndarray, seed: int) -> np.ndarray:
+    """The key of a source's permutation in a round."""
+    return (source_no + 1) * 1_000_003 + round_no * 7_919 + seed
+
+
+def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool = False) -> np.ndarray:
+    """A keyed pseudorandom permutation of 0..size-1, or its inverse, applied to each index: a
+    four-round Feistel network on the next even number of bits, repeated until it falls below size."""
     half = np.maximum(1, np.ceil(np.log2(np.maximum(size, 2)) / 2)).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     x, key = index.astype(np.uint64), key.astype(np.uint64)
     todo = np.ones(len(x), dtype=bool)
+
+    def mixed(half_word: np.ndarray, r: int, k: np.ndarray, m: np.ndarray) -> np.ndarray:
+        z = (half_word + k) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return (z ^ (z >> np.uint64(32))) & m
+
     with np.errstate(over="ignore"):
         while todo.any():
             h, m, k = half[todo], mask[todo], key[todo]
             left, right = x[todo] >> h, x[todo] & m
             for r in range(4):
-                z = (right + k) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                left, right = right, left ^ ((z ^ (z >> np.uint64(32))) & m)
+                if inverse:
+                    left, right = right ^ mixed(left, 3 - r, k, m), left
+                else:
+                    left, right = right, left ^ mixed(right, r, k, m)
             x[todo] = (left << h) | right
             todo &= x >= size.astype(np.uint64)
     return x.astype(np.int64)
@@ -113,7 +125,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return staged(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("check")))
 
 
-def source_table(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float, block: int) -> pd.DataFrame:
+def source_table(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float, block: int, seed: int) -> pd.DataFrame:
     """One row a source, in order of code points with null last: totals, targets, slots."""
     found = [r.asDict() for r in sizes.groupBy("source").agg(F.sum("size").alias("source_size")).collect()]  # one row a source
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -121,24 +133,31 @@ def source_table(sizes: DataFrame, weights: tuple[float, ...], share: float, mos
     out["source_no"] = range(len(out))
     out["target"] = targets(out["source_size"].tolist(), weights, share, most)
     out["blocks"] = [-(-int(s) // block) for s in out["source_size"]]
-    out["slots"] = [slots_for(t, int(s), block, most) for t, s in zip(out["target"], out["source_size"], strict=True)]
+    out["slots"] = [slots_for(r.target, int(r.source_size), block, most, int(r.source_no), seed) for r in out.itertuples()]
     return out
 
 
-def slots_for(target: float, size: int, block: int, most: float) -> int:
-    """Slots whose words come nearest to the target; full rounds count the short last block."""
+def slots_for(target: float, size: int, block: int, most: float, source_no: int, seed: int) -> int:
+    """Slots whose words come nearest to the target, within half a block: whole rounds, and
+    a part of one that counts the short last block where the permutation puts it."""
     if not size:
         return 0
     blocks = -(-size // block)
     rounds, rest = divmod(target, size)
-    mean = size / blocks
-    return int(min(rounds * blocks + round(rest / (block if rest < block * (blocks - 1) else mean)), most * blocks))
+    if rounds >= most:
+        return int(most * blocks)
+    key = round_key(source_no, np.array([int(rounds)]), seed)
+    place = int(permuted(np.array([blocks - 1]), np.array([blocks]), key, inverse=True)[0])
+    short = block * blocks - size
+    near = int(rest // block)
+    own = min(range(max(0, near - 1), min(blocks, near + 3) + 1), key=lambda k: abs(k * block - short * (place < k) - rest))
+    return int(min(rounds * blocks + own, most * blocks))
 
 
 def mix_plan(docs_sized: DataFrame, weights: tuple[float, ...], share: float, most: float, block: int, n_shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(the table of sources, the slots): a slot is a row (source_no, shard, slot, block)."""
     spark = docs_sized.sparkSession
-    sources = source_table(docs_sized, weights, share, most, block)
+    sources = source_table(docs_sized, weights, share, most, block, seed)
     counts = draw_counts(sources["slots"].tolist(), n_shards, seed) if len(sources) else np.zeros((0, 0), dtype=np.int64)
     starts = np.cumsum(counts, axis=0) - counts
     plan = [(int(s), i, int(starts[i, s]), int(counts[i, s]), int(sources["blocks"][s])) for i in range(len(counts)) for s in range(counts.shape[1]) if counts[i, s]]
@@ -150,8 +169,7 @@ def mix_plan(docs_sized: DataFrame, weights: tuple[float, ...], share: float, mo
     @F.pandas_udf("long")
     def block_of(source_no: pd.Series, j: pd.Series, blocks: pd.Series) -> pd.Series:
         n, j = blocks.to_numpy(), j.to_numpy()
-        key = (source_no.to_numpy().astype(np.int64) + 1) * 1_000_003 + (j // n) * 7_919 + seed
-        return pd.Series(permuted(j % n, n, key))
+        return pd.Series(permuted(j % n, n, round_key(source_no.to_numpy().astype(np.int64), j // n, seed)))
 
     slots = slots.select("source_no", "shard", (F.col("first") + F.col("k")).alias("slot"), block_of("source_no", F.col("first") + F.col("k"), "blocks").alias("block"))
     frame = spark.createDataFrame([(int(r.source_no), r.source, int(r.source_size), float(r.target)) for r in sources.itertuples()], "source_no int, source string, source_size long, target double")

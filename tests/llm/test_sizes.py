@@ -156,3 +156,21 @@ def test_little_padding(spark, sf):
     out = packing.sequences(docs).collect()
     assert sum(r.n_tokens for r in out) > 0.98 * 1024 * len(out)
     assert all(len(r.ids) == r.n_tokens == sum(r.lengths) and len(r["keys"]) == r.n_segments for r in out)
+
+
+@pytest.mark.parametrize("size", [1, 127, 128, 129, 1000, 2486])
+@pytest.mark.parametrize("part", [0.0, 0.3, 0.95, 1.0, 1.4, 2.0])
+def test_slots_come_within_half_a_block(size, part):
+    blocks, seen = -(-size // 128), set()
+    for source_no in range(8):
+        n = mixing.slots_for(part * size, size, 128, 2.0, source_no, 17)
+        j = np.arange(n)
+        took = mixing.permuted(j % blocks, np.full(n, blocks), mixing.round_key(source_no, j // blocks, 17)) if n else j
+        seen.add(abs(sum(128 if b < blocks - 1 else size - 128 * (blocks - 1) for b in took) - part * size))
+    assert max(seen) <= 64
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100, 1000])
+def test_permutations_invert(n):
+    index, size, key = np.arange(n), np.full(n, n), np.full(n, 42)
+    assert (mixing.permuted(mixing.permuted(index, size, key), size, key, inverse=True) == index).all()
