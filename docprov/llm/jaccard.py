@@ -10,9 +10,9 @@ their l. Prefix shingles that too many classes hold are not paired up; their hol
 as candidates of each other.
 
 Candidates are joined to groups, and each group compares its sets whole and exactly;
-groups larger than `block` are compared block against block. So every class's set moves
-once (or once a block), no pairs of copies are made, and no link between different sets is
-lost.
+groups larger than `block` are compared block against block. So every class's text moves
+twice (or once more a block), no pairs of copies are made, and no link between different
+sets is lost.
 
 Shingles are compared by 64-bit hashes.
 
@@ -187,13 +187,14 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
     return met.where("met >= least_met").select("a", "b").unionByName(ties)
 
 
-def _compare(percent: int):  # noqa: ANN202
+def _compare(words: int, percent: int):  # noqa: ANN202
     def run(tables: Iterator[pa.Table]) -> Iterator[dict[str, list]]:
         group = pa.concat_tables(list(tables))
         if len(group) < 2:
             return
         nodes, block = group["node"].to_numpy(), group["block"].to_numpy()
-        sets = [s.values.to_numpy() for s in group["shingles"]]
+        shingles = Shingles(words)
+        sets = [shingles.of(t.as_py()) for t in group["text"]]
         forest, sizes = Forest(len(nodes)), np.array([len(s) for s in sets])
         cross = group["left"][0].as_py() != group["right"][0].as_py()
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
@@ -228,21 +229,22 @@ def links(docs: DataFrame, groups: DataFrame, width: int, percent: int, key: str
     sent = docs.sparkSession.sparkContext.broadcast(hash_filter(groups.select(F.xxhash64("node").alias("h"))))
 
     def run(keys: list, places: list, texts: list) -> Iterator[dict[str, list]]:
-        wanted, shingles = sent.value, Shingles(width)
-        out: dict[str, list] = {"node": [], "shingles": []}
+        wanted = sent.value
+        out: dict[str, list] = {"node": [], "text": []}
         for k, place, t in zip(keys, places, texts, strict=True):
             if passes(wanted, place):
                 out["node"].append(k)
-                out["shingles"].append(shingles.of(t).view(np.int64))
+                out["text"].append(t)
         yield out
 
     place = filter_place(F.xxhash64(F.col(key).cast("long"))).alias("place")
-    sets = map_columns(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), place, F.col(text).cast("string").alias("text")), ["node", "place", "text"], run, "node long, shingles array<long>")
+    # Texts move, not sets: a text takes less than half of its shingles' hashes.
+    texts = map_columns(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), place, F.col(text).cast("string").alias("text")), ["node", "place", "text"], run, "node long, text string")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = sets.join(own, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "blocks", "block", "node", "shingles")
-    return by_group(dealt, ["component", "left", "right"], ["node"], _compare(percent), "a long, b long, whole boolean")
+    dealt = texts.join(own, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "blocks", "block", "node", "text")
+    return by_group(dealt, ["component", "left", "right"], ["node"], _compare(width, percent), "a long, b long, whole boolean")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
