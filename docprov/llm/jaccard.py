@@ -255,9 +255,11 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
     rows = staged(wide.select(key, "n", "class_key"))
     classes = staged(rows.where(F.col("class_key").isNotNull() & F.col(key).isNotNull()).groupBy("class_key").agg(F.min(F.col(key).cast("long")).alias("cls")))
     one = wide.select(F.col(key).cast("long").alias("cls"), F.col("class_key").alias("own_key"), "n", "shared", "prefix")
-    reps = one.join(classes, "cls").where(F.col("own_key") == F.col("class_key")).select("cls", "n", "shared", "prefix")
-    lists = staged(shared_lists(reps))
+    # Staged, as both the counts and the lists start from it.
+    reps = staged(one.join(classes, "cls").where(F.col("own_key") == F.col("class_key")).select("cls", "n", "shared", "prefix"))
     unstaged(wide)
+    lists = staged(shared_lists(reps))
+    unstaged(reps)
     groups = staged(connected_components(candidates(lists, percent)))
     unstaged(lists)
     found = staged(links(docs, groups, width, percent, key, text))
