@@ -222,25 +222,29 @@ class Scorer:
         if self.model.out is None:
             return np.full(len(texts), -STEEP)
         pooled = np.zeros((len(texts), FILTERS * len(WIDTHS)), np.float32)
-        gap, flat, starts, owners = [0] * max(WIDTHS), [], [], []
+        gap, flat, owners = [0] * max(WIDTHS), [], []
+        edges: list[int] = []  # of each piece: its first window, and the first beyond its end
         for i, text in enumerate(texts):
             if len(self.known) > self.most:
-                self._pool(pooled, flat, starts, owners)
+                self._pool(pooled, flat, edges, owners)
                 self.known.clear()
                 self.stems.clear()
             rows = self._rows(text)
             for at in range(0, max(1, len(rows)), BATCH_WORDS):
-                starts.append(len(flat))
+                piece = rows[at : at + BATCH_WORDS + max(WIDTHS)]
+                edges += [len(flat), len(flat) + len(piece) + 1]
                 owners.append(i)
-                flat += rows[at : at + BATCH_WORDS + max(WIDTHS)] + gap
+                flat += piece + gap
                 if len(flat) >= BATCH_WORDS:
-                    self._pool(pooled, flat, starts, owners)
-        self._pool(pooled, flat, starts, owners)
+                    self._pool(pooled, flat, edges, owners)
+        self._pool(pooled, flat, edges, owners)
         # Row by row, so that a score doesn't depend on what else is in its batch.
         return np.round((pooled * self.model.out).sum(1, dtype=np.float64) + self.model.bias, 6)
 
-    def _pool(self, pooled: np.ndarray, flat: list[int], starts: list[int], owners: list[int]) -> None:
-        if not starts:
+    def _pool(self, pooled: np.ndarray, flat: list[int], edges: list[int], owners: list[int]) -> None:
+        """Each piece counts the windows that start within it or just behind it, as in
+        training; those further on reach into the next piece."""
+        if not edges:
             return
         own, column = self.table[np.array(flat)], 0
         for k, w in enumerate(WIDTHS):
@@ -249,10 +253,10 @@ class Scorer:
             for j in range(1, w):
                 z = z + own[j : j + n, column + j * FILTERS : column + (j + 1) * FILTERS]
             column += w * FILTERS
-            top = np.maximum(np.maximum.reduceat(z, starts) + self.model.biases[w], 0)
+            top = np.maximum(np.maximum.reduceat(z, edges if edges[-1] < n else edges[:-1])[::2] + self.model.biases[w], 0)
             np.maximum.at(pooled[:, k * FILTERS : (k + 1) * FILTERS], owners, top)
         flat.clear()
-        starts.clear()
+        edges.clear()
         owners.clear()
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
