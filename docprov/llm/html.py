@@ -34,6 +34,7 @@ SILENT = RAW | {"head", "audio", "video", "map"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+FOREIGN = {"svg", "math"}
 SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "aside", "nav", "body", "html", "blockquote"}
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "dl", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "a", "body", "html", "span", "b")
 TOKENS = ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "copyright", "sidebar", "side", "widget", "related", "recommended", "cookie", "consent", "notice", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "login", "search", "form", "comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "share", "social", "toolbar", "pagination", "pager", "tags", "meta", "article", "content", "post", "entry", "story", "main", "body", "text", "page")
@@ -62,6 +63,9 @@ class Page:
         self.nodes = [Node("#root", -1, 0, frozenset(), 0)]
         self.blocks: list[tuple[int, str, bool]] = []
         self._open, self._text, self._links, self._link_depth, self._silent = [0], [], 0, 0, 0
+        # Positions in _open: by tag, of scopes, of elements that are not inline, of drawings and formulas.
+        self._at: dict[str, list[int]] = {}
+        self._scopes, self._solid, self._foreign = [0], [0], []
         self.link_chars: list[int] = []
         self._read(html)
 
@@ -75,10 +79,7 @@ class Page:
 
     def _block(self) -> int:
         """The innermost open element that is a block."""
-        for no in reversed(self._open):
-            if self.nodes[no].tag not in INLINE:
-                return no
-        return 0
+        return self._open[self._solid[-1]]
 
     def _close(self, upto: int) -> None:
         """Close all open elements from position `upto` on."""
@@ -86,21 +87,24 @@ class Page:
             tag = self.nodes[no].tag
             self._link_depth -= tag == "a"
             self._silent -= tag in SILENT
-        if any(self.nodes[no].tag not in INLINE for no in self._open[upto:]):
+            self._at[tag].pop()
+        if self._solid[-1] >= upto:
             self._flush()
+        for places in (self._scopes, self._solid):
+            while places[-1] >= upto:
+                places.pop()
+        while self._foreign and self._foreign[-1] >= upto:
+            # What a drawing or formula is made of says nothing of the page; no text lies in it.
+            del self.nodes[self._open[self._foreign.pop()] + 1 :]
         del self._open[upto:]
 
     def _start(self, tag: str, attrs: str) -> None:
         nodes = self.nodes
         if tag in ENDS_P or tag in ENDS:
             ends = ENDS.get(tag, {"p"})
-            for at in range(len(self._open) - 1, 0, -1):
-                own = nodes[self._open[at]].tag
-                if own in ends:
-                    self._close(at)
-                    break
-                if own in SCOPES:
-                    break
+            at = max((self._at[t][-1] for t in ends if self._at.get(t)), default=0)
+            if at > self._scopes[-1]:
+                self._close(at)
         if tag not in INLINE:
             self._flush()
         if tag in VOID:
@@ -110,17 +114,22 @@ class Page:
         tokens = frozenset(w for m in ATTR.finditer(attrs) for w in _parts(m[2])) if attrs and ("=" in attrs) else frozenset()
         parent = self._open[-1]
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, tokens, len(self.blocks)))
+        place = len(self._open)
         self._open.append(len(nodes) - 1)
+        self._at.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self._solid.append(place)
+        if tag in SCOPES:
+            self._scopes.append(place)
+        if tag in FOREIGN:
+            self._foreign.append(place)
         self._link_depth += tag == "a"
         self._silent += tag in SILENT
 
     def _end(self, tag: str) -> None:
-        for at in range(len(self._open) - 1, max(0, len(self._open) - 512), -1):
-            if self.nodes[self._open[at]].tag == tag:
-                self._close(at)
-                return
-            if tag in INLINE and self.nodes[self._open[at]].tag in SCOPES:
-                return
+        places = self._at.get(tag)
+        if places and not (tag in INLINE and self._scopes[-1] > places[-1]):
+            self._close(places[-1])
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -137,14 +146,16 @@ class Page:
                         self._links += len(text.strip())
             elif m["tag"]:
                 tag = m["tag"].lower()
+                # Only drawings and formulas have elements without content; "/" on inline ones is taken so too.
+                alone = m["attrs"].endswith("/") and (tag in INLINE or tag in FOREIGN or bool(self._foreign))
                 if m["end"]:
                     self._end(tag)
-                elif tag in UNPARSED:
+                elif tag in UNPARSED and not alone:
                     close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
                     at = close.end() if close else n
                 else:
                     self._start(tag, m["attrs"])
-                    if m["attrs"].endswith("/") and tag not in VOID and tag in INLINE:
+                    if alone and tag not in VOID:
                         self._end(tag)
         self._close(1)
         self._flush()

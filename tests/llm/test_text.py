@@ -249,6 +249,25 @@ def test_odd_pages(spark, trees):
 
 
 
+@pytest.mark.parametrize("inner", ['<path d="M0 0"/>', '<g><circle r="1"/><use href="#a"/></g>', "<path>"])
+@pytest.mark.parametrize("drawing", ["svg", "math"])
+def test_drawings_end_where_they_end(trees, drawing, inner):
+    article = "<article>" + "<p>The town council met on Monday, and it voted for the new bridge after a long debate.</p>" * 12 + "</article>"
+    shape = f"<{drawing}>{inner * 2000}</{drawing}>"
+    want = html.main_text(f"<html><body>{article}</body></html>", trees)
+    assert len(want.split()) == 12 * 17
+    assert html.main_text(f"<html><body>{shape}{article}</body></html>", trees) == want
+    assert html.main_text(f"<html><body><p>{shape}</p><{drawing}/>{article}</body></html>", trees) == want
+    assert html.main_text(f"<html><body>{article.replace('voted', f'{shape} voted')}</body></html>", trees).split() == want.split()
+
+
+def test_many_unclosed_elements_end_with_their_parent():
+    for tag in ("nav", "form"):
+        page = html.Page(f"<{tag}>{'<b><custom>' * 2000}</{tag}><p>after</p>")
+        assert [page.nodes[no].depth for no, _, _ in page.blocks] == [1]
+    page = html.Page("<b>" * 100_000 + "<p>x</p></i>y<br>" * 100_000)
+    assert len(page.blocks) == 200_000
+
 
 def test_sql_gives_the_same_rows(spark, sf):
     from docprov.llm.sql import SQL
