@@ -27,14 +27,21 @@ from docprov.llm.common import filter_place, hash_filter, map_columns, passes, s
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----")
+PRIVATE_KEY = re.compile(r"-----(BEGIN|END) (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----")
+#: Lines of a key, which may be those of a quoted string with its line feeds spelled out; what may stand around them; what they hold.
+KEY_BREAK = re.compile(r"\\[nr]|[\r\n]")
+KEY_EDGE = " \t\f\v\"'`,;>|#*\\()[]{}"
+KEY_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ")
+KEY_SHORT = re.compile(r"[A-Za-z0-9+/=_-]+")
+KEY_RUN = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
+KEY_LEAD = re.compile(r"[A-Za-z0-9+/=_-]{16,}(?:[ \t]+(?:[A-Za-z0-9+/=_-]{16,}|[A-Za-z0-9+/_-]*=+))*(?:[ \t]+[A-Za-z0-9+/=_-]+\Z)?")
 WEB_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 SERVICE_TOKEN = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", re.A)
 STARTS = {"private_key": ("-----BEGIN",), "web_token": ("eyJ",), "service_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "AIza")}
 # End of the fixed values.
 
 #: kind: (rule version, in the order in which kinds are listed)
-RULES = {"assign": 1, "access": 1, "hex": 1, "private_key": 1, "web_token": 1, "service_token": 1}
+RULES = {"assign": 1, "access": 1, "hex": 1, "private_key": 2, "web_token": 1, "service_token": 1}
 BASE = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate(RULES)}
 #: Findings of up to so many bytes are sent to all tasks.
@@ -55,10 +62,63 @@ def find(text: str, kind: str) -> list[tuple[int, int, str]]:
         return [(*m.span(), kind) for m in LONG_HEX.finditer(text)]
     if not any(p in text for p in STARTS[kind]):
         return []
-    rule = {"private_key": PRIVATE_KEY, "web_token": WEB_TOKEN, "service_token": SERVICE_TOKEN}[kind]
+    if kind == "private_key":
+        return [(*s, kind) for s in private_keys(text)]
+    rule = {"web_token": WEB_TOKEN, "service_token": SERVICE_TOKEN}[kind]
     return [(*m.span(), kind) for m in rule.finditer(text)]
 
 
+def private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Keys from their BEGIN line to their END line, or, where that is missing or prose lies
+    between, to the end of the lines that look like a key. Linear: what lies between two
+    such marks is read once."""
+    marks = list(PRIVATE_KEY.finditer(text))
+    for i, m in enumerate(marks):
+        if m[1] == "END":
+            continue
+        after = marks[i + 1] if i + 1 < len(marks) else None
+        upto = after.start() if after else len(text)
+        if after and after[1] == "END" and mostly_key(text, m.end(), upto):
+            yield m.start(), after.end()
+        else:
+            yield m.start(), key_end(text, m.end(), upto)
+
+
+def key_lines(text: str, at: int, upto: int) -> Iterator[tuple[int, str]]:
+    """(start, line) of lines that hold a letter or digit, without what stands around them."""
+    while at < upto:
+        m = KEY_BREAK.search(text, at, upto)
+        line = text[at : m.start() if m else upto].rstrip(KEY_EDGE)
+        own = line.lstrip(KEY_EDGE)
+        if any(c.isalnum() for c in own):
+            yield at + len(line) - len(own), own
+        at = m.end() if m else upto
+
+
+def mostly_key(text: str, at: int, upto: int) -> bool:
+    """Whether most characters lie in lines or long runs of a key, or in its headers."""
+    key = other = 0
+    for _, line in key_lines(text, at, upto):
+        own = len(line) if KEY_HEADER.match(line) or KEY_SHORT.fullmatch(line) else sum(len(r[0]) for r in KEY_RUN.finditer(line))
+        key += own
+        other += len(line) - own
+    return key > other
+
+
+def key_end(text: str, at: int, upto: int) -> int:
+    """Where the lines after a BEGIN mark stop to be those of a key. Headers may come before
+    the first of them; after a long line a short one may follow, the last."""
+    end, first, body = at, True, False
+    for start, line in key_lines(text, at, upto):
+        lead = KEY_LEAD.match(line) or (KEY_SHORT.fullmatch(line) if body else None)
+        if lead:
+            end, body = start + lead.end(), True
+        if lead.end() < max(16, len(line)) if lead else body or not (first or KEY_HEADER.match(line)):
+            break
+        first = False
+    return end
+
+
 def unscanned(paths: DataFrame, ledger: DataFrame | None, rules: dict[str, int]) -> DataFrame:
     """(blob, path, rules): a blob that misses rules in the ledger, one path that holds it,
     and the rules to run."""

@@ -111,6 +111,35 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert {r.text for r in rows if r.doc_id == 4} == {None}
 
 
+BODY = ["MIIEpAIBAAKCAQEA7bq0" + "aB3/x+Z9" * 5 + str(i) * 4 for i in range(20)] + ["Qx7Yw+Zk9A=="]
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+INFO = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+
+
+@pytest.mark.parametrize("lines", [[BEGIN, *BODY, END], [BEGIN, *INFO, *BODY, END], [BEGIN, *BODY], [BEGIN, *INFO, *BODY], [BEGIN, "abc", "de=", END], [BEGIN, *BODY[:3], "[...]", *BODY[3:], END]])
+@pytest.mark.parametrize("joint", ["\n", "\r\n", "\\n", " ", "\n  > ", '\\n" +\n"', "\n\n"])
+def test_keys_go_whole(spark, lines, joint):
+    text = f"Before it.{joint}{joint.join(lines)}\nAfter it there is prose."
+    if joint == " " and ("abc" in lines or END not in lines and INFO[0] in lines):
+        pytest.skip("without lines, too short to tell from prose, or headers without an end")
+    spans = secrets.find(text, "private_key")
+    assert [text[a:b] for a, b, _ in spans] == [joint.join(lines)]
+
+
+def test_key_bodies_are_redacted(spark):
+    key = "\n".join([BEGIN, *BODY, END])
+    rows = [(1, f"a\n{key}\nb\n{key}\nc", "en", "a"), (2, f"x {BEGIN} is how a key begins, and {END} how it ends.", "en", "a"), (3, f"{BEGIN}\n" + "\n".join(BODY) + "\n\nThe end.", "en", "a")]
+    out = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert out[1] == "a\n[secret]\nb\n[secret]\nc" and out[3] == "[secret]\n\nThe end."
+    assert out[2] == f"x [secret] is how a key begins, and {END} how it ends."
+    assert secrets.RULES["private_key"] > 1  # blobs scanned by the header alone are scanned again
+
+
+def test_keys_take_linear_time():
+    for text in (BEGIN * 30_000, f"{BEGIN}\n" * 30_000 + END, (BEGIN + "\n" + "a" * 64 + "\n") * 10_000, BEGIN + "\n" + ("a" * 64 + "\n") * 30_000, BEGIN + " " * 500_000 + "x", BEGIN + "a " * 300_000 + "."):
+        assert secrets.find(text, "private_key")[0][0] == 0
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
