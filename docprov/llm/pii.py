@@ -4,8 +4,10 @@ Identifiers are looked for twice: in the text as it is, and in a normalised copy
 comes from one left-to-right transduction that maps look-alike letters and digits to
 ASCII, drops invisible characters, turns runs of spelled digits into digits, and at/dot
 disguises into "@" and ".". Every step records which source characters it consumed, so a
-span of the copy maps back to the source exactly. Spans found only in the copy are added to those found in the text; one that overlaps a span of
-the text is not.
+span of the copy maps back to the source exactly. Spans found in the copy are added to
+those found in the text, unless they lie within one of them: a disguise in the middle of
+an identifier leaves a part that the text's own patterns match, and the whole counts too.
+A bare word "at" before undisguised dots ("we met at example.com") is no address.
 
 Defined results: null is the empty text; texts without identifiers have no spans; repeated
 rows are scanned alike; work is linear in the length, also for long runs of digits or
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -189,12 +192,11 @@ def identifiers(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     added: list[tuple[int, int, str]] = []
     if copy is not None:
         taken = sorted((a, b) for a, b, _ in base)
-        starts = [a for a, _ in taken]
+        starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         for a, b, kind in detect(copy.text):
             lo, hi = copy.source(a, b)
             i = bisect_right(starts, lo)
-            clear = (i == 0 or max(e for _, e in taken[max(0, i - 4) : i]) <= lo) and (i == len(taken) or taken[i][0] >= hi)
-            if clear:
+            if i == 0 or reach[i - 1] < hi:  # in no span of the text
                 added.append((lo, hi, kind))
     return base, sorted(set(added))
 

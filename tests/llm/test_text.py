@@ -190,6 +190,23 @@ def test_disguises_map_back(text, kind, span):
     assert pii.mask(text) == text.replace(span, f"<{kind}>")
 
 
+@pytest.mark.parametrize(
+    ("span", "part"),
+    [("j\u043ehn@example.com", "hn@example.com"), ("joh\u200bn@example.com", "n@example.com"), ("a@example.c\u043em", "a@example.c"), ("a.b dot c@example.com", "c@example.com"), ("a@mail.example dot com", "a@mail.example"), ("+49 (30) 12345\u20116789", "+49 (30) 12345"), ("1\u200b0.0.0.7", "0.0.0.7")],
+)
+def test_disguises_that_leave_a_part(span, part):
+    text = f"to {span}, or x@y.zz and 1.2.3.4"
+    base, added = pii.identifiers(text)
+    assert base == pii.detect(text) and part in {text[a:b] for a, b, _ in base}
+    assert [text[a:b] for a, b, _ in added] == [span]
+    assert re.sub("<[a-z]+>", "<>", pii.mask(text)) == "to <>, or <> and <>"
+
+
+def test_bare_at_before_dots_is_no_address():
+    assert pii.identifiers("we met john at example.com then") == ([], [])
+    assert pii.mask("john at example dot com") == "<email>"
+
+
 def test_clean_text_gains_nothing(spark, sf):
     assert pii.identifiers("Meet me at the dot. One two three at noon (at home).") == ([], [])
     clean = [r.text for r in table(spark, sf, "documents").collect() if not any(plain_pii(r.text)[:4])]
