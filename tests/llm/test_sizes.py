@@ -138,6 +138,21 @@ def test_pieces_hold_every_id_once(spark, truth):
         assert all(r.ids_crc32 == crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids) <= 1024 and r.doc_tokens == len(truth(text)) for r in own)
 
 
+def test_added_tokens_have_their_ids(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n<|endoftext|", "  <|endoftext|>  y 12<|ENDOFTEXT|> \u00e9", "plain  text\n"]
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    docs = frame(spark, [(i, x, "en", "a") for i, x in enumerate(texts)])
+    got = packing.pieces(docs).collect()
+    assert {r.doc_id: r.ids for r in got} == want
+    assert all(r.ids_crc32 == crc32(np.array(want[r.doc_id], "<u4").tobytes()) and r.doc_tokens == r.length == len(want[r.doc_id]) for r in got)
+    assert Counter(i for r in packing.sequences(docs).collect() for i in r.ids) == Counter(i for ids in want.values() for i in ids)
+
+
 def test_sequences_keep_all_limits(spark):
     limits = packing.Limits(tokens=64, segments=3, loss=40)
     rows = packing.pieces(frame(spark), limits).cache()
