@@ -13,6 +13,7 @@ columns are dropped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 SEPARATORS = {"|", "»", "›", "·", "•", "/", ">", "::", "→"}
 NAVIGATION = {"home", "menu", "login", "log", "in", "out", "sign", "up", "register", "search", "sitemap", "next", "previous", "prev", "back", "top", "share", "tweet", "print", "contact", "about", "us", "faq", "help", "rss", "skip", "to", "content", "main"}
 BOILERPLATE = re.compile(r"(?i:all rights reserved|cookie (?:policy|settings|notice)|use of cookies|we use cookies|privacy policy|terms (?:of (?:use|service)|and conditions)|subscribe to our|newsletter|enable javascript|lorem ipsum|click here|read more\b|powered by|©|copyright \(c\)|licensed under|permission is hereby granted|SPDX-License-Identifier|provided \"as is\")")
+SENTENCE = re.compile(r"[.!?]+[\"'”’»)]*\s+")
 CLOSERS = "\"'”’»)]"
 # End of the fixed values.
 
@@ -41,12 +43,43 @@ class Limits:
     upper_letters: float = 0.7
     separators: float = 0.2
     lost_text: float = 0.3
+    short_line: int = 20
+    long_sentence: int = 80
+    boilerplate: float = 0.5
+
+
+def boilerplate(n: int, line: str, limits: Limits) -> bool:
+    """Whether a line of n words is boilerplate: a short one that holds a phrase of it, or a
+    longer one of which more than a share lies in sentences that do. Of a sentence too long to
+    be one, only the words beside each phrase count, as many as a short line has at most."""
+    phrase = BOILERPLATE.search(line)
+    if not phrase or n < limits.short_line:
+        return phrase is not None
+    marked, at = 0, 0
+    for end in [*(m.end() for m in SENTENCE.finditer(line)), len(line)]:
+        sentence = line[at:end]
+        at = end
+        phrases = list(BOILERPLATE.finditer(sentence))
+        if not phrases:
+            continue
+        words = [m.span() for m in WORDS.finditer(sentence)]
+        if len(words) <= limits.long_sentence:
+            marked += len(words)
+            continue
+        starts, upto = [a for a, _ in words], 0
+        for p in phrases:
+            first, last = bisect_right(starts, p.start()) - 1, bisect_left(starts, p.end())
+            beside = max(0, limits.short_line - (last - first)) // 2
+            first, last = max(first - beside, upto), min(last + beside, len(words))
+            marked += max(0, last - first)
+            upto = max(upto, last)
+    return marked > limits.boilerplate * n
 
 
 def line_fails(words: list[str], line: str, limits: Limits) -> str:
     """The first rule that a line with words breaks, or an empty string."""
     n = len(words)
-    if BOILERPLATE.search(line):
+    if boilerplate(n, line, limits):
         return "boilerplate"
     bars = sum(w in SEPARATORS for w in words)
     if bars >= 2 and bars > limits.separators * n:

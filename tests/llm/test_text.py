@@ -52,6 +52,23 @@ def test_quality_lines():
     assert not judge("\n".join(f"x{i} | y{i} | z{i}" for i in range(40)))["kept"]
 
 
+@pytest.mark.parametrize("phrase", ["a newsletter", "the privacy policy", "a button that says click here", "\u00a9 2024", "software licensed under its own terms"])
+@pytest.mark.parametrize("stop", [".", ""])
+def test_a_mention_is_no_boilerplate(phrase, stop):
+    words = [f"word{i}" + (stop if i % 12 == 11 else "") for i in range(300)]
+    text = " ".join([*words[:150], phrase, *words[150:]])
+    found = quality.judge(text)
+    assert found["kept"] and found["lost_chars"] == 0 and found["clean_text"] == text
+
+
+def test_long_boilerplate_lines_fail():
+    prose = "\n".join(" ".join(f"Word{i}x{j} goes on." for i in range(10)) for j in range(9))
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction, including without limitation the rights to use and copy, subject to the following conditions:"
+    footer = "\u00a9 2024 Some Company and its partners all rights reserved privacy policy terms of use cookie settings subscribe to our newsletter click here to read more about what we do"
+    for line in (grant, footer):
+        assert len(line.split()) > 20 and quality.judge(f"{prose}\n{line}")["clean_text"] == prose
+
+
 def test_quality_agrees_with_the_labels(spark, sf):
     judged = {r.doc_id: r for r in quality.quality(table(spark, sf, "documents")).collect()}
     for r in table(spark, sf, "labels").collect():
