@@ -42,13 +42,25 @@ def test_rankings_are_limited_before_they_are_numbered(spark, sf):
     assert len(windows) >= 2 and plan.count("TakeOrderedAndProject") >= 3
 
 
-def test_the_rest_works_without_the_llm_subpackage(tmp_path):
+def without(tmp_path, *gone):
+    """A copy of the repository less some of its files and folders."""
     import os
     import shutil
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(os.path.join(root, "docprov"), tmp_path / "docprov", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_rrf' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); print(len(q))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+    lost = {os.path.join(root, g) for g in gone}
+    skipped = {".git", "__pycache__", ".pytest_cache", "spark-warehouse", "metastore_db"}
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda d, names: [n for n in names if n in skipped or os.path.join(d, n) in lost])
+    return tmp_path / "copy", {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+
+
+@pytest.mark.parametrize("gone", [("docprov/llm", "tests/llm"), ("docprov/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_the_rest_works_without_the_llm_subpackage(tmp_path, gone):
+    folder, env = without(tmp_path, *gone)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'hybrid_rrf' in q; print(*sorted(n for n in q if n == 'pipeline' or n[:2] == 'op' and n[2].isdigit()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=folder, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+    assert len(done.stdout.split()) == (0 if "docprov/llm" in gone else 10)
+    if len(gone) == 2:
+        tests = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=folder, env=env, capture_output=True, text=True)
+        assert tests.returncode == 0, tests.stdout
