@@ -114,25 +114,55 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, label, v, 1, "x") for i, label, v in rows], "vec_id long, label int, embedding array<float>, n_links int, cell string").repartition(3)
 
 
-def test_range_join(spark, monkeypatch):
-    monkeypatch.setattr(ranges, "PER_PIVOT", 9)
-    monkeypatch.setattr(ranges, "BLOCK", 5)
-    monkeypatch.setattr(ranges, "STREAM", 3)
+def clustered_vectors():
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(12, 6))
     rows = []
     for i in range(200):
         v = centres[rng.integers(12)] + rng.normal(size=6) * rng.choice([0.05, 0.15, 0.4])
         rows.append((i, int(rng.integers(2)), np.float32(v * rng.choice([1, 3])).tolist()))
-    rows += [(200 + i, 0, rows[3][2]) for i in range(15)]
+    return rows + [(200 + i, 0, rows[3][2]) for i in range(15)]
+
+
+@pytest.mark.parametrize("small", [0, 32_000_000])
+def test_range_join(spark, monkeypatch, small):
+    """Cells of cells, blocks of cells, and pivots that go to all tasks or along with the vectors."""
+    for name, value in {"CELL": 20, "SAMPLE": 40, "BLOCK": 5, "STREAM": 3, "SENDING": 0.0, "SAVING": 0.01, "SMALL_BYTES": small, "SHARE": 16}.items():
+        monkeypatch.setattr(ranges, name, value)
+    rows = clustered_vectors()
     assert sum(n for (_, n, _, _), k in plain_links(rows).items()) > 100
     assert Counter(map(tuple, ranges.near_duplicates(vectors(spark, rows)).collect())) == plain_links(rows)
+    spread = ranges.cells(ranges.classes_of(ranges.keyed(vectors(spark, rows), "vec_id", "label", "embedding")), 0.2)
+    depth = [r.cell.count(".") for r in spread.collect()]
+    assert max(depth) >= 2 and min(depth) >= 1
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_pivots_partition_the_table(spark, sf_dir):
+    """At least 8 cells, each with vectors of its own, and every vector in fewer than two on average."""
+    classes = ranges.classes_of(ranges.keyed(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")).cache()
+    spread = ranges.cells(classes, 0.2 + 1e-6).cache()
+    assert spread.where("native").select(*ranges.PLACE).distinct().count() >= 8
+    assert spread.where("native").count() == classes.count()
+    assert spread.count() < 2 * classes.count()
+
+
+def test_clusters_part_without_loss(spark):
+    """Vectors in clusters apart from each other: hardly one is sent to a second cell."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, 1, np.float32(centres[i % 40] + rng.normal(size=24) * 0.04).tolist()) for i in range(800)]
+    spread = ranges.cells(ranges.classes_of(ranges.keyed(vectors(spark, rows), "vec_id", "label", "embedding")), 0.2)
+    assert spread.select("cell").distinct().count() > 2 and spread.count() < 1.3 * len(rows)
+    assert Counter(map(tuple, ranges.near_duplicates(vectors(spark, rows)).collect())) == plain_links(rows)
 
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, 1, None), (1, 1, []), (2, 1, [0.0, 0.0]), (3, 1, [1.0, None]), (4, 1, [nan, 1.0]), (5, 1, [inf, 1.0]), (6, None, [1.0, 1.0]), (7, 1, [1.0, 1.0]), (8, 1, [2.0, 2.0]), (9, 2, [1.0, 1.0]), (10, 1, [1.0, 1.0, 0.0]), (11, 1, [-0.0, 3.0]), (12, 1, [0.0, 3.0]), (13, 1, [1e30, 1e30]), (14, 1, [1e-30, 1e-30])]
-    assert Counter(map(tuple, ranges.near_duplicates(vectors(spark, rows)).collect())) == plain_links(rows)
+    rows = [(0, 1, None), (1, 1, []), (2, 1, [0.0, 0.0]), (3, 1, [1.0, None]), (4, 1, [nan, 1.0]), (5, 1, [inf, 1.0]), (6, None, [1.0, 1.0]), (7, 1, [1.0, 1.0]), (8, 1, [2.0, 2.0]), (9, 2, [1.0, 1.0]), (10, 1, [1.0, 1.0, 0.0]), (11, 1, [-0.0, 3.0]), (12, 1, [0.0, 3.0]), (13, 1, [1e30, 1e30]), (14, 1, [1e-30, 1e-30]), (None, 1, [1.0, 1.0]), (15, 1, [3.0, 1.0]), (15, 1, [3.0, 1.0])]
+    out = ranges.near_duplicates(vectors(spark, rows)).collect()
+    assert Counter(tuple(r) for r in out if r.vec_id is not None) == plain_links([r for r in rows if r[0] is not None])
+    assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, False)]
     assert ranges.near_duplicates(vectors(spark, rows).limit(0)).collect() == []
 
 
