@@ -6,6 +6,8 @@ white space, no-break space, byte order mark and the Unicode spaces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +20,21 @@ LANGUAGES = {
 # End of the fixed values.
 
 
+#: The characters of SPACE.
+BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def trimmed_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{SPACE}+\z", "")
+    return F.rtrim(text, F.lit(BLANKS))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def words(text: Column) -> Column:
@@ -52,6 +63,12 @@ def slug(text: Column, most: int = 40) -> Column:
     return F.regexp_replace(F.substring(kebab(text), 1, most), r"-+\z", "")
 
 
+def domain_slug(name: Column) -> Column:
+    """A name as a slug of any length; "domain" where nothing is left of it."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace(F.btrim(name), "[^a-zA-Z0-9]+", "-")), r"\A-+|-+\z", "")
+    return F.coalesce(F.when(bare != "", bare), F.lit("domain"))
+
+
 def title_case(text: Column) -> Column:
     one = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 2**31 - 1)))
     return F.array_join(F.transform(words(text), one), " ")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docprov.functions.text import sha256, trimmed_end
+from docprov.functions.text import let, sha256, trimmed_end
 
 # The mark's format.
 VERSION = "v1"
 MARK = r"<!--\s*corpus-watermark:(v\d+):([^:]+):(\d+):([a-f0-9]+)\s*-->"
 ANY_MARK = r"\n?<!--\s*corpus-watermark:[^\n]*-->"
+NAME = "corpus-watermark:"
+NONE, UNSUPPORTED, MISMATCH = "No watermark found in content", "Unsupported watermark version: ", "Signature mismatch — content may have been tampered with"
 # End of the fixed values.
 AT_END = r"\s*\z"
 
@@ -46,7 +48,7 @@ def comment(corpus_id: Column, sequence: Column, signed: Column) -> Column:
 
 def stripped(content: Column) -> Column:
     """Without a trailing mark of any version, and without trailing white space."""
-    return trimmed_end(F.regexp_replace(content, ANY_MARK + AT_END, ""))
+    return trimmed_end(F.when(content.contains(NAME), F.regexp_replace(content, ANY_MARK + AT_END, "")).otherwise(content))
 
 
 def stripped_strict(content: Column) -> Column:
@@ -62,25 +64,35 @@ def marked(content: Column) -> Column:
     return content.rlike(MARK + AT_END)
 
 
-def part(content: Column, group: int) -> Column:
-    found = F.regexp_extract(content, MARK + AT_END, group)
-    return F.when(found != "", found)
+def looks_marked(content: Column) -> Column:
+    """Whether a mark of this version stands at the end, whatever its signature: a cheap test."""
+    return content.contains(NAME) & content.rlike(MARK.replace(r"v\d+", VERSION) + AT_END)
 
 
 def extracted(content: Column) -> Column:
-    """A struct of version, corpus_id, sequence, signature; null without a mark at the end."""
-    fields = F.struct(part(content, 1).alias("version"), part(content, 2).alias("corpus_id"), part(content, 3).try_cast("long").alias("sequence"), part(content, 4).alias("signature"))
-    return F.when(marked(content), fields)
+    """A struct of version, corpus_id, sequence, signature; null without a mark at the end. The mark is looked for
+    once, and what stands between its colons read off."""
+
+    def fields(p: Column) -> Column:
+        signed = F.regexp_extract(F.get(p, F.lit(4)), r"\A[a-f0-9]+", 0)
+        own = F.struct(F.get(p, F.lit(1)).alias("version"), F.get(p, F.lit(2)).alias("corpus_id"), F.get(p, F.lit(3)).try_cast("long").alias("sequence"), signed.alias("signature"))
+        return F.when(F.size(p) == 5, own)
+
+    return let(F.when(content.contains(NAME), F.split(F.regexp_extract(content, MARK + AT_END, 0), ":")), fields)
 
 
 def verified(content: Column, secret: str | None = None) -> Column:
     """A struct (valid, reason, version, corpus_id, sequence, signature)."""
-    mark = extracted(content)
-    text = message(mark.corpus_id, mark.sequence, sha256(stripped(content)))
-    expected = F.substring(hmac(secret, text) if secret else sha256(text), 1, 16)
-    reason = (
-        F.when(mark.isNull(), F.lit("No watermark found in content"))
-        .when(mark.version != VERSION, F.concat(F.lit("Unsupported watermark version: "), mark.version))
-        .when(expected != mark.signature, F.lit("Signature mismatch — content may have been tampered with"))
-    )
-    return F.struct(reason.isNull().alias("valid"), reason.alias("reason"), mark.version.alias("version"), mark.corpus_id.alias("corpus_id"), mark.sequence.alias("sequence"), mark.signature.alias("signature"))
+
+    def told(mark: Column) -> Column:
+        text = message(mark.corpus_id, mark.sequence, sha256(stripped(content)))
+        expected = F.substring(hmac(secret, text) if secret else sha256(text), 1, 16)
+        reason = F.when(mark.isNull(), F.lit(NONE)).when(mark.version != VERSION, F.concat(F.lit(UNSUPPORTED), mark.version)).when(expected != mark.signature, F.lit(MISMATCH))
+        return F.struct(reason.alias("reason"), mark.version.alias("version"), mark.corpus_id.alias("corpus_id"), mark.sequence.alias("sequence"), mark.signature.alias("signature"))
+
+    return let(let(extracted(content), told), lambda x: F.struct(x.reason.isNull().alias("valid"), *[x[c].alias(c) for c in ("reason", "version", "corpus_id", "sequence", "signature")]))
+
+
+def self_verified(content: Column, corpus_id: Column, sequence: Column, secret: str | None = None) -> Column:
+    """Whether a chunk carries a valid mark of its own document and place."""
+    return let(verified(content, secret), lambda v: v.valid & v.corpus_id.eqNullSafe(corpus_id) & v.sequence.eqNullSafe(sequence.cast("long")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docprov.functions.text import let
+
 MIN_COVERAGE, MIN_LENGTH = 0.82, 0.55
 
 
@@ -15,8 +17,8 @@ def lexemes(text: Column) -> Column:
 
 def coverage(source: Column, other: Column) -> Column:
     """The share of the source's words that the other text has; 1 without words."""
-    own = lexemes(source)
-    return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_intersect(own, lexemes(other))).cast("double"), F.size(own)))
+    share = lambda own: F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_intersect(own, lexemes(other))).cast("double"), F.size(own)))
+    return let(lexemes(source), share)
 
 
 def audited(rows: DataFrame, source: str = "source_text", other: str = "ai_text") -> DataFrame:
@@ -29,7 +31,8 @@ def audited(rows: DataFrame, source: str = "source_text", other: str = "ai_text"
 
 
 def rollup(audits: DataFrame, key: str = "document_id") -> DataFrame:
-    """A row a document: chunks, omissions, and the recovered text in order."""
+    """A row a document: chunks, omissions, and the recovered text in order. The key has to be a document's: a row
+    holds all of its text."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "recovered_text"))), lambda x: x.recovered_text), "\n\n")
     return audits.groupBy(key).agg(F.count("*").alias("chunks"), F.count_if("omission_detected").alias("omissions"), text.alias("recovered_text"))
 

@@ -15,23 +15,34 @@ BLANK = r"[ \t\x0B\f\r]+"
 def heading_chunks(docs: DataFrame, key: str = "doc_id", body: str = "body", title: Column | None = None) -> DataFrame:
     """(key, sequence, section_title, heading_level, content, content_hash, token_count,
     heading_path): sections start at second- and third-level headings; what stands before
-    the first belongs to the document's title. A section without text goes; a short one
-    without a heading joins the one before it."""
+    the first belongs to the document's title, and so do third-level sections below a
+    second-level heading equal to it. A section without text goes; a short one without a
+    heading joins the one before it. All within the row: nothing is shuffled."""
     title = F.lit("Document") if title is None else title
-    parts = docs.select(key, title.alias("title"), F.posexplode(F.split(F.col(body), rf"(?m)(?=^###?{BLANK}[^\r\n]+)")).alias("at", "raw"))
-    parts = parts.withColumn("content", trimmed(F.col("raw")))
-    parts = parts.withColumn("mark", F.regexp_extract("content", rf"\A(###?){BLANK}([^\r\n]+)", 1)).withColumn("own", trimmed(F.regexp_extract("content", rf"\A(###?){BLANK}([^\r\n]+)", 2)))
-    w = Window.partitionBy(key).orderBy("at")
-    parts = parts.withColumn("second", F.last(F.when(F.col("mark") == "##", F.col("own")), ignorenulls=True).over(w)).where("content <> ''")
-    joins = (F.row_number().over(w) > 1) & (word_count(F.col("content")) < MIN_WORDS) & ~F.col("content").rlike(r"\A###?\s+")
-    parts = parts.withColumn("joins", joins).withColumn("section", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w))
-    first = lambda c: F.min_by(c, "at")
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "content"))), lambda x: x.content), "\n\n")
-    out = parts.groupBy(key, "section").agg(first("title").alias("title"), first("mark").alias("mark"), first("own").alias("own"), first("second").alias("second"), content.alias("content"))
-    path = F.when(F.col("mark") == "", F.array("title")).when(F.col("mark") == "##", F.array("title", "own")).otherwise(F.array_compact(F.array("title", "second", "own")))
+
+    def below(part: Column) -> Column:
+        second = trimmed(F.regexp_extract(part, rf"\A##{BLANK}([^\r\n]+)", 1))
+        return F.transform(F.split(part, rf"(?m)(?=^###{BLANK}[^\r\n]+)"), lambda p: F.struct(trimmed(p).alias("content"), second.alias("second")))
+
+    parts = F.flatten(F.transform(F.split(F.col(body), rf"(?m)(?=^##{BLANK}[^\r\n]+)"), below))
+    rows = docs.select(key, title.alias("title"), F.filter(parts, lambda x: x.content != "").alias("parts"))
+    joins = lambda x, i: (i > 0) & ~x.content.rlike(r"\A###?\s+") & (word_count(x.content) < MIN_WORDS)
+    rows = rows.withColumn("starts", F.filter(F.transform("parts", lambda x, i: F.when(joins(x, i), -1).otherwise(i)), lambda i: i >= 0))
+
+    def section(start: Column, k: Column) -> Column:
+        upto = F.coalesce(F.get("starts", k + 1), F.size("parts"))
+        content = F.array_join(F.transform(F.slice("parts", start + 1, upto - start), lambda x: x.content), "\n\n")
+        return F.struct(content.alias("content"), F.get("parts", start).alias("first"))
+
+    rows = rows.select(key, "title", F.transform("starts", section).alias("sections"))
+    rows = rows.select(key, "title", F.posexplode("sections").alias("sequence", "section")).select(key, "title", "sequence", "section.content", F.col("section.first.second").alias("second"), F.col("section.first.content").alias("first"))
+    head = rf"\A(###?){BLANK}([^\r\n]+)"
+    out = rows.select(key, "title", "sequence", "content", "second", F.regexp_extract("first", head, 1).alias("mark"), trimmed(F.regexp_extract("first", head, 2)).alias("own"))
+    inner = (F.col("second") != "") & (F.col("second") != F.col("title"))
+    path = F.when(F.col("mark") == "", F.array("title")).when((F.col("mark") == "##") | ~inner, F.array("title", "own")).otherwise(F.array("title", "second", "own"))
     return out.select(
         key,
-        (F.col("section") - 1).cast("int").alias("sequence"),
+        "sequence",
         F.when(F.col("mark") == "", F.col("title")).otherwise(F.col("own")).alias("section_title"),
         F.when(F.col("mark") == "###", 3).otherwise(2).alias("heading_level"),
         "content",

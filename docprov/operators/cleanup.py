@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+import operator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docprov.functions.text import SPACE, trimmed, trimmed_end
+from docprov.functions.text import SPACE, let, trimmed
 
 # Lines that carry no content, as case-insensitive patterns, and repeated phrases.
 STRUCTURAL = [r"^Contents\s+Page$", r"^Reference number$"]
 NOISE = [
     r"^SNV\s*/\s*licensed to\s+", r"^COPYRIGHT PROTECTED DOCUMENT$", r"^ISO copyright office$", r"^CP\s*401\b", r"^CH-?1214\b",
     r"^Phone:\s*\+", r"^Email:\s*", r"^Website:\s*", r"^Published in Switzerland$", r"^Price based on \d+ pages$",
-    r"^Reference number$", r"^INTERNATIONAL\s+STANDARD$", r"^ICS\s+[0-9.;\s\t-]+$", r"^Table\s+A\.1\s*\(continued\)", r"^©\s*ISO/IEC\s*20\d{2}\s*[–-]\s*All rights reserved$",
+    r"^INTERNATIONAL\s+STANDARD$", r"^ICS\s+[0-9.;\s\t-]+$", r"^Table\s+A\.1\s*\(continued\)", r"^©\s*ISO/IEC\s*20\d{2}\s*[–-]\s*All rights reserved$",
 ]
 PAGE = [r"^\d{1,3}$", r"^[ivxlcdm]{1,8}$"]
 CONTENTS = [r"\.{3,}\s*\d+\s*$", r"^(?:[A-Za-z]\s+)?\d+(?:\.\d+)*\s+.+\s+\d{1,3}$", r"^(?:Annex|Bibliography|Foreword|Introduction|Scope|Normative references|Terms and definitions)\b.*\d{1,3}\s*$"]
@@ -22,55 +25,68 @@ OFTEN = 3
 RULES = ("structural", "known_noise", "page_marker", "table_of_contents", "repeated_header_footer")
 
 
-def normalised_line(line: Column) -> Column:
-    """Spaces of one kind, letters set apart joined (four or more), annexes and clause numbers set right."""
-    out = F.regexp_replace(F.regexp_replace(line, r"\x{A0}", " "), r"[\t\f\x0B]+", " ")
+BLANK = SPACE.replace(r"[\s\x0B", r"[ \t\f\x0B")
+
+
+def normalised(text: Column) -> Column:
+    """Lines of a text with spaces of one kind, letters set apart joined (four or more), annexes and clause numbers set right."""
+    out = F.regexp_replace(F.replace(F.regexp_replace(text, "\r\n?", "\n"), F.lit("\xa0"), F.lit(" ")), r"[\t\f\x0B]+", " ")
     # A blank goes if a run of at least four single letters stands around it.
-    run = rf"(?<![A-Za-z0-9_])(?:[A-Za-z]\s+){{3,}}[A-Za-z](?![A-Za-z0-9_])"
-    pieces = F.regexp_extract_all(out, F.lit(f"({run})"), 1)
-    gaps = F.split(out, run)
-    joined = F.zip_with(gaps, pieces, lambda g, p: F.concat(F.coalesce(g, F.lit("")), F.coalesce(F.regexp_replace(p, r"\s+", ""), F.lit(""))))
-    out = F.array_join(joined, "")
+    run = r"(?<![A-Za-z0-9_])(?:[A-Za-z] +){3,}[A-Za-z](?![A-Za-z0-9_])"
+
+    def joined(t: Column) -> Column:
+        pieces = F.zip_with(F.split(t, run), F.regexp_extract_all(t, F.lit(f"({run})"), 1), lambda g, p: F.concat(F.coalesce(g, F.lit("")), F.coalesce(F.replace(p, F.lit(" "), F.lit("")), F.lit(""))))
+        return F.when(t.rlike(run), F.array_join(pieces, "")).otherwise(t)
+
+    out = let(out, joined)
     out = F.regexp_replace(out, r"(?<![A-Za-z0-9_])Annex([A-Z])(?![A-Za-z0-9_])", "Annex $1")
-    out = F.regexp_replace(out, r"(\d\.)\s+(\d)", "$1$2")
-    return trimmed_end(F.regexp_replace(out, rf"{SPACE}{{2,}}", " "))
+    out = F.regexp_replace(out, r"(\d\.) +(\d)", "$1$2")
+    return F.regexp_replace(F.regexp_replace(out, rf"{BLANK}{{2,}}", " "), rf"{BLANK}+(?=\n|\z)", "")
 
 
 def any_of(text: Column, patterns: list[str], flags: str = "(?i)") -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out |= text.rlike(flags + p)
-    return out
+    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
+
+
+def ruled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lines, rules): the lines of each document, and for each the first rule that removes it, or null. All
+    within the row."""
+    rows = docs.select(key, normalised(F.col(text)).alias("whole"))
+    bare = F.transform(F.split(F.regexp_replace("whole", f"{BLANK}+", " "), "\n"), lambda x: F.trim(x))
+    rows = rows.select(key, F.split("whole", "\n").alias("lines"), bare.alias("bare"))
+    phrase = lambda x: functools.reduce(operator.or_, [F.lower(x).contains(p) for p in REPEATED])
+    rows = rows.withColumn("marked", F.array_sort(F.transform(F.filter("bare", phrase), F.lower)))
+    often = F.array_distinct(F.filter("marked", lambda x, i: F.get("marked", i + (OFTEN - 1)) == x))
+    rows = rows.withColumn("often", often)
+
+    def rule(b: Column) -> Column:
+        return (
+            F.when(b == "", F.lit(None))
+            .when(any_of(b, STRUCTURAL), RULES[0])
+            .when(any_of(b, NOISE), RULES[1])
+            .when(any_of(b, PAGE), RULES[2])
+            .when(any_of(b, CONTENTS[::2]) | any_of(b, CONTENTS[1:2], ""), RULES[3])
+            .when((F.size("often") > 0) & F.array_contains("often", F.lower(b)), RULES[4])
+        )
+
+    return rows.select(key, "lines", F.transform("bare", rule).alias("rules"))
 
 
 def classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, at, line, rule): every line with the first rule that removes it, or null."""
-    unix = F.regexp_replace(F.col(text), "\r\n?", "\n")
-    lines = docs.select(key, F.posexplode(F.split(unix, "\n")).alias("at", "raw")).select(key, "at", normalised_line(F.col("raw")).alias("line"))
-    lines = lines.withColumn("bare", trimmed(F.col("line"))).withColumn("folded", F.lower(trimmed(F.regexp_replace("line", f"{SPACE}+", " "))))
-    times = F.count("*").over(Window.partitionBy(key, "folded"))
-    repeated = F.lit(False)
-    for phrase in REPEATED:
-        repeated |= F.col("folded").contains(phrase)
-    rule = (
-        F.when(F.col("bare") == "", F.lit(None))
-        .when(any_of(F.col("bare"), STRUCTURAL), RULES[0])
-        .when(any_of(F.col("bare"), NOISE), RULES[1])
-        .when(any_of(F.col("bare"), PAGE), RULES[2])
-        .when(any_of(F.col("bare"), CONTENTS[:1]) | any_of(F.col("bare"), CONTENTS[1:2], "") | any_of(F.col("bare"), CONTENTS[2:]), RULES[3])
-        .when(repeated & (times >= OFTEN), RULES[4])
-    )
-    return lines.select(key, "at", "line", rule.alias("rule"))
+    both = ruled(docs, key, text).select(key, F.posexplode(F.arrays_zip("lines", "rules")).alias("at", "x"))
+    return both.select(key, "at", F.col("x.lines").alias("line"), F.col("x.rules").alias("rule"))
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: the text that is left and what was removed, by rule and in all."""
-    kept = F.array_sort(F.collect_list(F.when(F.col("rule").isNull(), F.struct("at", "line"))))
-    joined = F.array_join(F.transform(kept, lambda x: x.line), "\n")
-    counts = [F.count_if(F.col("rule") == r).alias(r) for r in RULES]
-    found = classified(docs, key, text).groupBy(key).agg(trimmed(F.regexp_replace(joined, r"\n{3,}", "\n\n")).alias("cleaned_text"), F.count("*").alias("original_lines"), *counts)
-    size = docs.select(F.col(key), F.length(F.regexp_replace(F.col(text), "\r\n?", "\n")).alias("original_chars"))
-    out = found.join(size, key)
+    size = F.length(F.regexp_replace(F.col(text), "\r\n?", "\n")).alias("original_chars")
+    named = docs.select(F.struct(F.col(key), size).alias("of"), F.col(text).alias("text"))
+    rows = ruled(named, "of", "text")
+    kept = F.array_join(F.filter("lines", lambda x, i: F.get("rules", i).isNull()), "\n")
+    removed = lambda rule: F.size(F.filter("rules", lambda x: x == rule)).cast("long").alias(rule)
+    counts = [removed(r) for r in RULES]
+    out = rows.select(F.col(f"of.{key}"), trimmed(F.regexp_replace(kept, r"\n{3,}", "\n\n")).alias("cleaned_text"), F.size("lines").cast("long").alias("original_lines"), *counts, "of.original_chars")
     out = out.withColumn("cleaned_chars", F.length("cleaned_text")).withColumn("cleaned_lines", F.when(F.col("cleaned_text") == "", 0).otherwise(F.size(F.split("cleaned_text", "\n"))))
     out = out.withColumn("removed_chars", F.greatest(F.lit(0), F.col("original_chars") - F.col("cleaned_chars"))).withColumn("removed_lines", F.greatest(F.lit(0), F.col("original_lines") - F.col("cleaned_lines")))
     return out.withColumn("removed_char_ratio", F.coalesce(F.try_divide(F.col("removed_chars").cast("double"), F.col("original_chars")), F.lit(0.0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,17 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
     return attach(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it. Only a session on one machine may do
+    without: it uses the folder of temporary files, which there is shared."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "docprov-checkpoints")
+    return folder.rstrip("/")
+
+
 def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver found it."""
     env = spark.sparkContext.environment

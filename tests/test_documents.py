@@ -48,7 +48,7 @@ def plain_chunks(body, title):
             close()
             own = m[2].strip()
             second = own if m[1] == "##" else second
-            path = [title, own] if m[1] == "##" else [title, *([second] if second is not None else []), own]
+            path = [title, own] if m[1] == "##" or second in (None, title) else [title, second, own]
             now = {"title": own, "level": len(m[1]), "path": path, "lines": [line]}
         else:
             now["lines"].append(line)
@@ -58,7 +58,7 @@ def plain_chunks(body, title):
 
 def test_heading_chunks(spark):
     rng = random.Random(3)
-    parts = ["## H{}", "### S{}", "#### not", "text {} here", "", "long " * 80, "##", "  indented {}"]
+    parts = ["## T", "## H{}", "### S{}", "#### not", "text {} here", "", "long " * 80, "##", "  indented {}"]
     bodies = [BODY, "pre\n\n" + BODY, "### only\nx"] + ["\n".join(rng.choice(parts).format(rng.randrange(9)) for _ in range(rng.randrange(1, 14))) for _ in range(120)]
     rows = chunk.heading_chunks(spark.createDataFrame(list(enumerate(bodies)), "doc_id int, body string"), title=F.lit("T")).orderBy("doc_id", "sequence").collect()
     got = {}
