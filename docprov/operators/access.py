@@ -31,6 +31,14 @@ def organizations_of(members: DataFrame, who: Principal, admin_only: bool = Fals
     return (own.where("role = 'admin'") if admin_only else own).select("organization_id").distinct()
 
 
+def nodes_of(nodes: DataFrame, ontologies: DataFrame, projects: DataFrame, members: DataFrame, who: Principal) -> DataFrame:
+    """Nodes of the ontologies of projects whose organization the user belongs to: a chain of joins on keys alone, the
+    rows themselves by a semi join."""
+    own = projects.select(F.col("id").alias("project_id"), "organization_id").join(organizations_of(members, who), "organization_id")
+    seen = ontologies.select(F.col("id").alias("ontology_id"), "project_id").join(own, "project_id").select("ontology_id").distinct()
+    return nodes.join(seen, "ontology_id", "left_semi")
+
+
 def owned(rows: DataFrame, sessions: DataFrame, who: Principal, key: str = "session_id") -> DataFrame:
     """Rows of the sessions that the user created."""
     mine = sessions.where(F.col("created_by") == who.user_id).select(F.col("id").alias(key))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEASE, BACKOFF = 300, 10
@@ -70,7 +70,16 @@ def cancel(jobs: DataFrame, document: str, reason: str = "Stopped by user") -> D
     return both.withColumn("error", F.when(hit, F.lit(reason)).otherwise(F.col("error"))).withColumn("status", F.when(hit, "failed").otherwise(F.col("status"))).drop("newest")
 
 
+def cancelled(docs: DataFrame, jobs: DataFrame, document: str, reason: str = "Stopped by user") -> tuple[DataFrame, DataFrame]:
+    """(documents, jobs) after every document with an active job in column `document` was stopped: its newest active
+    job fails, and so does the document (id, status, error_message), if it still waits or is being parsed."""
+    active = jobs.where(F.col("status").isin("pending", "in_progress")).select(F.col(document).alias("__id")).distinct().withColumn("__hit", F.lit(True))
+    both = docs.join(active, F.col("id") == F.col("__id"), "left")
+    hit = F.coalesce(F.col("__hit") & F.col("status").isin("pending", "parsing"), F.lit(False))
+    both = both.withColumn("error_message", F.when(hit, F.lit(reason)).otherwise(F.col("error_message"))).withColumn("status", F.when(hit, "failed").otherwise(F.col("status")))
+    return both.select(*docs.columns), cancel(jobs, document, reason)
+
+
 def latest(jobs: DataFrame, document: str, key: str = "id") -> DataFrame:
     """The newest job of each document."""
-    w = Window.partitionBy(document).orderBy(F.col(key).desc())
-    return jobs.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return jobs.groupBy(document).agg(F.max_by(F.struct(*[c for c in jobs.columns if c != document]), key).alias("x")).select(document, "x.*")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprov.functions import gate, vectors
+from docprov.operators import fulltext
 
 POOL, RRF_K, NO_RANK = 200, 20, 1000
 
@@ -53,34 +54,33 @@ def ranked(rows: DataFrame, by: str, rank: str, key: str, most: int = POOL) -> D
 
 
 def semantic(chunks: DataFrame, query: list[float], filters: Filters = Filters(), threshold: float = 0.7, count: int = 10, key: str = "chunk_id", vector: str = "embedding", digits: int | None = None) -> DataFrame:
-    """Chunks by cosine similarity. Narrow rows are ranked; callers join what else they need."""
+    """Chunks by cosine similarity, of rows that are active and embedded where they say so (`is_active`,
+    `embedding_status`). Narrow rows are ranked; callers join what else they need."""
     count = checked(count, threshold=threshold)
+    if "is_active" in chunks.columns:
+        chunks = chunks.where("is_active")
+    if "embedding_status" in chunks.columns:
+        chunks = chunks.where("embedding_status = 'complete'")
     similarity = vectors.cosine_to(query, F.col(vector))
     found = chunks.where(F.col(vector).isNotNull() & filters.column()).withColumn("similarity", F.round(similarity, digits) if digits else similarity)
     return found.where(F.col("similarity") >= threshold).orderBy(F.col("similarity").desc(), key).limit(count)
 
 
-def term_score(text: Column, terms: list[str]) -> Column:
-    """Occurrences of whole words, as s/(s+1); stands in for a cover-density rank."""
-    found = F.split(F.lower(text), "[^a-z0-9]+")
-    hits = F.size(F.filter(found, lambda w: w.isin(*terms))).cast("double")
-    return hits / (hits + 1)
-
-
 def fused(by_vector: DataFrame, by_text: DataFrame, weight: float = 0.7, key: str = "chunk_id") -> DataFrame:
     """A full join of two rankings (at most POOL rows each) and the weighted sum of reciprocal ranks."""
-    both = by_vector.join(by_text, key, "full")
+    both = by_vector.join(by_text, key, "full").fillna(0.0, subset=["similarity", "text_score"])
     part = lambda rank: 1.0 / (RRF_K + F.coalesce(F.col(rank), F.lit(NO_RANK)))
     return both.withColumn("combined_score", weight * part("vector_rank") + (1 - weight) * part("text_rank"))
 
 
-def hybrid(chunks: DataFrame, query: list[float], terms: list[str], filters: Filters = Filters(), weight: float = 0.7, threshold: float = 0.005, count: int = 10, key: str = "chunk_id", vector: str = "embedding", text: str = "content") -> DataFrame:
+def hybrid(chunks: DataFrame, query: list[float], terms: str | None, filters: Filters = Filters(), weight: float = 0.7, threshold: float = 0.005, count: int = 10, key: str = "chunk_id", vector: str = "embedding", text: str = "content", title: str | None = None, language: Column | None = None) -> DataFrame:
     """(key, similarity, vector_rank, text_score, text_rank, combined_score); the vector side
-    needs an embedding, the text side does not. Without terms the text side is empty."""
+    needs an embedding, the text side does not, and scores 0 for what it lacks. `terms` is a
+    web-style query; without words in it the text side is empty."""
     count = checked(count, weight=weight, threshold=threshold)
     allowed = chunks.where(filters.column())
     near = allowed.where(F.col(vector).isNotNull()).select(key, vectors.cosine_to(query, F.col(vector)).alias("similarity")).where("similarity is not null")
-    told = allowed.select(key, term_score(F.col(text), terms).alias("text_score")).where("text_score > 0") if terms else allowed.select(key, F.lit(0.0).alias("text_score")).limit(0)
+    told = fulltext.search(allowed, terms, text, title, language, key)
     out = fused(ranked(near, "similarity", "vector_rank", key), ranked(told, "text_score", "text_rank", key), weight, key)
     return out.where(F.col("combined_score") >= threshold).orderBy(F.col("combined_score").desc(), key).limit(count)
 
@@ -93,7 +93,7 @@ def excluded(rows: DataFrame, content: str = "content", terms: Column | None = N
 
 def identity_collapse(hits: DataFrame, subject: str = "sire_subject") -> DataFrame:
     """Hits by subject, ranked by their mean similarity."""
-    return hits.groupBy(subject).agg(F.count("*").alias("hits"), F.avg("similarity").alias("mean_similarity"))
+    return hits.groupBy(subject).agg(F.count("*").alias("hits"), F.avg("similarity").alias("mean_similarity")).orderBy(F.desc("mean_similarity"), subject)
 
 
 def suspicious_purge(rows: DataFrame, by: str = "sire_subject") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docprov.functions.text import domain_slug
+
 SCOPE = ("corpus_id", "organization_id")
 LIST_FIELDS, FIELDS = ("frameworks", "industries", "segments"), ("version", "content_hash", "tier", "content_type", "source_url", "source_publisher", "last_verified", "title")
 
@@ -130,6 +132,21 @@ def run_gate(requests: DataFrame, authorities: DataFrame, policies: DataFrame, o
     return out.withColumn("reason", reason).select(*requests.columns, "reason")
 
 
+def slugged(new: DataFrame, taken: DataFrame, name: str = "name", key: str = "id") -> DataFrame:
+    """New rows with a `slug`: that of their name, with the least free number behind it where it is taken, by rows there
+    (taken: slug) or by rows of the batch before it in order of `key`. Numbers already taken are skipped."""
+    base = new.withColumn("__base", domain_slug(F.col(name)))
+    n = F.row_number().over(Window.partitionBy("__base").orderBy(key))
+    # Numbers of a base that are taken: 0 stands for the bare slug.
+    held = taken.select("slug").distinct().withColumn("__cut", F.regexp_extract("slug", r"\A(.*)-([0-9]+)\z", 1)).withColumn("__no", F.regexp_extract("slug", r"\A(.*)-([0-9]+)\z", 2))
+    own = held.select(F.col("slug").alias("__base"), F.lit(0).cast("long").alias("__no")).unionByName(held.where("__cut <> ''").select(F.col("__cut").alias("__base"), F.col("__no").try_cast("long").alias("__no")).where("__no > 0"))
+    used = own.join(base.select("__base").distinct(), "__base", "left_semi").groupBy("__base").agg(F.array_sort(F.collect_set("__no")).alias("__used"))
+    both = base.withColumn("__n", n).join(used, "__base", "left")
+    # The n-th number that is not used: n - 1 and one more for each used one up to there.
+    number = F.aggregate(F.coalesce("__used", F.array().cast("array<bigint>")), (F.col("__n") - 1).cast("long"), lambda acc, u: F.when(u <= acc, acc + 1).otherwise(acc))
+    return both.withColumn("slug", F.when(number == 0, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), number.cast("string")))).select(*new.columns, "slug")
+
+
 def skip_repeats(snapshots: DataFrame, key: str, hash_column: str, at: str) -> DataFrame:
     """Snapshots whose hash differs from the one before."""
     before = F.lag(hash_column).over(Window.partitionBy(key).orderBy(at))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docprov.functions.watermark import looks_marked, self_verified
+
 STATUSES = ("complete", "pending", "failed", "processing")
 
 
@@ -16,6 +18,13 @@ def document_summary(docs: DataFrame, chunks: DataFrame, indexes: DataFrame, key
     return docs.join(own, key, "left").join(model, key, "left").fillna(0, subset=["total_chunks", *[f"{s}_chunks" for s in STATUSES]])
 
 
+def watermark_summary(chunks: DataFrame, key: str = "corpus_id", content: str = "content", secret: str | None = None) -> DataFrame:
+    """A row a document: whether all of its chunks, and whether any, carry a valid mark of their own document and
+    place, and whether all end in something that looks like a mark of this version."""
+    told = chunks.select(key, self_verified(F.col(content), F.col("corpus_id"), F.col("sequence"), secret).alias("ok"), looks_marked(F.col(content)).alias("looks"))
+    return told.groupBy(key).agg(F.count("*").alias("chunks"), F.bool_and("ok").alias("all_valid"), F.bool_or("ok").alias("any_valid"), F.bool_and("looks").alias("looks_marked"))
+
+
 def chunk_detail(chunks: DataFrame, docs: DataFrame, key: str = "document_id") -> DataFrame:
     """Chunks with what their document says; the planner broadcasts documents where they are few."""
     return chunks.join(docs.select(key, *[c for c in docs.columns if c not in chunks.columns]), key)

@@ -114,13 +114,52 @@ def session_rollup(sessions: DataFrame, rows: DataFrame, key: str = "session_id"
     """Counts by session, also for sessions without rows."""
     own = rows.groupBy(key).agg(*counts())
     names = ("total", "attention", "in_progress", "ready", "failed", "stale")
-    return sessions.join(own, key, "left").fillna(0, subset=list(names))
+    return sessions.join(own, key, "left").fillna(0, subset=list(names)).orderBy(F.desc("attention"), F.desc("in_progress"), key)
+
+
+#: How listings are ordered.
+LISTINGS = {"sessions": ("created_at", False), "documents": ("sort_order", True), "library": ("created_at", False), "runs": ("started_at", False)}
+
+
+def listed(rows: DataFrame, what: str, key: str = "id") -> DataFrame:
+    """Rows in the order of their listing, ties by key."""
+    by, up = LISTINGS[what]
+    return rows.orderBy(F.col(by).asc() if up else F.col(by).desc(), key)
+
+
+def bulk_action(rows: DataFrame) -> Column:
+    """The action that a bulk run takes with a row; null for none."""
+    return F.when(F.col("status") == "failed", "parse").when(F.col("stage").isin("chunk", "watermark"), F.col("stage"))
+
+
+def bulk_targets(pages: list[DataFrame], action: str, key: str = "id") -> DataFrame:
+    """What a bulk action takes of several pages of results: a document once, as the last page that has it shows it."""
+    every = None
+    for n, page in enumerate(pages):
+        own = page.withColumn("__page", F.lit(n))
+        every = own if every is None else every.unionByName(own)
+    last = every.groupBy(key).agg(F.max_by(F.struct(*[c for c in every.columns if c != key]), "__page").alias("x"))
+    return last.select(key, "x.*").drop("__page").where(bulk_action(last) == action)
+
+
+def facets(rows: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values of some columns, lists or not."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in columns}
+    values = F.concat(*[F.col(c) if kinds[c].startswith("array") else F.array(F.col(c)) for c in columns])
+    return rows.select(F.explode(values).alias("facet")).where("facet is not null").distinct()
+
+
+def left_out(docs: DataFrame) -> DataFrame:
+    """Documents by what keeps them from the next steps: (list, id) for each list that a document is on."""
+    s = F.col("status")
+    tests = {"not_parsed": ~s.isin(*PARSED), "not_chunked": ~s.isin(*CHUNKED), "not_watermarked": s != "watermarked", "not_promoted": (s == "watermarked") & ~F.col("promoted")}
+    names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
+    return docs.select(F.explode(names).alias("list"), "id")
 
 
 def action_counts(rows: DataFrame) -> DataFrame:
     """How many rows each bulk action would take, and those complete and failed."""
-    act = F.when(F.col("status") == "failed", "parse").when(F.col("stage").isin("chunk", "watermark"), F.col("stage"))
-    return rows.agg(*[F.count_if(act == a).alias(f"{a}_eligible") for a in ("parse", "chunk", "watermark")], F.count_if(F.col("stage") == "ready").alias("complete"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return rows.agg(*[F.count_if(bulk_action(rows) == a).alias(f"{a}_eligible") for a in ("parse", "chunk", "watermark")], F.count_if(F.col("stage") == "ready").alias("complete"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
 def percent(n: Column, total: Column) -> Column:

@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprov.functions import text, vectors, watermark
-from docprov.operators import audit, chunk, cleanup, retrieval, store
+from docprov.operators import audit, chunk, cleanup, fulltext, retrieval, store, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 AS_OF = "1996-01-01 00:00:00"
-TERMS = ["the", "des"]
+TERMS = "thes OR des"
 EXCLUDED = ["that", "pour", "und"]
 SECRET = "my-secret"
 
@@ -51,8 +51,9 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def markdown(docs: DataFrame) -> DataFrame:
-    """Every line of a document as a section of its own."""
-    return docs.select("doc_id", F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n\n## "))).alias("body"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"))
+    """Every line of a document as a section of its own, two third-level ones below each second-level one."""
+    headed = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 3 == 0, F.lit("## ")).otherwise(F.lit("### ")), x))
+    return docs.select("doc_id", F.array_join(headed, "\n\n").alias("body"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"))
 
 
 COSINE = "(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))))"
@@ -100,13 +101,35 @@ def vec_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "similarity")
 
 
-HITS = "len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w IN ('the', 'des')))::DOUBLE"
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)?')"
+#: Each occurrence of either term covers the query alone, with the weight of contents.
+HITS = f"0.4::DOUBLE * len(list_distinct(list_transform(list_filter(range(1, len({TOKENS}) + 1), lambda i: {TOKENS}[i] IN ('thes', 'des')), lambda i: least(i, 16383))))"
 
 
-@query(f"SELECT doc_id, round(s / (s + 1), 6) AS text_score FROM (SELECT doc_id, {HITS} AS s FROM documents) WHERE s > 0 ORDER BY s / (s + 1) DESC, doc_id LIMIT 25")
+@query(f"""WITH w AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents)),
+hits AS (SELECT doc_id, x = 'thes' AS a, least(i, 16383) AS p FROM w WHERE x IN ('thes', 'ble', 'bleing', 'bleingly')),
+n AS (SELECT *, lead(a) OVER (PARTITION BY doc_id ORDER BY p) AS b, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM hits),
+r AS (SELECT doc_id, sum(0.4::DOUBLE / (q - p)) AS r FROM n WHERE a <> b GROUP BY 1)
+SELECT doc_id, round(r / (r + 1), 6) AS text_score FROM r ORDER BY round(r / (r + 1), 9) DESC, doc_id LIMIT 25""")
 def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = t(spark, sf_dir, "documents").select("doc_id", retrieval.term_score(F.col("text"), TERMS).alias("score")).where("score > 0")
-    return retrieval.ranked(told, "score", "rank", "doc_id", 25).select("doc_id", r6(F.col("score")).alias("text_score"))
+    """Both words: the nearer they stand, the higher the rank."""
+    found = fulltext.search(t(spark, sf_dir, "documents"), "thes bleing", "text", key="doc_id").withColumn("score", F.round("text_score", 9))
+    return retrieval.ranked(found, "score", "rank", "doc_id", 25).select("doc_id", r6(F.col("score")).alias("text_score"))
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {TOKENS} AS w FROM documents) WHERE list_contains(w, 'des') AND NOT list_has_any(w, ['thes', 'vi']) OR list_has_any(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), ['onré thes', 'des réles', 'des le', 'des des'])")
+def fulltext_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that must not occur, phrases, and alternatives."""
+    asked = 'des -thes -vi OR "onré thes" OR "des réles" or "des le" OR "des des"'
+    return fulltext.search(t(spark, sf_dir, "documents"), asked, "text", key="doc_id").select("doc_id")
+
+
+@query(f"""SELECT doc_id, len({TOKENS}) + 1 AS places, len(list_distinct(list_append({TOKENS}, lower(source)))) AS lexemes FROM documents WHERE len({TOKENS}) > 0 AND regexp_full_match(source, '[A-Za-z0-9]+')""")
+def fulltext_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and contents as weighted places of lexemes, without stop words or stems."""
+    docs = t(spark, sf_dir, "documents").where(F.col("source").rlike(r"\A[A-Za-z0-9]+\z"))
+    found = fulltext.vectors(docs, "text", "source", F.lit("simple"), "doc_id").where("size(lexemes) > 1")
+    return found.select("doc_id", F.size("lexemes").cast("long").alias("places"), F.size(F.array_distinct(F.transform("lexemes", lambda x: x.lexeme))).cast("long").alias("lexemes"))
 
 
 HYBRID = f"""WITH near AS (SELECT vec_id AS doc_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS vr FROM (SELECT e.vec_id, {COSINE} AS s FROM embeddings e, {QUERY_VECTOR} WHERE e.vec_id IN (SELECT doc_id FROM documents)) ORDER BY vr LIMIT 200),
@@ -121,9 +144,9 @@ def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(chunks, first_vector(spark, sf_dir), TERMS, count=50, key="doc_id", text="text")
 
 
-@query(HYBRID + "SELECT doc_id, round(s, 6) AS similarity, vr::BIGINT AS vector_rank, tr::BIGINT AS text_rank, round(c, 6) AS combined_score FROM top")
+@query(HYBRID + "SELECT doc_id, round(coalesce(s, 0), 6) AS similarity, round(coalesce(ts, 0), 6) AS text_score, vr::BIGINT AS vector_rank, tr::BIGINT AS text_rank, round(c, 6) AS combined_score FROM top")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_hits(spark, sf_dir).select("doc_id", r6(F.col("similarity")).alias("similarity"), F.col("vector_rank").cast("long"), F.col("text_rank").cast("long"), r6(F.col("combined_score")).alias("combined_score"))
+    return hybrid_hits(spark, sf_dir).select("doc_id", r6(F.col("similarity")).alias("similarity"), r6(F.col("text_score")).alias("text_score"), F.col("vector_rank").cast("long"), F.col("text_rank").cast("long"), r6(F.col("combined_score")).alias("combined_score"))
 
 
 @query(HYBRID + r"SELECT top.doc_id, round(c, 6) AS combined_score FROM top JOIN documents d ON d.doc_id = top.doc_id WHERE NOT regexp_matches(text, '(?i)\b(that|pour|und)\b')")
@@ -178,8 +201,10 @@ def word_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"), text.token_estimate(F.col("text")).alias("tokens"))
 
 
-SECTIONS = f"""WITH lines AS (SELECT doc_id, {trimmed_sql('x')} AS line, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
-sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS sequence, line AS title, CASE WHEN line = '' THEN '##' ELSE '## ' || line END AS content FROM lines)
+SECTIONS = f"""WITH lines AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {trimmed_sql('x')}) AS l FROM documents),
+placed AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS pos FROM lines),
+sections AS (SELECT doc_id, pos - 1 AS sequence, l[pos] AS title, CASE WHEN (pos - 1) % 3 = 0 THEN '##' ELSE '###' END AS mark, l[pos - (pos - 1) % 3] AS second FROM placed),
+told AS (SELECT *, mark || ' ' || title AS content, CASE WHEN mark = '##' THEN title ELSE second || ' > ' || title END AS path FROM sections)
 """
 
 
@@ -187,12 +212,12 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.heading_chunks(markdown(t(spark, sf_dir, "documents")), title=F.col("title"))
 
 
-@query(SECTIONS + f"SELECT doc_id, sequence::INT AS sequence, title AS section_title, 2 AS heading_level, sha256(content) AS content_hash, ceil({words_sql('content')} / 0.75)::BIGINT AS token_count, 'Doc ' || doc_id || ' > ' || title AS heading_path FROM sections")
+@query(SECTIONS + f"SELECT doc_id, sequence::INT AS sequence, title AS section_title, len(mark)::INT AS heading_level, sha256(content) AS content_hash, ceil({words_sql('content')} / 0.75)::BIGINT AS token_count, 'Doc ' || doc_id || ' > ' || path AS heading_path FROM told")
 def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(spark, sf_dir).select("doc_id", "sequence", "section_title", "heading_level", "content_hash", "token_count", F.array_join("heading_path", " > ").alias("heading_path"))
 
 
-@query(SECTIONS + "SELECT doc_id, sequence::INT AS sequence, title AS section_title, 'Crosswalk > ' || title AS heading_path, length(content)::INT AS n_chars FROM sections")
+@query(SECTIONS + "SELECT doc_id, sequence::INT AS sequence, title AS section_title, 'Crosswalk > ' || path AS heading_path, length(content)::INT AS n_chars FROM told")
 def crosswalk_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk.crosswalk_chunks(markdown(t(spark, sf_dir, "documents")))
     return out.select("doc_id", "sequence", "section_title", F.array_join("heading_path", " > ").alias("heading_path"), F.length("content").alias("n_chars"))
@@ -248,11 +273,15 @@ def watermark_hmac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", watermark.verified(F.col("marked"), SECRET).alias("v"), watermark.verified(F.col("marked")).alias("p")).select("doc_id", "v.signature", "v.valid", F.col("p.valid").alias("plain_valid"))
 
 
-@query("SELECT source, count(*) AS chunks, bool_and(doc_id % 11 <> 0) AS all_valid, bool_or(doc_id % 11 <> 0) AS any_valid FROM documents GROUP BY 1")
+@query("SELECT source, count(*) AS chunks, bool_and(doc_id % 11 <> 0) AS all_valid, bool_or(doc_id % 11 <> 0) AS any_valid, bool_and(doc_id % 13 <> 0) AS looks_marked FROM documents GROUP BY 1")
 def doc_watermark_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = marked(spark, sf_dir).withColumn("v", watermark.verified(F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("!"), "marked")).otherwise(F.col("marked"))))
-    ok = F.col("v.valid") & (F.col("v.corpus_id") == F.col("corpus_id")) & (F.col("v.sequence") == F.col("sequence"))
-    return m.groupBy(F.substring("corpus_id", 5, 100).alias("source")).agg(F.count("*").alias("chunks"), F.bool_and(ok).alias("all_valid"), F.bool_or(ok).alias("any_valid"))
+    i = F.col("doc_id")
+    # One in eleven was changed after marking; one in thirteen of the others is cut off and so has no mark, which is not valid either.
+    broken = F.when(i % 11 == 0, F.concat(F.lit("!"), "marked")).otherwise(F.col("marked"))
+    m = marked(spark, sf_dir).withColumn("content", broken)
+    told = views.watermark_summary(m).select(F.substring("corpus_id", 5, 100).alias("source"), "chunks", "all_valid", "any_valid")
+    cut = m.withColumn("content", F.when(i % 13 == 0, F.concat("content", F.lit("."))).otherwise(F.col("content")))
+    return told.join(views.watermark_summary(cut).select(F.substring("corpus_id", 5, 100).alias("source"), "looks_marked"), "source")
 
 
 AUDIT = f"""WITH halves AS (SELECT doc_id, source, text AS src, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: i % 2 = 1), chr(10)) AS ai FROM documents),
@@ -273,14 +302,30 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits(spark, sf_dir).select("sequence", r6(F.col("coverage_ratio")).alias("coverage_ratio"), r6(F.col("length_ratio")).alias("length_ratio"), "omission_detected", F.size("warnings").alias("n_warnings"), F.length("recovered_text").alias("recovered_chars"))
 
 
-@query(AUDIT + "SELECT source AS document_id, count(*) AS chunks, count(*) FILTER (cov < 0.82 OR lr < 0.55) AS omissions, sha256(string_agg(CASE WHEN cov < 0.82 OR lr < 0.55 THEN src ELSE ai END, chr(10) || chr(10) ORDER BY doc_id)) AS text_hash FROM ratios GROUP BY 1")
+PARTS = f"""WITH parts AS (SELECT doc_id, l, unnest(range(0, (len(l) + 4) // 5)) AS sequence FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+halves AS (SELECT doc_id AS document_id, sequence, array_to_string(l[sequence * 5 + 1:sequence * 5 + 5], chr(10)) AS src, array_to_string(list_filter(l[sequence * 5 + 1:sequence * 5 + 5], lambda x, i: (i + document_id) % 3 <> 0), chr(10)) AS ai FROM parts),
+lex AS (SELECT *, {lexemes_sql('src')} AS a, {lexemes_sql('ai')} AS b FROM halves),
+ratios AS (SELECT *, CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS cov, CASE WHEN length(src) = 0 THEN 1.0 ELSE length(ai)::DOUBLE / length(src) END AS lr FROM lex)
+"""
+
+
+def part_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five lines of a document as a chunk, rewritten without every third line."""
+    lines = F.split(F.col("text"), "\n")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 5).cast("int")), lambda i: F.slice(lines, i * 5 + 1, 5))
+    rows = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(parts).alias("sequence", "part"))
+    kept = F.filter("part", lambda x, i: (i + 1 + F.col("document_id")) % 3 != 0)
+    return audit.audited(rows.select("document_id", "sequence", F.array_join("part", "\n").alias("source_text"), F.array_join(kept, "\n").alias("ai_text")))
+
+
+@query(PARTS + "SELECT document_id, count(*) AS chunks, count(*) FILTER (cov < 0.82 OR lr < 0.55) AS omissions, sha256(string_agg(CASE WHEN cov < 0.82 OR lr < 0.55 THEN src ELSE ai END, chr(10) || chr(10) ORDER BY sequence)) AS text_hash FROM ratios GROUP BY 1")
 def audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.rollup(audits(spark, sf_dir)).select("document_id", "chunks", "omissions", text.sha256(F.col("recovered_text")).alias("text_hash"))
+    return audit.rollup(part_audits(spark, sf_dir)).select("document_id", "chunks", "omissions", text.sha256(F.col("recovered_text")).alias("text_hash"))
 
 
-@query(AUDIT + "SELECT source AS document_id, sum(greatest((cov < 0.82)::INT + (lr < 0.55)::INT, 1))::BIGINT AS warning_count FROM ratios WHERE cov < 0.82 OR lr < 0.55 GROUP BY 1")
+@query(PARTS + "SELECT document_id, sum(greatest((cov < 0.82)::INT + (lr < 0.55)::INT, 1))::BIGINT AS warning_count FROM ratios WHERE cov < 0.82 OR lr < 0.55 GROUP BY 1")
 def audit_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.warning_summary(audits(spark, sf_dir)).select("document_id", "warning_count")
+    return audit.warning_summary(part_audits(spark, sf_dir)).select("document_id", "warning_count")
 
 
 @query()

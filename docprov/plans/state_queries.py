@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprov.functions import text
-from docprov.operators import access, jobs, store, views, workflow
+from docprov.operators import access, jobs, parse, store, views, workflow
 from docprov.plans.search_queries import AS_OF, as_of, query, t
+from docprov.session import shared_folder
 from docprov.sources import export
 from docprov.streaming import worker
 
@@ -72,22 +73,22 @@ def run_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.run_gate(requests, authorities, policies, n.select(F.col("n_nationkey").cast("long").alias("id"))).select("request", "reason")
 
 
-@query("""SELECT o_orderkey AS document_id, count(l_orderkey) AS total_chunks, count(*) FILTER (l_linestatus = 'F' AND l_returnflag = 'N') AS processing_chunks, count(*) FILTER (l_returnflag = 'A') AS complete_chunks, count(*) FILTER (l_returnflag = 'R') AS failed_chunks
+@query("""SELECT o_orderkey AS document_id, count(l_orderkey) AS total_chunks, count(*) FILTER (l_linestatus = 'F' AND l_returnflag = 'N') AS processing_chunks, count(*) FILTER (l_returnflag = 'A') AS complete_chunks, count(*) FILTER (l_returnflag = 'R') AS failed_chunks, max(o_orderpriority) AS latest_embedding_model
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def coverage_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("l_returnflag") == "A", "complete").when(F.col("l_returnflag") == "R", "failed").when(F.col("l_linestatus") == "F", "processing").otherwise("pending")
     chunks = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), status.alias("embedding_status"))
     docs = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"))
-    none = spark.createDataFrame([], "document_id long, model string, created_at timestamp")
-    return views.document_summary(docs, chunks, none).select("document_id", "total_chunks", "processing_chunks", "complete_chunks", "failed_chunks")
+    indexes = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("model"), F.col("o_orderdate").alias("created_at"))
+    return views.document_summary(docs, chunks, indexes).select("document_id", "total_chunks", "processing_chunks", "complete_chunks", "failed_chunks", "latest_embedding_model")
 
 
-@query("SELECT c_custkey AS document_id, (SELECT o_orderpriority FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderpriority DESC LIMIT 1) AS latest_embedding_model FROM customer")
+@query("SELECT c_custkey AS document_id, (SELECT o_orderpriority FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderpriority DESC LIMIT 1) AS latest_embedding_model, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS total_chunks FROM customer")
 def latest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"))
     indexes = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("model"), F.col("o_orderdate").alias("created_at"))
-    chunks = spark.createDataFrame([], "document_id long, embedding_status string")
-    return views.document_summary(docs, chunks, indexes).select("document_id", "latest_embedding_model")
+    chunks = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.lit("pending").alias("embedding_status"))
+    return views.document_summary(docs, chunks, indexes).select("document_id", "latest_embedding_model", "total_chunks")
 
 
 @query("SELECT l_linenumber AS sequence, o_orderpriority AS tier, count(*) AS chunks FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
@@ -266,11 +267,11 @@ def session_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     k = F.col("c_custkey")
     created = F.when(k % 2 == 0, F.lit("1995-12-31 23:45:00")).otherwise(F.lit("1995-12-30 00:00:00")).cast("timestamp")
     sessions = t(spark, sf_dir, "customer").select(k.alias("session_id"), statuses(k, SESSIONS).alias("status"), created.alias("created_at"), (k % 5 == 0).alias("has_crosswalk"))
-    docs = t(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("session_id"), statuses(F.col("o_orderkey"), DOCS).alias("status"))
+    docs = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), statuses(F.col("o_orderkey"), DOCS).alias("status"))
     return sessions, docs
 
 
-S = f"""WITH d AS (SELECT o_custkey AS session_id, count(*) FILTER ({status_sql('o_orderkey', DOCS)} IN ('pending', 'parsing')) AS waiting FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+S = f"""WITH d AS (SELECT o_custkey AS session_id, count(*) FILTER ({status_sql('o_orderkey', DOCS)} IN ('pending', 'parsing')) AS waiting FROM orders GROUP BY 1),
 s AS (SELECT c_custkey AS session_id, {status_sql('c_custkey', SESSIONS)} AS status, c_custkey % 2 = 0 AS is_new, c_custkey % 5 = 0 AS cw, waiting FROM customer LEFT JOIN d ON d.session_id = c_custkey)
 """
 
@@ -298,8 +299,8 @@ def promote_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT source AS session_id, count(*) FILTER ({status_sql('doc_id', DOCS)} = 'watermarked' AND doc_id % 2 = 0) >= 2 AS crosswalk_ready FROM documents GROUP BY 1")
 def crosswalk_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = (statuses(F.col("doc_id"), DOCS) == "watermarked") & (F.col("doc_id") % 2 == 0)
-    return t(spark, sf_dir, "documents").groupBy(F.col("source").alias("session_id")).agg((F.count_if(ok) >= 2).alias("crosswalk_ready"))
+    docs = t(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), statuses(F.col("doc_id"), DOCS).alias("status"), (F.col("doc_id") % 2 == 0).alias("promoted"))
+    return parse.crosswalk_ready(docs)
 
 
 def org_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -377,16 +378,20 @@ def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.bundle(docs, chunks).select("path", text.sha256(F.col("content")).alias("content_hash"))
 
 
-@query()
+RECEIPT = f"""'{{"position":' || doc_id || ',"corpus_id":"c' || doc_id || '","status":"' || {status_sql('doc_id', DOCS)} || '","content_hash":"' || sha256(text) || '"}}'"""
+
+
+@query(f"""SELECT doc_id // 10 AS session_id, '{{"session":' || (doc_id // 10) || ',"documents":' || count(*) || ',"items":[' || string_agg({RECEIPT}, ',' ORDER BY doc_id) || ']}}' AS receipt FROM documents GROUP BY 1""")
 def session_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of ten documents."""
     i = F.col("doc_id")
-    docs = t(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), i.alias("position"), F.concat(F.lit("c"), i.cast("string")).alias("corpus_id"), statuses(i, DOCS).alias("status"), text.sha256(F.col("text")).alias("content_hash"))
+    docs = t(spark, sf_dir, "documents").select(F.floor(i / 10).alias("session_id"), i.alias("position"), F.concat(F.lit("c"), i.cast("string")).alias("corpus_id"), statuses(i, DOCS).alias("status"), text.sha256(F.col("text")).alias("content_hash"))
     return export.receipt(docs)
 
 
 @query("SELECT DISTINCT p_brand AS facet FROM part UNION SELECT DISTINCT p_type FROM part")
 def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "part").select(F.explode(F.array("p_brand", "p_type")).alias("facet")).distinct()
+    return workflow.facets(t(spark, sf_dir, "part"), "p_brand", "p_type")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -394,7 +399,7 @@ def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as a stream, each once, and counted from what it wrote."""
     import uuid
 
-    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/docprov-checkpoints").rstrip("/") + "/" + uuid.uuid4().hex
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     source = f"{sf_dir}/events.parque[t]"  # as a pattern, a single file will do too
     stream = worker.ingest(spark, source, t(spark, sf_dir, "events").schema, f"{folder}/out", f"{folder}/state", lambda s: s.select("event_id", "event_type"))
     stream.awaitTermination()
