@@ -2,7 +2,8 @@
 
 Words become embeddings: the sum of hashed vectors of the whole word and of its first
 letters, so that inflected forms of one stem meet. Filters of several widths slide over
-the words, each keeps its largest value, and a logistic layer reads these. One dimension of
+the words, each keeps its largest values (`TOP` of them: one such word may be chance, some
+are not), and a logistic layer reads these. One dimension of
 the embeddings starts at the evidence of the training rows, as is known to help where rows
 are few: a lower bound of the log odds that a text with such a word is labelled 1; the
 first filter starts by reading it. Training takes a bounded, deterministic sample of the
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from docprov.llm.common import staged
 
 TOKEN = re.compile(r"\w+")
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
+BUCKETS, DIM, WIDTHS, FILTERS, TOP = 1 << 16, 12, (1, 2, 3), 8, 5
+#: Empty words behind a text: windows that start within a text or at the first `TOP` of these are its own.
+GAP = TOP + max(WIDTHS)
 PREFIXES = (3, 4, 5, 7)
 #: Where a logit is cut off, and the words scored at a time.
 STEEP, BATCH_WORDS = 30.0, 1 << 15
@@ -96,9 +99,9 @@ class Network:
         self.table[0] = 0
         self.conv = {w: rng.normal(0, np.sqrt(2 / (w * DIM)), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.biases = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
-        self.out = rng.normal(0, 0.05, FILTERS * len(WIDTHS)).astype(np.float32)
+        self.out = rng.normal(0, 0.02, (TOP, len(WIDTHS), FILTERS)).astype(np.float32)
         first = WIDTHS[0]
-        self.conv[first][:, :, 0], self.conv[first][0, 0, 0], self.out[0] = 0, 1, 1
+        self.conv[first][:, :, 0], self.conv[first][0, 0, 0], self.out[:, 0, 0] = 0, 1, 0.5
         self.bias, self.state = -1.0, {}
 
     def model(self, cut: float) -> Model:
@@ -111,39 +114,48 @@ class Network:
         m += 0.1 * grad * grad
         value -= rate * grad / (np.sqrt(m) + 1e-4)
 
-    def step(self, ids: list[np.ndarray], y: np.ndarray, rate: float, rng: np.random.Generator) -> None:
-        """One step on some texts, laid end to end with empty words between."""
-        gap = np.zeros((max(WIDTHS), 1 + len(PREFIXES)), np.int32)
+    def pools(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(buckets, embeddings, largest values, where their windows start) of texts laid end to end with empty
+        words between; the last two by text, place among the largest, width and filter."""
+        gap = np.zeros((GAP, 1 + len(PREFIXES)), np.int32)
         flat = np.concatenate([part for own in ids for part in (own, gap)])
-        ends = np.cumsum([len(own) + len(gap) for own in ids])
-        starts = np.concatenate([[0], ends[:-1]])
+        ends = np.cumsum([len(own) + GAP for own in ids])
         x = self.table[flat].sum(1)
-        pool, tops = np.zeros((len(ids), FILTERS * len(WIDTHS)), np.float32), []
-        for k, w in enumerate(WIDTHS):
-            n = len(x) - w + 1
-            z = sum(x[j : n + j] @ self.conv[w][j] for j in range(w)) + self.biases[w]
-            # Windows that start within a text or just behind it.
-            top = np.stack([a + z[a : a + len(own) + 1].argmax(0) for a, own in zip(starts, ids, strict=True)])
-            pool[:, k * FILTERS : (k + 1) * FILTERS] = np.maximum(z[top, np.arange(FILTERS)], 0)
-            tops.append(top)
+        z = np.stack([sum(x[j : len(x) - max(WIDTHS) + 1 + j] @ self.conv[w][j] for j in range(w)) + self.biases[w] for w in WIDTHS], axis=1)
+        tops = []
+        for end, own in zip(ends, ids, strict=True):
+            a = end - len(own) - GAP
+            tops.append(a + np.argpartition(z[a : a + len(own) + TOP], len(own), axis=0)[len(own) :])
+        top = np.stack(tops)
+        pool = np.take_along_axis(z[None], top.reshape(1, -1, len(WIDTHS), FILTERS), 1).reshape(top.shape)
+        order = np.argsort(pool, axis=1)
+        return flat, x, np.maximum(np.take_along_axis(pool, order, 1), 0), np.take_along_axis(top, order, 1)
+
+    def logits(self, ids: list[np.ndarray]) -> np.ndarray:
+        parts = [np.tensordot(self.pools(ids[at : at + 64])[2], self.out, 3) for at in range(0, len(ids), 64)]
+        return np.concatenate(parts) + self.bias
+
+    def step(self, ids: list[np.ndarray], y: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+        """One step on some texts."""
+        flat, x, pool, top = self.pools(ids)
         drop = (rng.random(pool.shape) > 0.2) / 0.8
         hidden = pool * drop
-        p = 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.bias, -STEEP, STEEP)))
-        d = (p - y) / len(ids)
-        g_pool = (np.outer(d, self.out) * drop * (pool > 0)).astype(np.float32)
+        p = 1 / (1 + np.exp(-np.clip(np.tensordot(hidden, self.out, 3) + self.bias, -STEEP, STEEP)))
+        d = ((p - y) / len(ids)).astype(np.float32)
+        g_pool = (d[:, None, None, None] * self.out * drop * (pool > 0)).astype(np.float32)
         rows, values = [], []
         for k, w in enumerate(WIDTHS):
-            g = g_pool[:, k * FILTERS : (k + 1) * FILTERS]
+            g = g_pool[:, :, k]
             g_conv = np.zeros_like(self.conv[w])
             for j in range(w):
-                at = tops[k] + j
-                g_conv[j] = np.einsum("bfd,bf->df", x[at], g)
-                push = self.conv[w][j].T[None] * g[:, :, None]
+                at = top[:, :, k] + j
+                g_conv[j] = np.einsum("btfd,btf->df", x[at], g)
+                push = self.conv[w][j].T[None, None] * g[..., None]
                 rows.append(flat[at].reshape(-1))
                 values.append(np.repeat(push.reshape(-1, DIM), flat.shape[1], axis=0))
             self._move(("c", w), self.conv[w], g_conv, rate)
-            self._move(("b", w), self.biases[w], g.sum(0), rate)
-        self._move("out", self.out, (hidden.T @ d + 1e-4 * self.out).astype(np.float32), rate)
+            self._move(("b", w), self.biases[w], g.sum((0, 1)), rate)
+        self._move("out", self.out, (np.tensordot(d, hidden, 1) + 1e-4 * self.out).astype(np.float32), rate)
         self.bias -= rate * float(d.sum()) * 10
         touched, inverse = np.unique(np.concatenate(rows), return_inverse=True)
         g = np.zeros((len(touched), DIM), np.float32)
@@ -156,11 +168,11 @@ class Network:
         self.table[0] = 0
 
 
-def passes(ids: list[np.ndarray], y: np.ndarray, epochs: int, cut: float, seed: int) -> Iterator[Model]:
-    """The model before training and after each pass: as many rows of either label, drawn again where one is rare."""
+def passes(ids: list[np.ndarray], y: np.ndarray, epochs: int, seed: int) -> Iterator[Network]:
+    """The network before training and after each pass: as many rows of either label, drawn again where one is rare."""
     rng = np.random.default_rng(seed)
     network = Network(ids, y, rng)
-    yield network.model(cut)
+    yield network
     ones, zeros = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     n = max(len(ones), min(len(zeros), 2 * len(ones)))
     for epoch in range(epochs):
@@ -169,7 +181,7 @@ def passes(ids: list[np.ndarray], y: np.ndarray, epochs: int, cut: float, seed:
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
             network.step([ids[i] for i in batch], y[batch], 0.003 if epoch < epochs * 2 / 3 else 0.001, rng)
-        yield network.model(cut)
+        yield network
 
 
 def fit(texts: list[str], labels: list[int], langs: list[str], cut: float = 0.7, epochs: int = 3, seed: int = 5) -> Model:
@@ -188,22 +200,21 @@ def fit(texts: list[str], labels: list[int], langs: list[str], cut: float = 0.7,
     folds = [k for k in range(FOLDS) if len(set(y[fold != k])) == 2 and (fold == k).any()]
     for k in folds:
         held, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-        for epoch, model in enumerate(passes([ids[i] for i in rest], y[rest], epochs, cut, seed + k)):
-            logits[epoch, held] = Scorer(model).logits([texts[i] for i in held])
+        for epoch, network in enumerate(passes([ids[i] for i in rest], y[rest], epochs, seed + k)):
+            logits[epoch, held] = network.logits([ids[i] for i in held])
     scored = np.isin(fold, folds)
     if not scored.any():  # a single row of a label
         scored[:] = True
-        for epoch, model in enumerate(passes(ids, y, epochs, cut, seed)):
-            logits[epoch] = Scorer(model).logits(texts)
+        for epoch, network in enumerate(passes(ids, y, epochs, seed)):
+            logits[epoch] = network.logits(ids)
     for epoch in range(epochs + 1):
         z, own = logits[epoch, scored], y[scored]
         z = np.clip(z - _best_cut(z, own), -STEEP, STEEP)
         weight = np.where(own == 1, 1 / max(1, own.sum()), 1 / max(1, (1 - own).sum()))
         loss[epoch] = (weight * np.logaddexp(0, np.where(own == 1, -z, z))).sum()
     best = int(loss.argmin())
-    for epoch, model in enumerate(passes(ids, y, epochs, cut, seed)):
-        if epoch == best:
-            break
+    network = next(n for epoch, n in enumerate(passes(ids, y, epochs, seed)) if epoch == best)
+    model = network.model(cut)
     _calibrate(model, logits[best, scored], y[scored], [x for x, s in zip(langs, scored, strict=True) if s])
     return model
 
@@ -252,7 +263,7 @@ class Scorer:
             while first + len(new) > len(self.table):
                 self.table = np.vstack([self.table, np.zeros_like(self.table)])
             stems = self.stems
-            for stem in {w[:k] for w in new for k in PREFIXES} - stems.keys():
+            for stem in [x for x in {w[:k] for w in new for k in PREFIXES} if x not in stems]:
                 stems[stem] = crc32(stem.encode()) % (BUCKETS - 1) + 1
             whole = np.fromiter((crc32(w.encode(), 1) for w in new), np.int64, len(new)) % (BUCKETS - 1) + 1
             buckets = np.stack([whole, *(np.fromiter((stems[w[:k]] for w in new), np.int64, len(new)) for k in PREFIXES)], axis=1)
@@ -265,46 +276,50 @@ class Scorer:
 
     def logits(self, texts: list[str]) -> np.ndarray:
         """A logit a text; texts are laid end to end, a bounded number of words at a time.
-        A longer text goes in pieces that overlap by a window, and its largest pools count."""
+        A longer text goes in pieces, and the largest values of all of them count."""
         if self.model.out is None:
             return np.full(len(texts), -STEEP)
-        pooled = np.zeros((len(texts), FILTERS * len(WIDTHS)), np.float32)
-        gap, flat, owners = [0] * max(WIDTHS), [], []
-        edges: list[int] = []  # of each piece: its first window, and the first beyond its end
+        pooled = np.full((len(texts), TOP, FILTERS * len(WIDTHS)), -np.inf, np.float32)
+        gap, flat = [0] * GAP, []
+        pieces: list[tuple[int, int, int]] = []  # (text, its first window, the first beyond its last)
         for i, text in enumerate(texts):
             if len(self.known) > self.most:
-                self._pool(pooled, flat, edges, owners)
+                self._pool(pooled, flat, pieces)
                 self.known.clear()
                 self.stems.clear()
             rows = self._rows(text)
             for at in range(0, max(1, len(rows)), BATCH_WORDS):
-                piece = rows[at : at + BATCH_WORDS + max(WIDTHS)]
-                edges += [len(flat), len(flat) + len(piece) + 1]
-                owners.append(i)
-                flat += piece + gap
+                own = min(BATCH_WORDS, len(rows) - at)
+                last = at + own == len(rows)
+                pieces.append((i, len(flat), len(flat) + own + TOP * last))
+                flat += rows[at : at + own] + gap if last else rows[at : at + own + max(WIDTHS)]
                 if len(flat) >= BATCH_WORDS:
-                    self._pool(pooled, flat, edges, owners)
-        self._pool(pooled, flat, edges, owners)
+                    self._pool(pooled, flat, pieces)
+        self._pool(pooled, flat, pieces)
         # Row by row, so that a score doesn't depend on what else is in its batch.
-        return np.round((pooled * self.model.out).sum(1, dtype=np.float64) + self.model.bias, 6)
+        weights = self.model.out.reshape(TOP, -1)
+        return np.round((np.maximum(pooled, 0) * weights).sum((1, 2), dtype=np.float64) + self.model.bias, 6)
 
-    def _pool(self, pooled: np.ndarray, flat: list[int], edges: list[int], owners: list[int]) -> None:
-        """Each piece counts the windows that start within it or just behind it, as in
-        training; those further on reach into the next piece."""
-        if not edges:
+    def _pool(self, pooled: np.ndarray, flat: list[int], pieces: list[tuple[int, int, int]]) -> None:
+        """Keep the largest values of the windows of each piece."""
+        if not pieces:
             return
         own, column = self.table[np.array(flat)], 0
+        n = len(own) - max(WIDTHS) + 1
+        z = np.empty((n, FILTERS * len(WIDTHS)), np.float32)
         for k, w in enumerate(WIDTHS):
-            n = len(own) - w + 1
-            z = own[:n, column : column + FILTERS]
+            part = z[:, k * FILTERS : (k + 1) * FILTERS]
+            part[:] = own[:n, column : column + FILTERS] + self.model.biases[w]
             for j in range(1, w):
-                z = z + own[j : j + n, column + j * FILTERS : column + (j + 1) * FILTERS]
+                part += own[j : j + n, column + j * FILTERS : column + (j + 1) * FILTERS]
             column += w * FILTERS
-            top = np.maximum(np.maximum.reduceat(z, edges if edges[-1] < n else edges[:-1])[::2] + self.model.biases[w], 0)
-            np.maximum.at(pooled[:, k * FILTERS : (k + 1) * FILTERS], owners, top)
+        for i, a, b in pieces:
+            top = z[a:b]
+            if b - a > TOP:
+                top = np.partition(top, b - a - TOP, axis=0)[-TOP:]
+            pooled[i] = np.sort(np.concatenate([pooled[i], top]), axis=0)[-TOP:]
         flat.clear()
-        edges.clear()
-        owners.clear()
+        pieces.clear()
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.model.out is None:

@@ -269,6 +269,41 @@ def test_long_texts_score_as_their_parts():
     assert apart.tolist() == pytest.approx([toxicity.Scorer(model).scores([t])[0] for t in (far, "idiot", None, far + "x")])
 
 
+def plain_score(model, text):
+    """The forward pass, word by word and window by window."""
+    import math
+
+    words = [model.columns[toxicity.bucket_of(w)].sum(0) for w in toxicity.TOKEN.findall((text or "").lower())]
+    width = toxicity.FILTERS
+    at = lambda i, c: float(words[i][c]) if i < len(words) else 0.0
+    z, column = model.bias, 0
+    for k, w in enumerate(toxicity.WIDTHS):
+        for f in range(width):
+            values = [sum(at(i + j, column + j * width + f) for j in range(w)) + float(model.biases[w][f]) for i in range(len(words) + toxicity.TOP)]
+            for t, v in enumerate(sorted(values)[-toxicity.TOP :]):
+                z += float(model.out[t, k, f]) * max(0.0, v)
+        column += w * width
+    return 1 / (1 + math.exp(-min(max(z + model.shift, -30), 30)))
+
+
+def test_scores_equal_a_plain_forward_pass():
+    model = toxicity.fit(["you bad idiot here", "an idiot, bad idiots"] * 15 + ["all is well here", "we are fine"] * 15, [1] * 30 + [0] * 30, ["en"] * 60)
+    texts = ["idiot", "", None, "all is well, you idiots and scum", "bad " * 9 + "fine", "x y z", "here here here bad idiot"]
+    assert toxicity.Scorer(model).scores(texts).tolist() == pytest.approx([plain_score(model, t) for t in texts], abs=1e-4)
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    """On rows that nothing was learned from: at least nine in ten toxic ones are found, and nine in ten found are toxic."""
+    sf_dir = "/root/testdata/sf0.1"
+    out = queries.op8_toxicity(spark, sf_dir)
+    truth = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    rows = out.where("held_out").select("doc_id", "predicted").join(truth, "doc_id").select("predicted", "toxic").collect()
+    assert len(rows) > 1000 and {r.predicted for r in rows} == {0, 1}
+    caught = sum(r.predicted and r.toxic for r in rows)
+    assert caught >= 0.9 * sum(r.toxic for r in rows) and caught >= 0.9 * sum(r.predicted for r in rows)
+    assert out.count() == table(spark, sf_dir, "documents").count()
+
+
 @pytest.fixture(scope="module")
 def trees():
     return html.trained()
@@ -324,6 +359,29 @@ def test_drawings_end_where_they_end(trees, drawing, inner):
     assert html.main_text(f"<html><body>{article.replace('voted', f'{shape} voted')}</body></html>", trees).split() == want.split()
 
 
+PROSE = "<p>The town council met on Monday, and it voted for the new bridge after a long debate.</p>"
+
+
+@pytest.mark.parametrize("value", ["it's", "it's=\"5>4", "a\"b", "x='y"])
+def test_quotes_count_only_around_values(trees, value):
+    odd = f"<p title={value}>First they don't agree on the bridge, and then they do.</p>" if ">" not in value else f"<p title='{value}'>First they don't agree on the bridge, and then they do.</p>"
+    if ">" in value:
+        odd = '<p title="5>4 it\'s">First they don\'t agree on the bridge, and then they do.</p>'
+    page = f"<html><body><article>{PROSE * 3}{odd}{PROSE * 3}</article><div class=nav id='a>b'><a href=x>menu</a></div></body></html>"
+    text = html.main_text(page, trees)
+    assert "First they don't agree on the bridge, and then they do." in text and text.count("council") == 6 and "menu" not in text
+    assert html.Page("<p " + "a='1' b=\"2\" c=" * 20_000).blocks == []
+
+
+@pytest.mark.parametrize("deep", [10, 400, 520, 3000])
+@pytest.mark.parametrize("closed", [True, False])
+def test_depth_loses_nothing(trees, deep, closed):
+    inner = f"<p>Deep in the page there is one more paragraph, about the river and the bridge.</p>{'</div>' * deep * closed}"
+    page = f"<html><body><nav><a href='/'>home</a></nav><article><h1>The bridge</h1>{PROSE * 4}<section>{'<div>' * deep}{inner}</section>{PROSE * 4}</article><footer>all rights</footer></body></html>"
+    text = html.main_text(page, trees)
+    assert text.count("council") == 8 and "Deep in the page" in text and "home" not in text and "all rights" not in text
+
+
 def test_many_unclosed_elements_end_with_their_parent():
     for tag in ("nav", "form"):
         page = html.Page(f"<{tag}>{'<b><custom>' * 2000}</{tag}><p>after</p>")
