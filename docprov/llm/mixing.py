@@ -8,13 +8,16 @@ permutation of the source's block indexes gives for j, a new permutation for eac
 through the source. Blocks and slots meet in a join on (source, block).
 
 Only per-source totals and the shard-by-source counts (n_shards x sources) are on the
-driver. Offsets within a source are summed in two steps over about the square root of all
-rows each, so a source that holds a third of all rows is spread like any other.
+driver, which bounds the number of sources (a million of them take half a GB); the table of
+sources is broadcast only up to `SMALL_SOURCES` of them. Offsets within a source are summed
+in two steps over about the square root of all rows each, so a source that holds a third of
+all rows is spread like any other. Slots are made by as many tasks as `TASK_SLOTS` asks for,
+and blocks and slots meet in a sort-merge join, as both grow with the words.
 
 Defined results: null text has size 0; documents of size 0 are taken 0 times; a null
 source is a source, the last in order; repeated rows are documents of their own (each gets
-its own row); equal doc_ids keep apart unless the whole row repeats; an empty table gives
-an empty result; other columns are dropped.
+its own row, also where id and text repeat and other columns differ); an empty table gives
+an empty result; other columns are dropped by `mix_totals` and kept by `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from docprov.llm.common import WORD, staged, word_count
 
 WORDS = re.compile(WORD)
-CHUNK = 4096
+#: Slots made by one row, and by one task.
+CHUNK, TASK_SLOTS = 4096, 1_000_000
+SMALL_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -102,8 +107,8 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, inverse: bool
 def with_offsets(docs: DataFrame, rows: int) -> DataFrame:
     """Adds `start`, the words of the same source_no before a document, and `row_key`."""
     buckets = max(1, math.isqrt(rows))
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "check"), F.lit(buckets)).cast("int"))
-    w = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "check")
+    docs = docs.withColumn("bucket", F.pmod("same", F.lit(buckets)).cast("int"))
+    w = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "check", "no")
     local = docs.withColumn("rank", F.row_number().over(w)).withColumn("local", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     sums = docs.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -121,8 +126,11 @@ def block_pieces(docs: DataFrame, block: int) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and a checksum of the text, staged: what the mix works on."""
-    return staged(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("check")))
+    """doc_id, source, size, a checksum of the text and what tells rows apart, staged: what the mix works on."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.xxhash64(*others) if others else F.lit(0).cast("long")
+    own = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("check"), F.xxhash64("doc_id", "text").alias("same"), rest.alias("rest"))
+    return staged(own.withColumn("no", F.row_number().over(Window.partitionBy("same").orderBy("doc_id", "rest"))).drop("rest"))
 
 
 def source_table(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float, block: int, seed: int) -> pd.DataFrame:
@@ -162,8 +170,9 @@ def mix_plan(docs_sized: DataFrame, weights: tuple[float, ...], share: float, mo
     starts = np.cumsum(counts, axis=0) - counts
     plan = [(int(s), i, int(starts[i, s]), int(counts[i, s]), int(sources["blocks"][s])) for i in range(len(counts)) for s in range(counts.shape[1]) if counts[i, s]]
     drawn = spark.createDataFrame(plan, "source_no int, shard int, first long, n long, blocks long")
-    # In chunks, so that no task holds all slots of one source in a shard.
-    chunks = drawn.select("source_no", "shard", "first", "n", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("at")).repartition("source_no", "shard", "at")
+    # In chunks, dealt to a number of tasks that grows with the slots and that no later step lowers.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sources["slots"].sum()) // TASK_SLOTS)
+    chunks = drawn.select("source_no", "shard", "first", "n", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))).alias("at")).repartition(tasks, "source_no", "shard", "at")
     slots = chunks.select("source_no", "shard", "blocks", F.explode(F.sequence("at", F.least(F.col("at") + CHUNK, "n") - 1)).alias("k"), "first")
 
     @F.pandas_udf("long")
@@ -177,17 +186,18 @@ def mix_plan(docs_sized: DataFrame, weights: tuple[float, ...], share: float, mo
 
 
 def _pieces(docs_sized: DataFrame, sources: DataFrame, block: int) -> DataFrame:
-    joined = docs_sized.withColumnRenamed("source", "own_source").join(F.broadcast(sources), F.col("own_source").eqNullSafe(F.col("source"))).drop("own_source")
+    small = sources.limit(SMALL_SOURCES + 1).count() <= SMALL_SOURCES
+    joined = docs_sized.withColumnRenamed("source", "own_source").join(F.broadcast(sources) if small else sources, F.col("own_source").eqNullSafe(F.col("source"))).drop("own_source")
     return block_pieces(with_offsets(joined, docs_sized.count()), block)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 128, n_shards: int = 64, seed: int = 17) -> DataFrame:
     """The mix itself: a row for each part of a document in each slot that uses it, as
-    (shard, slot, source, block, doc_id, check, piece_start, piece_words), in words."""
+    (shard, slot, source, block, doc_id, check, no, piece_start, piece_words), in words."""
     sizes = sized(docs)
     sources, slots = mix_plan(sizes, weights, share, most, block, n_shards, seed)
     pieces = _pieces(sizes, sources, block).where("block is not null")
-    return slots.join(pieces, ["source_no", "block"]).select("shard", "slot", "source", "block", "doc_id", "check", "piece_start", "piece_words")
+    return slots.hint("merge").join(pieces, ["source_no", "block"]).select("shard", "slot", "source", "block", "doc_id", "check", "no", "piece_start", "piece_words")
 
 
 def mix_totals(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 128, n_shards: int = 64, seed: int = 17) -> DataFrame:
@@ -196,30 +206,30 @@ def mix_totals(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     sources, slots = mix_plan(sizes, weights, share, most, block, n_shards, seed)
     uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
     pieces = _pieces(sizes, sources, block)
-    joined = pieces.join(uses, ["source_no", "block"], "left")
+    joined = pieces.join(uses.hint("merge"), ["source_no", "block"], "left")
     taken: Column = F.sum(F.col("piece_words") * F.coalesce("uses", F.lit(0))).cast("long")
-    out = joined.groupBy("source_no", "bucket", "rank", "doc_id", "source", "size", "source_size", "target").agg(taken.alias("taken"))
+    out = joined.groupBy("same", "no", "doc_id", "source", "size", "source_size", "target").agg(taken.alias("taken"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 128, n_shards: int = 64, seed: int = 17, length: str | None = None) -> DataFrame:
     """The mix as documents: a row for each round in which the mix uses any of a document,
     with its columns and, where only some blocks are used, the text of these: runs of words
-    as they stand, joined by line feeds. `length` names a column to set to the new length.
-    Rows equal in id and text are mixed one by one; what their other columns hold is taken
-    from one of them."""
+    as they stand, joined by line feeds. `length` names a column to set to the new length."""
     sizes = sized(docs)
     sources, slots = mix_plan(sizes, weights, share, most, block, n_shards, seed)
     uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-    used = _pieces(sizes, sources, block).where("block is not null").join(uses, ["source_no", "block"])
+    used = _pieces(sizes, sources, block).where("block is not null").join(uses.hint("merge"), ["source_no", "block"])
     rounds = used.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
     part = F.struct("piece_start", "piece_words")
-    wanted = rounds.groupBy("source_no", "bucket", "rank", "doc_id", "check", "size", "round").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    wanted = rounds.groupBy("same", "no", "size", "round").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     # A document taken whole keeps its text as it is.
     whole = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + p.piece_words) == F.col("size")
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.when(~whole, F.col("parts")).alias("__parts"))
-    one = docs.withColumn("__own", F.xxhash64("text")).dropDuplicates(["doc_id", "__own"])
-    both = one.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__check")))
+    wanted = wanted.select(F.col("same").alias("__same"), F.col("no").alias("__no"), F.when(~whole, F.col("parts")).alias("__parts"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    same = Window.partitionBy("__same").orderBy("doc_id", "__rest")
+    one = docs.withColumn("__same", F.xxhash64("doc_id", "text")).withColumn("__rest", F.xxhash64(*others) if others else F.lit(0)).withColumn("__no", F.row_number().over(same))
+    both = one.join(wanted, ["__same", "__no"])
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, parts: pd.Series) -> pd.Series:

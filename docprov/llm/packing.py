@@ -9,7 +9,9 @@ segments, loss) vector has the largest dot product with the room left, both scal
 limits and weighted by what the group needs in all. Pieces of equal needs are
 interchangeable, so each step looks at the distinct needs only.
 
-Loss-bearing are all ids of a document but its first, which nothing predicts.
+Loss-bearing are all ids of a document but its first, which nothing predicts, and in a
+conversation those of the turns of some roles: there the loss limit binds apart from the
+tokens, and a sequence mixes examples of much and of little loss.
 
 Defined results: a null text is empty, its only id the closing one; repeated rows are
 packed one by one; a text of any length is cut, never shortened; `loss` below the tokens
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprov.llm.common import map_columns
+from docprov.llm.common import by_group, map_columns
 
 END = 0
 
@@ -98,6 +100,39 @@ def pieces(docs: DataFrame, limits: Limits = Limits(), with_ids: bool = True, ke
     return map_columns(docs, [key, text], cut, f"`{key}` {kind}, start long, length long, loss long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
+def conversation_pieces(turns: DataFrame, limits: Limits = Limits(), bearing: tuple[str, ...] = ("assistant",), key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(key, start, length, loss, ids_crc32, doc_tokens, ids, bears) for each piece of each conversation: its turns in
+    order, each ended by the closing id; `bears` says of each id whether it bears loss. A conversation beyond a limit
+    is cut where it reaches it; `doc_tokens` counts up to the end of the piece, as a conversation is read as a
+    stream. Equal places are taken by role and text; a turn without a key is a conversation of its own."""
+    columns = (key, "start", "length", "loss", "ids_crc32", "doc_tokens", "ids", "bears")
+
+    def cut(tables: Iterator[pa.Table]) -> Iterator[dict[str, list]]:
+        name, start = None, 0
+        ids, bears = np.zeros(0, "<u4"), np.zeros(0, bool)
+
+        def piece(n: int) -> dict[str, list]:
+            part, own = ids[:n], bears[:n]
+            row = (name, start, n, int(own.sum()), zlib.crc32(part.tobytes()), start + n, part.astype(np.int32), own)
+            return {c: [v] for c, v in zip(columns, row, strict=True)}
+
+        for t in tables:
+            name = t[key][0].as_py()
+            for who, said in zip(t[role].to_pylist(), t[text].to_pylist(), strict=True):
+                new = contract_ids(said, ranks_path, pattern)
+                ids, bears = np.concatenate([ids, new]), np.concatenate([bears, np.full(len(new), who in bearing)])
+                while len(ids) > limits.tokens or bears.sum() > limits.loss:
+                    n = min(limits.tokens, int(np.searchsorted(np.cumsum(bears), limits.loss, side="right")))
+                    yield piece(n)
+                    start, ids, bears = start + n, ids[n:], bears[n:]
+        if len(ids):
+            yield piece(len(ids))
+
+    kind = turns.schema[key].dataType.simpleString()
+    own = turns.select(key, order, F.col(role).cast("string").alias(role), F.col(text).cast("string").alias(text))
+    return by_group(own, [key], [order, role, text], cut, f"`{key}` {kind}, start long, length long, loss long, ids_crc32 long, doc_tokens long, ids array<int>, bears array<boolean>")
+
+
 def assign(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, place in it) of each piece. A piece that fits no open sequence opens one,
     the largest first."""

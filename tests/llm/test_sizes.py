@@ -1,12 +1,13 @@
 """Mixing, sharding and packing."""
 
+import functools
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
 
-from docprov.llm import mixing, packing, sharding
+from docprov.llm import mixing, packing, queries, sharding
 from docprov.llm.common import table
 from tests.llm.cases import ROWS, WORDS, empty, frame
 
@@ -119,18 +120,17 @@ def truth():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return functools.cache(lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0])
 
 
 def test_ids_equal_the_json_tokenizer(truth, spark, sf):
     texts = [r.text for r in table(spark, sf, "documents").select("text").collect()]
     for text in [*texts, "<|endoftext|> a b   \U0001f600é\n\n  x", None, "", "  ", "'s 'LL 12a"]:
-        assert packing.encode(text).tolist() == truth(text)
+        assert packing.contract_ids(text).tolist() == truth(text)
 
 
 def test_pieces_hold_every_id_once(spark, truth):
-    rows = [r for r in ROWS if r[0] != 4]
+    rows = [(r[0], r[1][:10_000], *r[2:]) if r[0] == 11 else r for r in ROWS if r[0] != 4]  # the truth takes long for a long run of one letter
     got = packing.pieces(frame(spark, rows)).collect()
     for i, text, _, _ in rows:
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
@@ -189,3 +189,148 @@ def test_slots_come_within_half_a_block(size, part):
 def test_permutations_invert(n):
     index, size, key = np.arange(n), np.full(n, n), np.full(n, 42)
     assert (mixing.permuted(mixing.permuted(index, size, key), size, key, inverse=True) == index).all()
+
+
+def feistel(x, n, key):
+    """One index of a keyed permutation of 0..n-1, in plain integers."""
+    import math
+
+    m = 2**64
+    half = max(1, math.ceil(math.log2(max(n, 2)) / 2))
+    mask = 2**half - 1
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(4):
+            z = ((right + key) * 0x9E3779B97F4A7C15 + (r + 1) * 0xBF58476D1CE4E5B9) % m
+            z = ((z ^ (z >> 29)) * 0x94D049BB133111EB) % m
+            left, right = right, left ^ ((z ^ (z >> 32)) & mask)
+        x = (left << half) | right
+        if x < n:
+            return x
+
+
+def test_the_registered_mix_word_by_word(spark, sf):
+    """Each source's stream, laid out by hand from the pieces of its documents, and every slot read by plain code."""
+    docs = {r.doc_id: r for r in table(spark, sf, "documents").collect()}
+    out = {r.doc_id: r for r in queries.op1_mixing(spark, sf).collect()}
+    assert out.keys() == docs.keys() and all(r["size"] == words(docs[i].text) for i, r in out.items())
+    names = sorted({r.source for r in docs.values()}, key=lambda s: (s is None, s or ""))
+    total = Counter()
+    for r in docs.values():
+        total[r.source] += words(r.text)
+    weights, left, free = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}, 1.5 * sum(total.values()), set(names)
+    target = {}
+    while True:
+        share = {n: left * weights[n] / sum(weights[x] for x in free) for n in free}
+        over = {n for n in free if share[n] > 2 * total[n]}
+        target |= {n: 2 * total[n] for n in over} if over else share
+        left, free = left - sum(2 * total[n] for n in over), free - over
+        if not over or not free:
+            break
+    assert all(r.source_size == total[docs[i].source] and r.target == pytest.approx(target[docs[i].source]) for i, r in out.items())
+    slots = mixing.mix(table(spark, sf, "documents")).collect()
+    stream, by_slot = {}, {}
+    for r in slots:
+        for k in range(r.piece_words):
+            stream.setdefault((r.source, r.block), set()).add((r.doc_id, r.piece_start + k))
+        by_slot[r.source, r.slot] = (r.shard, r.block)
+    taken = Counter()
+    for no, name in enumerate(names):
+        blocks, own = -(-total[name] // 128), sorted(j for s, j in by_slot if s == name)
+        assert own == list(range(len(own)))
+        assert [by_slot[name, j][0] for j in own] == sorted(by_slot[name, j][0] for j in own)  # numbered across shards
+        seen = set()
+        for j in own:
+            block = by_slot[name, j][1]
+            assert block == feistel(j % blocks, blocks, (no + 1) * 1_000_003 + (j // blocks) * 7_919 + 17)
+            places = stream[name, block]
+            assert len(places) == (128 if block < blocks - 1 else total[name] - 128 * (blocks - 1))
+            seen |= {(block, p) for p in places}
+            taken.update(d for d, _ in places)
+        assert len({p for _, p in seen}) == len(seen)  # no word lies in two blocks
+        assert abs(sum(r.taken for i, r in out.items() if docs[i].source == name) - target[name]) <= 64
+    assert {i: r.taken for i, r in out.items()} == {i: taken[i] for i in docs}
+
+
+def test_rows_that_differ_only_beside_the_text_keep_their_columns(spark):
+    rows = [(1, "a b c d e", "en", "x"), (1, "a b c d e", "de", "x"), (1, "a b c d e", "fr", "x"), (2, "f g h", "en", "y")]
+    out = mixing.mixed_documents(frame(spark, rows), share=2.0, block=2).collect()
+    assert Counter((r.doc_id, r.lang) for r in out) == {(1, "en"): 2, (1, "de"): 2, (1, "fr"): 2, (2, "en"): 2}
+
+
+def test_slots_are_made_by_many_tasks(spark, sf):
+    _, slots = mixing.mix_plan(mixing.sized(table(spark, sf, "documents")), (5, 2, 1), 1.5, 2.0, 128, 64, 17)
+    assert len({r.p for r in slots.selectExpr("spark_partition_id() AS p").distinct().collect()}) > 1
+
+
+def test_the_registered_shards_row_by_row(spark, sf):
+    """Rows walk clockwise one at a time: first all try the shard they fall to, then the next, and so on."""
+    import hashlib
+
+    docs = table(spark, sf, "documents").collect()
+    got = {r.doc_id: r for r in queries.op3_sharding(spark, sf).collect()}
+    place = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    ring = {}
+    for s in range(8):
+        for v in range(128):
+            ring.setdefault(place(f"shard {s} node {v}"), s)
+    points = sorted(ring)
+    waiting = []
+    for r in docs:
+        at = place(str(r.doc_id))
+        arc = next((i for i, p in enumerate(points) if p >= at), 0)
+        way = list(dict.fromkeys(ring[points[(arc + k) % len(points)]] for k in range(len(points))))
+        waiting.append((arc, at < points[0] or at > points[-1], at, r, way))
+    # The arc that runs over the start of the ring holds the smallest positions first.
+    waiting.sort(key=lambda w: (w[0], w[2]))
+    room, home = [len(docs) // 8 + (s < len(docs) % 8) for s in range(8)], {}
+    for turn in range(8):
+        for *_, r, way in waiting:
+            if r.doc_id not in home and room[way[turn]]:
+                room[way[turn]] -= 1
+                home[r.doc_id] = way[turn]
+    assert {i: r.shard for i, r in got.items()} == home
+    for r in docs:
+        own = got[r.doc_id]
+        assert (own["size"], own.text_crc32, own.law, own.grown_shard) == (len((r.text or "").encode()) + 1, crc32((r.text or "").encode()), "rows", None)
+    by = Counter(home.values())
+    assert sorted((r.shard, r.slot) for r in got.values()) == sorted((s, i) for s, c in by.items() for i in range(c))
+
+
+def test_loss_limit_binds_on_conversations(spark, sf, truth):
+    """Instruction data: only the assistant's turns bear loss, and each of the three limits is reached by some sequence."""
+    turns = table(spark, sf, "conversations")
+    limits = packing.Limits(tokens=1024, segments=12, loss=400)
+    rows = packing.conversation_pieces(turns, limits).cache()
+    said = {}
+    for r in turns.orderBy("conv_id", "turn", "role", "text").collect():
+        own = said.setdefault(r.conv_id, [])
+        own += [(i, r.role == "assistant") for i in truth(r.text)]
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: r.start):
+        own = got.setdefault(r.conv_id, [])
+        assert r.start == len(own) and r.loss == sum(r.bears) and r.length == len(r.ids)
+        own += zip(r.ids, r.bears)
+    assert got == said
+    by = {}
+    for r in packing.pack(rows, 1, limits, key="conv_id", payload=("loss",)).collect():
+        by.setdefault(r.sequence_id, []).append(r)
+    sums = [(sum(r.length for r in own), len(own), sum(r.loss for r in own)) for own in by.values()]
+    assert all(t <= 1024 and n <= 12 and x <= 400 for t, n, x in sums)
+    full = [i for s in sums for i, top in enumerate((1024, 12, 400)) if s[i] >= 0.97 * top]
+    assert 2 in full
+    # No sequence breaks the loss limit only because that limit is there: without it some would.
+    loose = {}
+    for r in packing.pack(rows, 1, packing.Limits(tokens=1024, segments=12, loss=1024), key="conv_id", payload=("loss",)).collect():
+        loose[r.sequence_id] = loose.get(r.sequence_id, 0) + r.loss
+    assert max(loose.values()) > 400
+
+
+def test_odd_conversations(spark):
+    rows = [(1, 2, "assistant", "b"), (1, 1, "user", None), (None, 1, "user", "x"), (None, 2, "assistant", "y"), (2, None, None, ""), (3, 1, "assistant", "word " * 5000)]
+    turns = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn int, role string, text string, start int")
+    out = packing.conversation_pieces(turns, packing.Limits(loss=100)).collect()
+    assert Counter((r.conv_id, r.length, r.loss) for r in out if r.conv_id in (1, 2)) == {(1, 3, 2): 1, (2, 1, 0): 1}
+    assert sum(r.conv_id is None for r in out) == 2
+    assert max(r.length for r in out) == 100 and sum(r.length for r in out if r.conv_id == 3) > 5000
+    assert packing.conversation_pieces(turns.limit(0)).collect() == []
