@@ -1,59 +1,173 @@
-"""Command line: validate, ingest and verify corpus folders."""
+"""Command line: validate, ingest, embed, chunk again, parse, approve and verify.
+
+Tables lie in the folder of --store: documents, chunks, drafts, events, and envelopes, which are only ever added to.
+"""
 
 from __future__ import annotations
 
 import argparse
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprov.functions.watermark import verified
-from docprov.operators import ingest
-from docprov.sources import markdown
+from docprov.operators import drafts, embed, ingest, parse, store
+from docprov.session import stored
+from docprov.sources import envelopes, markdown
 
 DOCUMENTS = "corpus_id string, version string, organization_id string, content_hash string, title string, tier string, content_type string, source_url string, source_publisher string, last_verified string, frameworks array<string>, industries array<string>, segments array<string>, is_active boolean"
+ACTIONS = ("validate", "ingest", "ingest_and_embed", "embed_pending", "rechunk", "ingest_content", "parse", "approve_draft", "verify")
+READS_FOLDER = ("validate", "ingest", "ingest_and_embed", "rechunk")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="docprov", description=__doc__)
-    p.add_argument("action", choices=("validate", "ingest", "verify"))
-    p.add_argument("--corpora", required=True, help="folder of Markdown files, or of chunks as Parquet for verify")
-    p.add_argument("--store", help="folder of the document and chunk tables")
+    p.add_argument("action", choices=ACTIONS)
+    p.add_argument("--corpora", help="folder of Markdown files, or of chunks as Parquet for verify")
+    p.add_argument("--store", help="folder of the tables")
+    p.add_argument("--file", help="the text to ingest (ingest_content) or to parse")
+    p.add_argument("--draft-id", help="the draft to approve")
     p.add_argument("--corpus-id", help="this corpus only")
+    p.add_argument("--limit", type=int, default=50, help="chunks to embed; the last batch may go beyond")
+    p.add_argument("--tier", choices=("tier_1", "tier_2", "tier_3"), help="tier of a parsed document")
+    p.add_argument("--frameworks", type=lambda s: [x.strip() for x in s.split(",") if x.strip()], default=[], help="frameworks of a parsed document, with commas")
     p.add_argument("--secret", help="sign and verify with this key")
     p.add_argument("--skip-fact-check", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     return p
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+class Store:
+    """The tables of one folder. A snapshot is written beside the present one before it takes its place."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.createDataFrame([], schema)
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}.next")
+        self.spark.read.parquet(f"{self.folder}/{name}.next").write.mode("overwrite").parquet(f"{self.folder}/{name}")
+
+
+CHUNKS = "id string, document_id string, corpus_id string, sequence int, section_title string, heading_level int, content string, content_hash string, token_count long, heading_path array<string>, tier string, frameworks array<string>, industries array<string>, segments array<string>, language string, embedding_status string, embedding array<double>, updated_at timestamp, lease_expires_at timestamp, is_active boolean, status string, run_id string, authority_id string, error string"
+
+
+def _chunk_rows(chunks: DataFrame) -> DataFrame:
+    """New chunks as rows of the chunk table, waiting to be embedded."""
+    empty = chunks.sparkSession.createDataFrame([], CHUNKS).schema
+    own = {"id": F.concat_ws("-", "document_id", "sequence"), "status": F.lit("pending"), "updated_at": F.current_timestamp(), "is_active": F.lit(True)}
+    return chunks.select(*[(own[f.name] if f.name in own else F.col(f.name) if f.name in chunks.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty])
+
+
+def _ingested(args: argparse.Namespace, tables: Store | None, raw: DataFrame, fact_check: bool, rechunk: bool = False) -> tuple[dict[str, int], DataFrame]:
+    existing = tables.read("documents", DOCUMENTS) if tables else raw.sparkSession.createDataFrame([], DOCUMENTS)
+    if args.corpus_id:
+        raw = raw.where(F.col("raw").rlike(rf"(?m)^corpus_id:[ \t]*[\"']?{_literal(args.corpus_id)}[\"']?[ \t]*$"))
+    started = F.current_timestamp()
+    results, documents, chunks = ingest.ingest(raw, existing, fact_check, args.secret, rechunk)
+    results = stored(results)  # the tables it was made from give way below
+    counts = {r.action: r.n for r in results.groupBy("action").agg(F.count("*").alias("n")).collect()}
+    if args.action != "validate" and not args.dry_run and tables:
+        have = tables.read("chunks", CHUNKS)
+        new = _chunk_rows(chunks)
+        tables.replace("chunks", store.replaced(new, have))
+        tables.replace("documents", documents)
+        told = results.select("corpus_id", (F.col("action") != "invalid").alias("valid"), F.array_compact(F.array("error")).alias("errors"), F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("document_id"), "action", *[F.lit(None).cast("long").alias(c) for c in ("chunk_count", "embedded", "pending", "old_chunk_count")])
+        envelopes.AppendOnly(f"{tables.folder}/envelopes").append(envelopes.of_pipeline(told, envelopes.Context(uuid.uuid4().hex, "cli", args.action), started, F.current_timestamp()))
+    return counts, results
+
+
+def _literal(text: str) -> str:
+    return r"\Q" + text.replace(r"\E", "") + r"\E"
+
+
+def _embedded(args: argparse.Namespace, tables: Store, provider: embed.Provider) -> dict[str, int]:
+    run = uuid.uuid4().hex
+    state, events, tried = embed.embed_all(tables.read("chunks", CHUNKS), provider, F.current_timestamp(), args.limit, run_id=run)
+    if tried and not args.dry_run:
+        done = state.withColumn("embedding_status", F.when(F.col("status") == "complete", "complete").otherwise(F.col("embedding_status")))
+        tables.replace("chunks", done.select(*tables.read("chunks", CHUNKS).columns))
+        events.write.mode("append").parquet(f"{tables.folder}/events")
+        context = envelopes.Context(run, "cli", args.action)
+        envelopes.AppendOnly(f"{tables.folder}/envelopes").append(envelopes.of_embedding(events.select((F.col("status") == "complete").alias("ok")), context, F.current_timestamp(), F.current_timestamp()))
+    return {r.status: r["count"] for r in events.groupBy("status").count().collect()}
+
+
+def _say(counts: dict[str, int]) -> None:
+    print(", ".join(f"{k} {v}" for k, v in sorted(counts.items())) or "nothing to do")
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, provider: embed.Provider | None = None, model: parse.TextModel | None = None) -> int:
+    p = parser()
+    args = p.parse_args(argv)
+    if args.limit < 1:
+        p.error("--limit must be 1 or more")
+    if args.action in READS_FOLDER and not args.corpora:
+        p.error(f"{args.action} needs --corpora")
+    if args.action in ("ingest_content", "parse") and not args.file:
+        p.error(f"{args.action} needs --file")
+    if args.action == "approve_draft" and not args.draft_id:
+        p.error("approve_draft needs --draft-id")
+    if args.action not in ("validate", "verify") and not args.store and not args.dry_run:
+        p.error(f"{args.action} needs --store")
     spark = spark or SparkSession.builder.appName("docprov").getOrCreate()
+    tables = Store(spark, args.store) if args.store else None
+    provider, model = provider or embed.hashing_provider(), model or parse.identity_model
     if args.action == "verify":
-        chunks = spark.read.parquet(args.corpora)
-        counts = chunks.groupBy(verified(F.col("content"), args.secret).valid.alias("valid")).count().collect()
-        by = {r["valid"]: r["count"] for r in counts}
+        chunks = spark.read.parquet(args.corpora or f"{args.store}/chunks")
+        told = chunks.select(verified(F.col("content"), args.secret).alias("v")).groupBy("v.valid").count()
+        by = {r["valid"]: r["count"] for r in told.collect()}
         print(f"valid {by.get(True, 0)}, invalid {by.get(False, 0)}")
         return int(bool(by.get(False)))
-    raw = markdown.markdown_files(spark, args.corpora)
-    existing = spark.createDataFrame([], DOCUMENTS)
-    if args.store:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{args.store}/documents")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            existing = spark.read.parquet(f"{args.store}/documents")
-    results, documents, chunks = ingest.ingest(raw, existing, not args.skip_fact_check, args.secret)
-    if args.corpus_id:
-        results = results.where(F.col("corpus_id") == args.corpus_id)
-    counts = {r.action: r.n for r in results.groupBy("action").agg(F.count("*").alias("n")).collect()}
-    print(", ".join(f"{k} {v}" for k, v in sorted(counts.items())) or "nothing to do")
-    if args.action == "ingest" and not args.dry_run:
-        if not args.store:
-            raise SystemExit("--store is needed to ingest")
-        chunks.write.mode("append").parquet(f"{args.store}/chunks")
-        # The next snapshot is made of the present one, so it is written beside it first.
-        documents.write.mode("overwrite").parquet(f"{args.store}/documents.next")
-        spark.read.parquet(f"{args.store}/documents.next").write.mode("overwrite").parquet(f"{args.store}/documents")
-    return int("invalid" in counts)
+    if args.action == "embed_pending":
+        _say(_embedded(args, tables, provider))
+        return 0
+    if args.action in READS_FOLDER:
+        counts, _ = _ingested(args, tables, markdown.markdown_files(spark, args.corpora), not args.skip_fact_check, args.action == "rechunk")
+        _say(counts)
+        if args.action == "ingest_and_embed" and not args.dry_run:
+            _say(_embedded(args, tables, provider))
+        return int("invalid" in counts)
+    if args.action == "ingest_content":
+        counts, _ = _ingested(args, tables, spark.read.text(args.file, wholetext=True).select(F.col("value").alias("raw")), not args.skip_fact_check)
+        _say(counts)
+        return int("invalid" in counts)
+    have = tables.read("drafts", drafts.COLUMNS) if tables else spark.createDataFrame([], drafts.COLUMNS)
+    if args.action == "parse":
+        new = spark.read.text(args.file, wholetext=True).select(F.expr("uuid()").alias("id"), F.lit(args.file.rsplit("/", 1)[-1]).alias("source_filename"), F.col("value").alias("source_text"), F.lit("cli").alias("created_by"))
+        new = spark.createDataFrame(new.collect(), new.schema)  # one file
+        state, refused = drafts.submit(have, new)
+        for r in refused.collect():
+            print(r.error)
+            return 1
+        hints = f"tier {args.tier or 'any'}, frameworks {', '.join(args.frameworks) or 'any'}"
+        done, _ = parse.parsed_with_audit(new.withColumnRenamed("id", "document_id"), model, F.date_format(F.current_date(), "yyyy-MM-dd"), assemble=f"Write a document with a header; {hints}.")
+        told = done.select(F.col("document_id").alias("id"), F.col("status").alias("__status"), F.col("parsed_markdown").alias("__markdown"))
+        state = state.join(told, "id", "left").withColumn("status", F.coalesce("__status", "status")).withColumn("parsed_markdown", F.coalesce("__markdown", "parsed_markdown")).select(*have.columns)
+        if tables and not args.dry_run:
+            tables.replace("drafts", state)
+        row = done.select("document_id", "status").first()
+        print(f"draft {row.document_id}: {row.status}")
+        return int(row.status != "parsed")
+    have = stored(have)
+    taken, refused = drafts.approve(have, spark.createDataFrame([(args.draft_id,)], "id string"))
+    for r in refused.collect():
+        print(r.error)
+        return 1
+    counts, results = _ingested(args, tables, taken.select("raw"), False)
+    _say(counts)
+    if "invalid" in counts:
+        return 1
+    if tables and not args.dry_run:
+        corpus = results.select("corpus_id").first().corpus_id
+        tables.replace("drafts", drafts.approved(have, spark.createDataFrame([(args.draft_id, corpus)], "id string, document_id string")))
+    return 0
 
 
 if __name__ == "__main__":

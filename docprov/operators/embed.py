@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docprov.functions.vectors import input_text
 from docprov.operators import store
+from docprov.session import stored
 
 Provider = Callable[[list[str]], list[list[float]]]
 DIMENSIONS, BATCH, ATTEMPTS = 512, 20, 3
@@ -77,9 +78,25 @@ def embedded(chunks: DataFrame, provider: Provider, dimensions: int = DIMENSIONS
 def embed_pending(chunks: DataFrame, provider: Provider, as_of: Column, limit: int = 50, dimensions: int = DIMENSIONS, run_id: str = "run", authority: str = "authority") -> tuple[DataFrame, DataFrame]:
     """(next state, events): claim up to `limit` chunks, embed them in one pass, settle the results."""
     claimed = store.claim(chunks, as_of, limit, run_id=run_id, authority=authority)
-    results = embedded(claimed.where("claimed"), provider, dimensions).persist()  # the provider is asked once
+    results = stored(embedded(claimed.where("claimed"), provider, dimensions))  # the provider is asked once
     state = store.settle(claimed.drop("claimed"), results.drop("embedding"), as_of)
     done = results.where("ok").select("id", F.col("embedding").alias("__new"))
     state = state.join(done, "id", "left").withColumn("embedding", F.when(F.col("accepted") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("embedding"))).drop("__new")
     events = results.select(F.col("id").alias("chunk_id"), "run_id", F.col("authority_id").alias("embedding_authority_id"), F.when(F.col("ok"), "complete").otherwise("failed").alias("status"), "error", as_of.alias("occurred_at"))
     return state, events
+
+
+def embed_all(chunks: DataFrame, provider: Provider, as_of: Column, limit: int, batch: int = 50, dimensions: int = DIMENSIONS, run_id: str = "run", authority: str = "authority") -> tuple[DataFrame, DataFrame, int]:
+    """(next state, events, chunks tried): batches are claimed until `limit` chunks were tried or none is left; the last
+    batch may go beyond the limit. Each batch is written before the next is claimed."""
+    tried, events = 0, None
+    while tried < limit:
+        state, new = embed_pending(chunks, provider, as_of, batch, dimensions, run_id, authority)
+        n = new.count()
+        if not n:
+            break
+        chunks, tried = stored(state.drop("accepted")), tried + n
+        events = new if events is None else events.unionByName(new)
+    if events is None:
+        events = chunks.sparkSession.createDataFrame([], "chunk_id string, run_id string, embedding_authority_id string, status string, error string, occurred_at timestamp")
+    return chunks, events, tried

@@ -9,6 +9,7 @@ from docprov.functions.text import sha256
 from docprov.functions.watermark import injected
 from docprov.operators import chunk, store, validate
 from docprov.operators.frontmatter import parse_documents
+from docprov.session import stored
 
 KEY = ("corpus_id", "version", "organization_id")
 
@@ -28,12 +29,15 @@ def checked(docs: DataFrame, existing: DataFrame, require_fact_check: bool = Tru
     return validate.validated(both.withColumn("chunk_count", F.coalesce(sections, F.lit(0))), require_fact_check=require_fact_check)
 
 
-def ingest(raw: DataFrame, existing: DataFrame, require_fact_check: bool = True, secret: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(raw: DataFrame, existing: DataFrame, require_fact_check: bool = True, secret: str | None = None, rechunk: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, next documents, new chunks). Results say what happened to every document:
-    an error, unchanged, updated or inserted. Chunks carry a mark with their document's id."""
-    docs = checked(parsed(raw), existing, require_fact_check).persist()
+    an error, unchanged, updated or inserted. Chunks carry a mark with their document's id.
+    With `rechunk` documents are chunked also where nothing changed, and count as updated."""
+    docs = stored(checked(parsed(raw), existing, require_fact_check))
     good = docs.where("valid")
     acted = store.upsert_actions(good, existing)
+    if rechunk:
+        acted = acted.withColumn("action", F.when(F.col("action") == "unchanged", "updated").otherwise(F.col("action")))
     results = acted.select("corpus_id", "version", "action", F.lit(None).cast("string").alias("error"))
     results = results.unionByName(docs.where("not valid").select("corpus_id", "version", F.lit("invalid").alias("action"), F.array_join("errors", "; ").alias("error")))
     rows = good.withColumn("is_active", F.lit(True)).select(*existing.columns)

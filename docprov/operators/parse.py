@@ -1,7 +1,7 @@
 """Parsing with a text model: source chunks are cleansed, audited, put together, and become a document.
 
 A text model is a function from (role, text) messages to a text, called by the tasks. What it
-said is written out by the caller before anything else reads it, if a call costs money.
+said is written out before anything else reads it, so that it is asked once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from docprov.functions.text import fenced, inferred_title, kebab, sha256, trimme
 from docprov.functions.watermark import injected
 from docprov.operators import audit, chunk
 from docprov.operators.embed import with_retries
+from docprov.session import stored
 
 TextModel = Callable[[list[tuple[str, str]]], str]
 # The size from which documents are put together without a model, tiers, and the texts of headers and lists.
@@ -85,10 +86,10 @@ def deterministic_markdown(name: Column, text: Column, today: Column, tier: Colu
     return F.concat_ws("\n", *lines, chunk.word_sections(text))
 
 
-def parsed_with_audit(docs: DataFrame, model: TextModel, today: Column, cleanse: str = "Clean this text.", assemble: str = "Write a document with a header.", words: int = DETERMINISTIC_WORDS, key: str = "document_id", keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
+def parsed_with_audit(docs: DataFrame, model: TextModel, today: Column, cleanse: str = "Clean this text.", assemble: str = "Write a document with a header.", words: int = DETERMINISTIC_WORDS, key: str = "document_id", keep: Callable[[DataFrame], DataFrame] = stored) -> tuple[DataFrame, DataFrame]:
     """(documents, audits) for docs (key, source_filename, source_text): chunks are cleansed by the model, audited and
-    recovered where text was lost; then the model assembles the whole, or from so many words on, a rule. `keep` is
-    applied to what the model said, so that it is asked once: pass one that writes a table where calls cost."""
+    recovered where text was lost; then the model assembles the whole, or from so many words on, a rule. `keep`
+    writes down what the model said, so that it is asked once."""
     said = keep(cleansed(docs, model, cleanse, key))
     audits = audit.audited(said)
     whole = audit.rollup(audits, key).join(docs.select(key, "source_filename"), key)
@@ -117,7 +118,7 @@ def crosswalk_ready(docs: DataFrame, key: str = "session_id") -> DataFrame:
     return docs.groupBy(key).agg((F.count_if((F.col("status") == "watermarked") & F.col("promoted")) >= 2).alias("crosswalk_ready"))
 
 
-def crosswalks(docs: DataFrame, model: TextModel, prefix: str = "crosswalk-v1-", instruction: str = "Map these documents to each other.", key: str = "session_id", secret: str | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
+def crosswalks(docs: DataFrame, model: TextModel, prefix: str = "crosswalk-v1-", instruction: str = "Map these documents to each other.", key: str = "session_id", secret: str | None = None, keep: Callable[[DataFrame], DataFrame] = stored) -> tuple[DataFrame, DataFrame]:
     """(crosswalks, chunks) for sessions with at least two promoted and watermarked documents: the model's text, cut at
     headings and marked with the id `prefix` + key. For a user's library pass its rows as watermarked and promoted, the
     user as key and "crosswalk-encyclopedia-" as prefix."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -37,6 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """What `df` holds, written to the shared folder and read again: asked for once, and there when an executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver found it."""
     env = spark.sparkContext.environment

@@ -81,3 +81,35 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out.splitlines() == ["inserted 1", "inserted 1", "inserted 1", "valid 4, invalid 0", "inserted 1, invalid 1"]
     with pytest.raises(SystemExit):
         cli.main(["nonsense"], spark)
+
+
+def test_rechunk_embed_parse_and_approve(spark, tmp_path, capsys):
+    """The whole way: ingest and embed, chunk all again, embed what waits, parse a text, approve the draft."""
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / f"in/{name}.md").write_text(doc(name))
+    store = f"{tmp_path}/store"
+    run = lambda *args, **how: cli.main([*args, "--store", store], spark, **how)
+    assert run("ingest_and_embed", "--corpora", f"{tmp_path}/in", "--limit", "3") == 0
+    chunks = spark.read.parquet(f"{store}/chunks")
+    assert chunks.count() == 4 and chunks.where("status = 'complete' and size(embedding) = 512").count() == 4  # a batch is tried whole
+    assert run("rechunk", "--corpora", f"{tmp_path}/in", "--corpus-id", "a") == 0
+    assert {r["status"]: r["count"] for r in spark.read.parquet(f"{store}/chunks").groupBy("status").count().collect()} == {"pending": 2, "complete": 2}
+    assert run("embed_pending", "--dry-run") == 0
+    assert run("embed_pending") == 0 and run("embed_pending") == 0
+    (tmp_path / "c.md").write_text(doc("c"))
+    assert run("ingest_content", "--file", f"{tmp_path}/c.md") == 0
+    (tmp_path / "d.txt").write_text(doc("d"))
+    assert run("parse", "--file", f"{tmp_path}/d.txt") == 0
+    assert run("parse", "--file", f"{tmp_path}/d.txt") == 1  # submitted before
+    draft = spark.read.parquet(f"{store}/drafts").first()
+    assert draft.status == "parsed" and draft.source_filename == "d.txt"
+    assert run("approve_draft", "--draft-id", draft.id) == 0 and run("approve_draft", "--draft-id", draft.id) == 1
+    assert {r.corpus_id for r in spark.read.parquet(f"{store}/documents").collect()} == set("abcd")
+    out = capsys.readouterr().out.splitlines()
+    assert out[:3] == ["inserted 2", "complete 4", "updated 1"] and "is already approved" in out[-1]
+    actions = {r.action for r in spark.read.parquet(f"{store}/envelopes").collect()}
+    assert actions == {"ingest_and_embed", "rechunk", "embed_pending", "ingest_content", "approve_draft"}
+    for bad in (["rechunk"], ["parse", "--store", store], ["approve_draft", "--store", store], ["embed_pending", "--store", store, "--limit", "0"], ["ingest", "--corpora", "x"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad, spark)
