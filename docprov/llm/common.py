@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,16 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from docprov import session
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "docprov-checkpoints")
-    return folder.rstrip("/")
+    """Where this application's staged tables lie, in the folder that driver and executors share."""
+    return f"{session.shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -37,11 +34,21 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def unstaged(*frames: DataFrame) -> None:
     """Delete staged tables once what was made of them is staged itself."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.staged_at)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all that operators staged in this application: what their lazy results still read, too. To be called
+    when those are written."""
+    _delete(spark, shared_folder(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,24 +106,25 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Ite
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
 
 
-#: Bits of a filter: 2 MB whatever the number of rows; filters of many rows pass more by chance.
-FILTER_BITS = 1 << 24
-
-
-def filter_place(h: Column) -> Column:
-    """Where a hash falls in a filter."""
-    return F.pmod(h, F.lit(FILTER_BITS)).cast("int")
+#: Bits of a filter for each of its hashes, and its least and most bits (64 MB): with more hashes than
+#: that is made for, more rows pass by chance, which costs time and loses nothing.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 
 
 def hash_filter(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes in column h, as 64-bit words; what is collected is of fixed size."""
-    at = hashes.select(filter_place(F.col("h")).alias("at"))
-    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        out[r.word] = r.bits
+    """A bitmap of the hashes in column h, as 64-bit words; its size goes by their number, up to a bound."""
+    bits = LEAST_BITS
+    n = hashes.count()
+    while bits < BITS_EACH * n and bits < MOST_BITS:
+        bits *= 2
+    at = hashes.select(F.expr(f"h & {bits - 1}").alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
+    out = np.zeros(bits // 64, dtype=np.int64)
+    for part in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most a row a word, a partition at a time
+        out[part.word] = part.bits
     return out
 
 
-def passes(bitmap: np.ndarray, place: int) -> bool:
-    return bool(bitmap[place >> 6] >> (place & 63) & 1)
+def passes(bitmap: np.ndarray, h: int) -> bool:
+    at = h & (64 * len(bitmap) - 1)
+    return bool(bitmap[at >> 6] >> (at & 63) & 1)

@@ -18,8 +18,8 @@ Shingles are compared by 64-bit hashes.
 
 Defined results: a text with fewer words than a shingle is one shingle; null texts and
 texts without words have empty sets, link with nothing and are components of their own;
-rows with a null id get a null component and link with nothing; rows that repeat an id
-each appear, with the component of their own text; an empty table gives an empty result;
+rows with a null id get a null component and link with nothing; rows that repeat an id each
+appear, and where their texts differ count as linked, as texts of one document; an empty table gives an empty result;
 other columns are dropped by `near_duplicates` and kept by `without_duplicates`.
 """
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprov.llm.common import by_group, filter_place, hash_filter, map_columns, passes, staged, unstaged
+from docprov.llm.common import by_group, hash_filter, map_columns, passes, staged, unstaged
 from docprov.llm.components import Forest, connected_components
 
 #: Counters of the sketch: 4 MB when sent to the tasks, as logarithms of one byte.
@@ -45,6 +45,8 @@ SKETCH_PART = 1 << 14
 LONG_LIST = 128
 #: Sets compared in one task's group.
 BLOCK = 1024
+#: Classes with more than one of so many rows are joined apart.
+HOT = 1000
 #: What a class may require to be shared, and how many list entries a comparison costs.
 CHOICES, COMPARISON = (1, 2, 4, 8, 16), 16.0
 
@@ -166,25 +168,29 @@ def _lists(docs: DataFrame, levels: np.ndarray, width: int, percent: int, key: s
 
 
 def shared_lists(reps: DataFrame) -> DataFrame:
-    """(token, cls, n, shared, holders, least): the prefix entries of classes (cls, n, shared,
+    """(token, cls, n, shared, place, holders, least): the prefix entries of classes (cls, n, shared,
     prefix) whose shingle another class has in its prefix too."""
-    entries = reps.select("cls", "n", "shared", F.explode("prefix").alias("token"))
+    entries = reps.select("cls", "n", "shared", F.posexplode("prefix").alias("place", "token"))
     held = entries.groupBy("token").agg(F.count("*").alias("holders"), F.min("cls").alias("least")).where("holders > 1")
     return entries.join(held, "token")
 
 
 def candidates(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b) pairs of classes that have to be compared, and a tie from every holder of a
-    long list to its least holder."""
+    long list to its least holder. What two sets share beyond the last prefix shingle that
+    both hold is no more than what either has after it; pairs that can't reach the
+    threshold even so are none."""
     short = lists.where(F.col("holders") <= LONG_LIST)
-    x = short.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
-    y = short.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
+    x = short.select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"), F.col("place").alias("at_a"))
+    y = short.select("token", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"), F.col("place").alias("at_b"))
     close = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
     pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & close)
-    met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("s_a", "s_b")).alias("least_met"))
+    left = lambda side: F.first(f"n_{side}") - 1 - F.max(f"at_{side}")
+    met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("s_a", "s_b")).alias("least_met"), F.least(left("a"), left("b")).alias("left"), F.first(F.col("n_a") + F.col("n_b")).alias("both"))
     # Holders of a long list are tied together whatever they share of it.
     ties = lists.where((F.col("holders") > LONG_LIST) & (F.col("cls") != F.col("least"))).select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
-    return met.where("met >= least_met").select("a", "b").unionByName(ties)
+    # A pair that also met in a long list may share more than was counted; the ties stand for it.
+    return met.where((F.col("met") >= F.col("least_met")) & ((100 + percent) * (F.col("met") + F.col("left")) >= percent * F.col("both"))).select("a", "b").unionByName(ties)
 
 
 def _compare(words: int, percent: int):  # noqa: ANN202
@@ -237,7 +243,7 @@ def links(docs: DataFrame, groups: DataFrame, width: int, percent: int, key: str
                 out["text"].append(t)
         yield out
 
-    place = filter_place(F.xxhash64(F.col(key).cast("long"))).alias("place")
+    place = F.xxhash64(F.col(key).cast("long")).alias("place")
     # Texts move, not sets: a text takes less than half of its shingles' hashes.
     texts = map_columns(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), place, F.col(text).cast("string").alias("text")), ["node", "place", "text"], run, "node long, text string")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -248,12 +254,13 @@ def links(docs: DataFrame, groups: DataFrame, width: int, percent: int, key: str
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, moved): `rows` has (key, n, class_key) for each row; `moved` maps classes (by
-    their least id) to the least id of their component, where that is another."""
+    """(rows, classes): `rows` has (key, n, class_key) for each row; `classes` has (class_key, copies, component):
+    how many rows share a set, and the least id of its component."""
     levels = sketch(docs, width, text)
     wide = staged(_lists(docs, levels, width, percent, key, text))
     rows = staged(wide.select(key, "n", "class_key"))
-    classes = staged(rows.where(F.col("class_key").isNotNull() & F.col(key).isNotNull()).groupBy("class_key").agg(F.min(F.col(key).cast("long")).alias("cls")))
+    sets = rows.where(F.col("class_key").isNotNull() & F.col(key).isNotNull())
+    classes = staged(sets.groupBy("class_key").agg(F.min(F.col(key).cast("long")).alias("cls"), F.count("*").alias("copies")))
     one = wide.select(F.col(key).cast("long").alias("cls"), F.col("class_key").alias("own_key"), "n", "shared", "prefix")
     # Staged, as both the counts and the lists start from it.
     reps = staged(one.join(classes, "cls").where(F.col("own_key") == F.col("class_key")).select("cls", "n", "shared", "prefix"))
@@ -263,19 +270,29 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
     groups = staged(connected_components(candidates(lists, percent)))
     unstaged(lists)
     found = staged(links(docs, groups, width, percent, key, text))
+    unstaged(groups)
     done = found.where("whole").select(F.col("b").alias("node"), F.col("a").alias("component"))
     rest = connected_components(found.where("not whole").select("a", "b"))
     moved = done.unionByName(rest.where("node <> component"))
-    return rows, classes.join(moved, classes["cls"] == moved["node"]).select("class_key", "component")
+    named = staged(classes.join(moved, classes["cls"] == moved["node"], "left").select("class_key", "copies", F.coalesce("component", "cls").alias("component")))
+    unstaged(classes, found)
+    return rows, named
+
+
+def with_component(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """`rows` with the component of their class. Classes that hold more than one row in `HOT` are fewer than that, and
+    are sent to all tasks, so that their rows need not meet in one; the others are joined by class."""
+    total = rows.count()
+    hot = classes.where(F.col("copies") * HOT > total).select("class_key", "component")
+    common = rows.join(F.broadcast(hot), "class_key")
+    others = rows.join(F.broadcast(hot.select("class_key")), "class_key", "left_anti").join(classes.where(F.col("copies") * HOT <= total).select("class_key", "component"), "class_key", "left")
+    return common.unionByName(others)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each row."""
-    rows, moved = components(docs, width, percent, key, text)
+    out = with_component(*components(docs, width, percent, key, text))
     ids = F.col(key).cast("long")
-    classes = rows.where(F.col("class_key").isNotNull() & ids.isNotNull()).groupBy("class_key").agg(F.min(ids).alias("cls"))
-    final = classes.join(moved, "class_key", "left").select("class_key", F.coalesce("component", "cls").alias("component"))
-    out = rows.join(final, "class_key", "left")
     return out.select(key, F.col("n").alias("n_shingles"), F.coalesce(F.when(ids.isNotNull(), F.col("component")), ids).alias("component_id"))
 
 

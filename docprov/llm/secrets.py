@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docprov.llm.common import filter_place, hash_filter, map_columns, passes, staged
+from docprov.llm.common import hash_filter, map_columns, passes, staged
 
 # The rules' patterns.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -141,7 +141,7 @@ def of_rules(spans: Column, rules: Column) -> Column:
 
 def scan_blobs(docs: DataFrame, todo: DataFrame) -> DataFrame:
     """(blob, spans) of the blobs in `todo` where anything is found. The rows to scan are
-    picked where they are read, by a bitmap of fixed size over (blob, path): no text moves.
+    picked where they are read, by a bitmap of bounded size over (blob, path): no text moves.
     A row that the bitmap lets pass by chance is scanned in vain, and dropped below."""
     row = F.xxhash64("blob", "path")
     sent = docs.sparkSession.sparkContext.broadcast(hash_filter(todo.select(row.alias("h"))))
@@ -157,7 +157,7 @@ def scan_blobs(docs: DataFrame, todo: DataFrame) -> DataFrame:
                     out["spans"].append([{"start": a, "end": b, "kind": k} for a, b, k in found])
         yield out
 
-    found = map_columns(docs.select("blob", filter_place(row).alias("place"), "text"), ["blob", "place", "text"], run, f"blob binary, spans {SPANS}")
+    found = map_columns(docs.select("blob", row.alias("place"), "text"), ["blob", "place", "text"], run, f"blob binary, spans {SPANS}")
     once = found.dropDuplicates(["blob"])
     return once.join(todo.select("blob", "rules"), "blob").select("blob", of_rules(F.col("spans"), F.col("rules")).alias("spans")).where(F.size("spans") > 0)
 
