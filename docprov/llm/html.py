@@ -35,13 +35,16 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FOREIGN = {"svg", "math"}
+WRAPS = {"div", "section", "span", "center", "font"}
 SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "aside", "nav", "body", "html", "blockquote"}
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "dl", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "a", "body", "html", "span", "b")
 TOKENS = ("ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "copyright", "sidebar", "side", "widget", "related", "recommended", "cookie", "consent", "notice", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "login", "search", "form", "comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "share", "social", "toolbar", "pagination", "pager", "tags", "meta", "article", "content", "post", "entry", "story", "main", "body", "text", "page")
 # End of the fixed values.
-#: One comment, one tag or one run of text at a time.
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)", re.S)
-ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: One comment, one tag or one run of text at a time. Quotes count only right after "=", and an unquoted value ends at white space.
+VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
+PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]|(?>=\s*{VALUE}?))*+)>|<[!?/][^>]*>|(?P<text>[^<]+|<(?![A-Za-z/!?]))", re.S)
+ATTR = re.compile(rf"([^\s=/]+)(?:\s*=\s*({VALUE}))?")
+TELLING = re.compile("class|id|role", re.I)
 PART = re.compile(r"[A-Za-z]+")
 TAG_NO, TOKEN_NO = {t: i for i, t in enumerate(TAGS)}, {t: i for i, t in enumerate(TOKENS)}
 GOOD = {"article", "content", "post", "entry", "story", "main", "body", "text", "page"}
@@ -111,7 +114,7 @@ class Page:
             if tag == "br":
                 self._text.append(" ")
             return
-        tokens = frozenset(w for m in ATTR.finditer(attrs) for w in _parts(m[2])) if attrs and ("=" in attrs) else frozenset()
+        tokens = frozenset(w for m in ATTR.finditer(attrs) if m[2] and m[1].lower() in ("class", "id", "role") for w in _parts(m[2])) if "=" in attrs and TELLING.search(attrs) else frozenset()
         parent = self._open[-1]
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, tokens, len(self.blocks)))
         place = len(self._open)
@@ -165,11 +168,22 @@ def _parts(value: str) -> list[str]:
     return [w for w in re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("'", "").replace('"', "").replace("_", "-").replace("-", " ").split() for w in PART.findall(w)]
 
 
+def wrappers(page: Page) -> list[bool]:
+    """Whether each node is a nameless element that holds one other and no text of its own."""
+    kids, own = [0] * len(page.nodes), [False] * len(page.nodes)
+    for x in page.nodes[1:]:
+        kids[x.parent] += 1
+    for no, _, _ in page.blocks:
+        own[no] = True
+    return [x.tag in WRAPS and not x.tokens and k == 1 and not t for x, k, t in zip(page.nodes, kids, own, strict=True)]
+
+
 ABOVE = {"nav": 3, "footer": 3, "aside": 3, "form": 3, "header": 2, "article": 1, "main": 1}
 
 
 def features(page: Page) -> np.ndarray:
-    """A row a node. Subtree sums come from one pass from the last node to the first."""
+    """A row a node. Subtree sums come from one pass from the last node to the first. Elements
+    that only wrap one other count neither as depth nor as tags."""
     nodes, n = page.nodes, len(page.nodes)
     chars, links, blocks, commas, under, kids, place, inside = ([0] * n for _ in range(8))
     for (no, text, _), linked in zip(page.blocks, page.link_chars, strict=True):
@@ -196,19 +210,22 @@ def features(page: Page) -> np.ndarray:
             kind = ABOVE.get(nodes[p].tag, 0)
             tag_above[i] = kind if kind > tag_above[p] else tag_above[p]
             inside[i] = inside[p] or kind == 1
+    wraps, depth = wrappers(page), [0] * n
+    for i in range(1, n):
+        depth[i] = depth[parent[i]] + (not wraps[i])
     for i in range(n - 1, 0, -1):
         p = parent[i]
         chars[p] += chars[i]
         links[p] += links[i]
         blocks[p] += blocks[i]
         commas[p] += commas[i]
-        under[p] += under[i] + 1
+        under[p] += under[i] + (not wraps[i])
     up = np.maximum(np.array(parent), 0)
     chars_, kids_, under_, token_, tag_, place_ = (np.array(v, dtype=float) for v in (chars, kids, under, token, tag, place))
     safe, kin = np.maximum(chars_, 1), np.maximum(kids_[up], 1)
     return np.column_stack([
         tag_, token_, bad, good, bad_above, good_above, tag_above, [ABOVE.get(x.tag, 0) > 1 for x in nodes], inside,
-        [x.depth for x in nodes], np.log1p(chars_), np.array(links) / safe, np.log1p(under_), chars_ / (under_ + 1), np.array(commas) / safe,
+        depth, np.log1p(chars_), np.array(links) / safe, np.log1p(under_), chars_ / (under_ + 1), np.array(commas) / safe,
         chars_ / safe[0], chars_ / np.maximum(chars_[up], 1), np.log1p(own), place_, place_ / kin, kin, kids_, np.log1p(blocks), tag_[up],
         token_[up], np.array([x.order for x in nodes]) / max(1, len(page.blocks)),
     ])
@@ -284,13 +301,13 @@ def decode(page: Page, logit: np.ndarray) -> list[bool]:
     """Whether each block is kept. A node's gain from keeping is the sum over its own text
     of the odds for it, weighted by its length; the best of all, nothing and by-child wins,
     with a small price for letting children decide."""
-    n, odds = len(page.nodes), np.clip(logit, -6, 6).tolist()
+    n, odds, wraps = len(page.nodes), np.clip(logit, -6, 6).tolist(), wrappers(page)
     keep, own, children = [0] * n, [0.0] * n, [0.0] * n
     for no, text, _ in page.blocks:
         own[no] += math.sqrt(len(text)) * odds[no]
     total = list(own)
     for i in range(n - 1, -1, -1):
-        if total[i] or children[i]:
+        if (total[i] or children[i]) and not wraps[i]:
             total[i] += 4 * odds[i]
         mixed = children[i] + max(own[i], 0.0) - 0.5
         best = max(total[i], 0.0, mixed)
@@ -364,5 +381,3 @@ def extract(pages: DataFrame, model: Trees | None = None, key: str = "page_id",
 
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keys)
     return map_columns(pages, [*keys, html], run, f"{kinds}, text string, n_chars long")
-
-

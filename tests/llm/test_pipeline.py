@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from docprov.llm import mixing, secrets
 from docprov.llm.common import table
-from tests.llm.cases import WORDS, near_groups
+from tests.llm.cases import ROWS, WORDS, empty, frame, near_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -71,3 +71,30 @@ def test_every_token_is_packed(steps):
 
 def test_run(spark, sf, steps):
     assert corpus_pipeline.run(spark, sf).count() == steps[-1][1].count()
+
+
+def test_odd_rows_and_empty_tables(spark, sf):
+    """Nulls in every column, white space, ties, repeated rows, a very long text, clashing column names."""
+    docs = frame(spark)
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, sf).cache()
+        rows = after.collect()
+        if name != "packing":
+            assert after.columns == docs.columns, name
+        if name == "toxicity":
+            assert len(rows) >= 0.7 * len(ROWS)
+        elif name == "near duplicates":
+            ids = [r.doc_id for r in rows if r.doc_id is not None]
+            assert len(ids) == len(set(ids)) and {1, 2, 3, 4, 6, 8, 11} <= set(ids) and not {5, 7} & set(ids) and sum(r.doc_id is None for r in rows) == 1
+        elif name == "secrets":
+            assert {r.doc_id: r.text for r in rows}[1] is None
+        elif name == "mixing":
+            assert all(WORDS.search(r.text) for r in rows) and {r.doc_id for r in rows} <= {r.doc_id for r in before.collect()}
+        else:
+            assert sum(len(r["keys"]) for r in rows) >= before.count()
+        before = after
+    before = empty(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        before = stage(spark, before, sf)
+        assert before.collect() == [], name
