@@ -2,6 +2,14 @@
 
 Toxic documents go; one document of each near-duplicate group stays; secrets are replaced;
 sources are mixed to their weights; what is left is packed into sequences of token ids.
+
+Defined results, stage by stage: null and empty texts are scored as texts without words, are
+near duplicates of nothing, hold no secret, are taken 0 times by the mix (which so drops
+them), and would pack as their closing id; very long texts are read whole by all stages and
+cut, never shortened, by the last; rows with a null id are kept, and link with nothing; of
+rows that repeat an id one is kept after the second stage; ties between near duplicates go
+to the least id; a null source or language is one of its own; an empty table gives empty
+results. All stages but the last return the columns they are given, whatever their names.
 """
 
 from __future__ import annotations
