@@ -1,9 +1,9 @@
 """Personal data behind disguises, with spans in the source text.
 
 Identifiers are looked for twice: in the text as it is, and in a normalised copy. The copy
-comes from one left-to-right transduction that maps look-alike letters and digits to
-ASCII, drops invisible characters, turns runs of spelled digits into digits, and at/dot
-disguises into "@" and ".". Every step records which source characters it consumed, so a
+comes from a chain of transducers: one drops invisible characters, one maps look-alike letters and
+digits to ASCII, one turns runs of spelled digits into digits, and one at/dot disguises into
+"@" and ".". Every step records which source characters it consumed, so a
 span of the copy maps back to the source exactly. Spans found in the copy are added to
 those found in the text, unless they lie within one of them: a disguise in the middle of
 an identifier leaves a part that the text's own patterns match, and the whole counts too.
@@ -18,6 +18,7 @@ code points, ends exclusive.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -49,8 +50,10 @@ COMMON = {"un", "oh", "null"}  # ordinary words too
 # End of the fixed values.
 DOT_WORDS = set(DOT.split("|"))
 TO_SPACE = {ord(c): " " for c in ".,-()[]{}<>"}
-FOLD = {ord(a): b for a, b in (LOOKALIKE | SIGNS).items()} | {0xFF10 + i: str(i) for i in range(10)} | {0xFF21 + i: chr(65 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
-FOLD |= {base + i: str(i) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}
+# Letters and decimal digits that stand for one of ASCII: by their compatibility form, or by their value.
+COMPATIBLE = {c: f for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll") and (f := unicodedata.normalize("NFKC", chr(c))).isascii() and len(f) == 1}
+DECIMAL = {c: str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"}
+FOLD = COMPATIBLE | DECIMAL | {ord(a): b for a, b in (LOOKALIKE | SIGNS).items()}
 HIDDEN = re.compile(f"[{INVISIBLE}]")
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 _ONE = rf"(?:{_WORD}|[0-9])"

@@ -195,6 +195,9 @@ def test_pii_spans(spark, sf, tmp_path):
         ("write to john (at) example (dot) com now", "email", "john (at) example (dot) com"),
         ("write to john dot smith at example dot com now", "email", "john dot smith at example dot com"),
         ("mаil​me@exаmple.com!", "email", "mаil​me@exаmple.com"),
+        ("to \U0001d423\U0001d428\U0001d421\U0001d427@example.com", "email", "\U0001d423\U0001d428\U0001d421\U0001d427@example.com"),
+        ("\uff4a\uff4f\uff45\uff20\uff45\uff58\uff0e\uff43\uff4f", "email", "\uff4a\uff4f\uff45\uff20\uff45\uff58\uff0e\uff43\uff4f"),
+        ("host \u0661\u0660.\u0967.0.7 up", "ip", "\u0661\u0660.\u0967.0.7"),
         ("host 10 dot 0 dot 0 dot 7 is up", "ip", "10 dot 0 dot 0 dot 7"),
         ("call plus four nine three zero one two three four five six please", "phone", "plus four nine three zero one two three four five six"),
         ("card ４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
