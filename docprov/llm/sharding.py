@@ -11,8 +11,8 @@ Ranks come in two steps, so no task sorts more than about the square root of all
 arcs are cut into cells of the ring, rows are numbered within cells, and the cells'
 counts are summed up within arcs.
 
-Defined results: a null key hashes like the text "null" (rows with null or equal keys
-share a position and are ordered by their text's checksum); null text has size 1 and
+Defined results: a row with a null key is placed by its text's checksum instead, so that
+many of them spread; rows with equal keys share a position and are ordered by that checksum; null text has size 1 and
 checksum 0; repeated rows are placed one by one, each with a slot of its own; an empty
 table gives an empty result; other columns are dropped.
 """
@@ -81,8 +81,10 @@ def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = 128, slack: float
     spark = docs.sparkSession
     points = ring_points(shards, vnodes)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    position = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("long")
-    keyed = docs.select(F.col(key), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), position.alias("position"))
+    check = F.crc32(body.cast("binary"))
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), check.cast("string")))
+    position = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long")
+    keyed = docs.select(F.col(key), (F.octet_length(body).cast("long") + 1).alias("size"), check.alias("text_crc32"), position.alias("position"))
     rows = docs.count()
     bits = max(0, math.ceil(math.log2(max(1, math.sqrt(rows)))))
     ends = np.array([p for p, _ in points])
