@@ -35,7 +35,8 @@ def heading_chunks(docs: DataFrame, key: str = "doc_id", body: str = "body", tit
         return F.struct(content.alias("content"), F.get("parts", start).alias("first"))
 
     rows = rows.select(key, "title", F.transform("starts", section).alias("sections"))
-    rows = rows.select(key, "title", F.posexplode("sections").alias("sequence", "section")).select(key, "title", "sequence", "section.content", F.col("section.first.second").alias("second"), F.col("section.first.content").alias("first"))
+    # Outer, as a filter for empty arrays would be pushed down with all of the above in it, and work it out again.
+    rows = rows.select(key, "title", F.posexplode_outer("sections").alias("sequence", "section")).where("section is not null").select(key, "title", "sequence", "section.content", F.col("section.first.second").alias("second"), F.col("section.first.content").alias("first"))
     head = rf"\A(###?){BLANK}([^\r\n]+)"
     out = rows.select(key, "title", "sequence", "content", "second", F.regexp_extract("first", head, 1).alias("mark"), trimmed(F.regexp_extract("first", head, 2)).alias("own"))
     inner = (F.col("second") != "") & (F.col("second") != F.col("title"))

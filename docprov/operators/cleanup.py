@@ -74,7 +74,7 @@ def ruled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, at, line, rule): every line with the first rule that removes it, or null."""
-    both = ruled(docs, key, text).select(key, F.posexplode(F.arrays_zip("lines", "rules")).alias("at", "x"))
+    both = ruled(docs, key, text).select(key, F.posexplode_outer(F.arrays_zip("lines", "rules")).alias("at", "x"))
     return both.select(key, "at", F.col("x.lines").alias("line"), F.col("x.rules").alias("rule"))
 
 

@@ -60,7 +60,7 @@ def message(role: str, text: Column) -> Column:
 
 def cleansed(docs: DataFrame, model: TextModel, instruction: str, key: str = "document_id", text: str = "source_text") -> DataFrame:
     """(key, sequence, source_text, ai_text, error): each chunk of each source as the model rewrites it."""
-    chunks = docs.select(F.col(key), F.posexplode(chunk.source_chunks(F.col(text))).alias("at", "source_text")).select(key, (F.col("at") + 1).alias("sequence"), "source_text")
+    chunks = docs.select(F.col(key), F.posexplode_outer(chunk.source_chunks(F.col(text))).alias("at", "source_text")).where("source_text is not null").select(key, (F.col("at") + 1).alias("sequence"), "source_text")
     said = asked(chunks, F.array(message("system", F.lit(instruction)), message("user", F.col("source_text"))), model, [key, "sequence", "source_text"])
     return said.withColumn("ai_text", fenced(F.coalesce("said", F.lit("")))).drop("said")
 

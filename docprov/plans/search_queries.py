@@ -103,7 +103,7 @@ def vec_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)?')"
 #: Each occurrence of either term covers the query alone, with the weight of contents.
-HITS = f"0.4::DOUBLE * len(list_distinct(list_transform(list_filter(range(1, len({TOKENS}) + 1), lambda i: {TOKENS}[i] IN ('thes', 'des')), lambda i: least(i, 16383))))"
+HITS = f"SELECT doc_id, 0.4::DOUBLE * count(DISTINCT least(i, 16383)) AS s FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents)) WHERE x IN ('thes', 'des') GROUP BY 1"
 
 
 @query(f"""WITH w AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents)),
@@ -133,7 +133,7 @@ def fulltext_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HYBRID = f"""WITH near AS (SELECT vec_id AS doc_id, s, row_number() OVER (ORDER BY s DESC, vec_id) AS vr FROM (SELECT e.vec_id, {COSINE} AS s FROM embeddings e, {QUERY_VECTOR} WHERE e.vec_id IN (SELECT doc_id FROM documents)) ORDER BY vr LIMIT 200),
-told AS (SELECT doc_id, s / (s + 1) AS ts, row_number() OVER (ORDER BY s / (s + 1) DESC, doc_id) AS tr FROM (SELECT doc_id, {HITS} AS s FROM documents) WHERE s > 0 ORDER BY tr LIMIT 200),
+told AS (SELECT doc_id, s / (s + 1) AS ts, row_number() OVER (ORDER BY s / (s + 1) DESC, doc_id) AS tr FROM ({HITS}) WHERE s > 0 ORDER BY tr LIMIT 200),
 both_ AS (SELECT coalesce(near.doc_id, told.doc_id) AS doc_id, s, ts, vr, tr, 0.7 / (20 + coalesce(vr, 1000)) + 0.3 / (20 + coalesce(tr, 1000)) AS c FROM near FULL JOIN told ON near.doc_id = told.doc_id),
 top AS (SELECT * FROM both_ WHERE c >= 0.005 ORDER BY c DESC, doc_id LIMIT 50)
 """
@@ -201,9 +201,8 @@ def word_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"), text.token_estimate(F.col("text")).alias("tokens"))
 
 
-SECTIONS = f"""WITH lines AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {trimmed_sql('x')}) AS l FROM documents),
-placed AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS pos FROM lines),
-sections AS (SELECT doc_id, pos - 1 AS sequence, l[pos] AS title, CASE WHEN (pos - 1) % 3 = 0 THEN '##' ELSE '###' END AS mark, l[pos - (pos - 1) % 3] AS second FROM placed),
+SECTIONS = f"""WITH lines AS (SELECT doc_id, {trimmed_sql('x')} AS title, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+sections AS (SELECT doc_id, pos - 1 AS sequence, title, CASE WHEN (pos - 1) % 3 = 0 THEN '##' ELSE '###' END AS mark, last_value(CASE WHEN (pos - 1) % 3 = 0 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM lines),
 told AS (SELECT *, mark || ' ' || title AS content, CASE WHEN mark = '##' THEN title ELSE second || ' > ' || title END AS path FROM sections)
 """
 
@@ -313,7 +312,7 @@ def part_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five lines of a document as a chunk, rewritten without every third line."""
     lines = F.split(F.col("text"), "\n")
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 5).cast("int")), lambda i: F.slice(lines, i * 5 + 1, 5))
-    rows = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(parts).alias("sequence", "part"))
+    rows = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode_outer(parts).alias("sequence", "part"))
     kept = F.filter("part", lambda x, i: (i + 1 + F.col("document_id")) % 3 != 0)
     return audit.audited(rows.select("document_id", "sequence", F.array_join("part", "\n").alias("source_text"), F.array_join(kept, "\n").alias("ai_text")))
 
@@ -332,7 +331,7 @@ def audit_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as paragraphs, packed to 600 characters and 900 at most."""
     docs = t(spark, sf_dir, "documents").withColumn("chunks", chunk.source_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 600, 900))
-    return docs.select("doc_id", F.posexplode("chunks").alias("sequence", "content")).select("doc_id", "sequence", F.length("content").alias("n_chars"), text.sha256(F.col("content")).alias("content_hash"))
+    return docs.select("doc_id", F.posexplode_outer("chunks").alias("sequence", "content")).select("doc_id", "sequence", F.length("content").alias("n_chars"), text.sha256(F.col("content")).alias("content_hash"))
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
