@@ -24,6 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{session.shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
+#: What is staged and not deleted yet.
+LIVE: set[str] = set()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it again: a cut in the lineage that
     outlives any executor. Unlike a cache it takes no executor memory."""
@@ -31,12 +35,14 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
+    LIVE.add(path)
     return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    LIVE.difference_update([p for p in LIVE if p.startswith(path)])
 
 
 def unstaged(*frames: DataFrame) -> None:
@@ -45,6 +51,15 @@ def unstaged(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df.staged_at)
 
 
+def staged_alone(spark: SparkSession, made: Callable[[], DataFrame]) -> DataFrame:
+    """The staged result of `made`, and nothing else of what was staged on the way to it."""
+    before = set(LIVE)
+    out = staged(made())
+    for path in LIVE - before - {out.staged_at}:
+        _delete(spark, path)
+    return out
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete all that operators staged in this application: what their lazy results still read, too. To be called
     when those are written."""

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docprov.llm.common import staged
+from docprov.llm.common import staged, unstaged
 
 TOKEN = re.compile(r"\w+")
 BUCKETS, DIM, WIDTHS, FILTERS, TOP = 1 << 16, 12, (1, 2, 3), 8, 5
@@ -343,6 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean:
     fitting = few.join(sizes.withColumn("upto", F.sum(F.coalesce("bytes", F.lit(0))).over(before)).where(F.col("upto") <= max_bytes).select(key), key)
     rows = docs.select(F.col(key), body.alias("text"), F.col(lang).cast("string").alias("lang")).join(F.broadcast(fitting), key)
     sample = rows.groupBy(key).agg(F.min("text").alias("text"), F.min("lang").alias("lang"), F.min("label").alias("label")).toPandas().sort_values(key)
+    unstaged(few)
     return fit([t or "" for t in sample["text"]], [int(v) for v in sample["label"]], sample["lang"].tolist(), cut)
 
 

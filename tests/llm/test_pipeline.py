@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from docprov.llm import mixing, secrets
-from docprov.llm.common import table
+from docprov.llm.common import LIVE, table
 from tests.llm.cases import ROWS, WORDS, empty, frame, near_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -70,7 +70,10 @@ def test_every_token_is_packed(steps):
 
 
 def test_run(spark, sf, steps):
-    assert corpus_pipeline.run(spark, sf).count() == steps[-1][1].count()
+    before = set(LIVE)
+    out = corpus_pipeline.run(spark, sf)
+    assert LIVE - before == {out.staged_at}
+    assert out.count() == steps[-1][1].count()
 
 
 def test_odd_rows_and_empty_tables(spark, sf):
