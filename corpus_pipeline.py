@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docprov.llm import jaccard, mixing, packing, secrets, toxicity
-from docprov.llm.common import staged, table
+from docprov.llm.common import staged_alone, table, unstaged
 from docprov.llm.queries import learnable
 from docprov.session import attach
 
@@ -67,9 +67,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table is deleted once the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+    for n, (_, stage) in enumerate(STAGES):
+        before, docs = docs, staged_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if n:
+            unstaged(before)
     return docs
 
 
