@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docprov.llm import html, jaccard, mixing, packing, pii, quality, ranges, secrets, sharding, toxicity
+from docprov.llm import annular, html, jaccard, mixing, packing, pii, quality, ranges, secrets, sharding, squares, toxicity, wand
 from docprov.llm.common import table
 from docprov.llm.sql import SQL
 from docprov.session import attach
@@ -83,8 +83,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return squares.best_fit(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op12_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(wand.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_annular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annular.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mixing, op2_quality, op3_sharding, op4_packing, op5_secrets, op6_embeddings, op7_pii, op8_toxicity, op9_jaccard, op10_html)
+    named = (op1_mixing, op2_quality, op3_sharding, op4_packing, op5_secrets, op6_embeddings, op7_pii, op8_toxicity, op9_jaccard, op10_html, op11_squares, op12_wand, op13_annular)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(attach(spark), sf_dir)) for f in named}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docprov.llm import quality
+from docprov.llm import annular, quality, wand
 from docprov.llm.quality import Limits
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,4 +92,41 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(lowest,
 FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS lowest FROM reach GROUP BY 1) USING (vec_id)"""
 
 
-SQL = {"op2_quality": quality_sql(), "op5_secrets": secrets_sql(), "op6_embeddings": ranges_sql(), "op9_jaccard": jaccard_sql()}
+def wand_sql(most: int = 50) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    of = lambda kept, table: f"SELECT {kept}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{wand.TERM}') AS w FROM {table}"
+    return f"""WITH docs AS ({of("doc_id, row_number() OVER () AS doc_no", "documents")}), items AS ({of("item_id, row_number() OVER () AS item_no", "benchmark")}),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS documents, sum(len(w))::BIGINT AS words FROM docs),
+tfs AS (SELECT doc_no, term, count(*) AS tf FROM (SELECT doc_no, unnest(w) AS term FROM docs) GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM tfs GROUP BY 1), totals),
+norms AS (SELECT doc_no, doc_id, 50 + (50 * len(w) * documents) // words AS m FROM docs, totals WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_no, item_id, unnest(w) AS term FROM items),
+scores AS (SELECT item_no, item_id, doc_no, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN norms USING (doc_no) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {most}"""
+
+
+def annular_sql(shape: annular.Shape = annular.Shape()) -> str:
+    """For vectors of one length and distinct ids, as the given tables hold them."""
+    p, e = shape.parts, shape.entries
+    distance = "(list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c))"  # exact: whole numbers
+    near = lambda k: f"near{k} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, arg_min(e, {distance} * {e} + e) AS e, min({distance}) AS d FROM parts JOIN book{k} USING (part) GROUP BY 1, 2)"
+    rounds = "".join(
+        f"""{near(k)},
+mean{k} AS (SELECT part, e, list(v ORDER BY i) AS c FROM (SELECT part, e, i, floor(sum(v) / count(*)) AS v FROM (SELECT part, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM near{k}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+book{k + 1} AS MATERIALIZED (SELECT part, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (part, e)),
+"""
+        for k in range(shape.rounds)
+    )
+    last = shape.rounds
+    return f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {shape.scale})) AS q FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, part, q[part * (len(q) // {p}) + 1 : (part + 1) * (len(q) // {p})] AS x FROM kept, (SELECT unnest(range({p})) AS part)),
+book0 AS MATERIALIZED (SELECT part, e, x AS c FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {e}) JOIN parts USING (vec_id)),
+{rounds}{near(last)},
+codes AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{last} GROUP BY 1),
+told AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM (SELECT part, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM book{last})),
+labelled AS (SELECT vec_id, label, code, error FROM codes JOIN kept USING (vec_id))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM labelled, told"""
+
+
+SQL = {"op2_quality": quality_sql(), "op5_secrets": secrets_sql(), "op6_embeddings": ranges_sql(), "op9_jaccard": jaccard_sql(), "op12_wand": wand_sql(), "op13_annular": annular_sql()}
