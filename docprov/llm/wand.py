@@ -11,9 +11,10 @@ sample of the shard's lists so that blocks hold about `MEAN` postings; blocks ha
 shard run through the recurrence together.
 
 Search. Each shard is searched alone, exactly. A block bounds what its term can add to the
-documents between its first and its last posting; at each document, the blocks of all the
-query's terms that reach over it add up to a bound of its score, which is WAND's pivot test
-for all documents at once. Some documents of the highest bounds are scored first, from the
+documents between its first and its last posting, or, of terms that less than one in `RARE`
+documents holds, to just those that hold it; at each document, the blocks of all the query's
+terms that reach it add up to a bound of its score, which is WAND's pivot test for all
+documents at once. Some documents of the highest bounds are scored first, from the
 blocks that reach over them; the lowest score among the best of these is the threshold that
 bounds have to reach from then on, and the documents whose bounds do are scored. Blocks that
 lie where no bound does are never opened. The best of all shards are merged by one ranking.
@@ -52,6 +53,7 @@ from docprov.llm.common import by_group, staged
 # Documents and postings at which a shard is closed; local numbers of documents fit 16 bits.
 SHARD, POSTINGS = 8192, 1 << 21
 SEGMENT, WIDEST, MEAN, SHORT = 512, 64, 24, 8
+RARE = 32
 QUERIES, QUERY_BYTES = 1024, 4_000_000
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The same over UTF-8, where all bytes of other characters lie beyond ASCII.
@@ -238,6 +240,8 @@ def best(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], wei
     impacts, first places and largest impacts of each term. `opened` gets the postings read and those there are."""
     begins, ends, bound, factor, at = [], [], [], [], 0
     for (docs, _, first, largest), w in zip(lists, weights, strict=True):
+        if len(docs) * RARE <= size:  # each posting alone, under its block's maximum
+            first, largest = np.arange(len(docs)), np.repeat(largest, np.diff(np.append(first, len(docs)).astype(np.int64)))
         begins.append(first.astype(np.int64) + at)
         at += len(docs)
         ends.append(np.append(begins[-1][1:], at))
