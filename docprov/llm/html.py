@@ -114,7 +114,8 @@ class Page:
             if tag == "br":
                 self._text.append(" ")
             return
-        tokens = frozenset(w for m in ATTR.finditer(attrs) if m[2] and m[1].lower() in ("class", "id", "role") for w in _parts(m[2])) if "=" in attrs and TELLING.search(attrs) else frozenset()
+        # What names the whole document (a theme's classes on its body) says nothing of a part.
+        tokens = frozenset() if tag in ("body", "html") else frozenset(w for m in ATTR.finditer(attrs) if m[2] and m[1].lower() in ("class", "id", "role") for w in _parts(m[2])) if "=" in attrs and TELLING.search(attrs) else frozenset()
         parent = self._open[-1]
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, tokens, len(self.blocks)))
         place = len(self._open)
@@ -179,11 +180,13 @@ def wrappers(page: Page) -> list[bool]:
 
 
 ABOVE = {"nav": 3, "footer": 3, "aside": 3, "form": 3, "header": 2, "article": 1, "main": 1}
+#: A named part that holds more of the page's text than this is told apart from a narrow one: it may be a frame around all.
+WIDE = 0.5
 
 
 def features(page: Page) -> np.ndarray:
-    """A row a node. Subtree sums come from one pass from the last node to the first. Elements
-    that only wrap one other count neither as depth nor as tags."""
+    """A row a node. Subtree sums come from one pass from the last node to the first, what lies above from one back.
+    Elements that only wrap one other count neither as depth nor as tags."""
     nodes, n = page.nodes, len(page.nodes)
     chars, links, blocks, commas, under, kids, place, inside = ([0] * n for _ in range(8))
     for (no, text, _), linked in zip(page.blocks, page.link_chars, strict=True):
@@ -191,9 +194,17 @@ def features(page: Page) -> np.ndarray:
         links[no] += linked
         blocks[no] += 1
         commas[no] += text.count(",") + text.count(".")
-    own, parent = list(chars), [x.parent for x in nodes]
+    own, parent, wraps = list(chars), [x.parent for x in nodes], wrappers(page)
+    for i in range(n - 1, 0, -1):
+        p = parent[i]
+        chars[p] += chars[i]
+        links[p] += links[i]
+        blocks[p] += blocks[i]
+        commas[p] += commas[i]
+        under[p] += under[i] + (not wraps[i])
     tag, token = [TAG_NO.get(x.tag, len(TAGS)) for x in nodes], [-1] * n
-    bad, good, bad_above, good_above, tag_above = ([0] * n for _ in range(5))
+    bad, good, bad_above, bad_around, good_above, tag_above, depth = ([0] * n for _ in range(7))
+    share, limit = [2.0] * n, WIDE * chars[0]
     for i, x in enumerate(nodes):
         if x.tokens:
             known = x.tokens & TOKEN_NO.keys()
@@ -205,26 +216,23 @@ def features(page: Page) -> np.ndarray:
             p = parent[i]
             place[i] = kids[p]
             kids[p] += 1
-            bad_above[i] = bad_above[p] + bad[p]
+            depth[i] = depth[p] + (not wraps[i])
+            narrow = chars[p] <= limit
+            bad_above[i] = bad_above[p] + bad[p] * narrow
+            bad_around[i] = bad_around[p] + bad[p] * (not narrow)
             good_above[i] = good_above[p] + good[p]
             kind = ABOVE.get(nodes[p].tag, 0)
-            tag_above[i] = kind if kind > tag_above[p] else tag_above[p]
-            inside[i] = inside[p] or kind == 1
-    wraps, depth = wrappers(page), [0] * n
-    for i in range(1, n):
-        depth[i] = depth[parent[i]] + (not wraps[i])
-    for i in range(n - 1, 0, -1):
-        p = parent[i]
-        chars[p] += chars[i]
-        links[p] += links[i]
-        blocks[p] += blocks[i]
-        commas[p] += commas[i]
-        under[p] += under[i] + (not wraps[i])
+            kind = 1 if kind == 2 and inside[p] else kind if kind == 1 or narrow else 0
+            tag_above[i] = max(kind, tag_above[p])
+            inside[i] = inside[p] or ABOVE.get(nodes[p].tag, 0) == 1
+            share[i] = share[p]
+        if bad[i]:
+            share[i] = chars[i] / max(chars[0], 1)
     up = np.maximum(np.array(parent), 0)
     chars_, kids_, under_, token_, tag_, place_ = (np.array(v, dtype=float) for v in (chars, kids, under, token, tag, place))
     safe, kin = np.maximum(chars_, 1), np.maximum(kids_[up], 1)
     return np.column_stack([
-        tag_, token_, bad, good, bad_above, good_above, tag_above, [ABOVE.get(x.tag, 0) > 1 for x in nodes], inside,
+        tag_, token_, bad, good, bad_above, bad_around, good_above, tag_above, [ABOVE.get(x.tag, 0) > 1 for x in nodes], inside, share,
         depth, np.log1p(chars_), np.array(links) / safe, np.log1p(under_), chars_ / (under_ + 1), np.array(commas) / safe,
         chars_ / safe[0], chars_ / np.maximum(chars_[up], 1), np.log1p(own), place_, place_ / kin, kin, kids_, np.log1p(blocks), tag_[up],
         token_[up], np.array([x.order for x in nodes]) / max(1, len(page.blocks)),

@@ -34,9 +34,10 @@ columns are dropped.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,11 +49,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docprov.llm.common import by_group, staged
+from docprov.llm.common import by_group, map_columns, staged
 
-# Documents and postings at which a shard is closed; local numbers of documents fit 16 bits.
-SHARD, POSTINGS = 8192, 1 << 21
-SEGMENT, WIDEST, MEAN, SHORT = 512, 64, 24, 8
+# Documents and occurrences of terms at which a shard is closed; local numbers of documents fit 16 bits.
+SHARD, TERMS = 8192, 1 << 21
+SEGMENT, WIDEST, MEAN, SHORT = 512, 48, 16, 8
 RARE = 32
 QUERIES, QUERY_BYTES = 1024, 4_000_000
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -139,7 +140,7 @@ def blocks(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     at = 0
     while at < len(begin):
         # As many segments of like lengths as make a small table.
-        upto = at + max(1, (1 << 19) // int(size[min(len(size) - 1, at + 1023)]))
+        upto = at + max(1, (1 << 17) // int(size[min(len(size) - 1, at + 1023)]))
         some = np.arange(at, min(upto, len(begin)))
         found = cuts(padded(some), size[some], high)
         row, col = np.nonzero(found)
@@ -148,36 +149,65 @@ def blocks(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return begins
 
 
-def shard(keys: list, found: list[list[tuple[bytes, int]]], lengths: list[int], documents: int, words: int) -> Iterator[tuple[bytes | None, int, int, bytes | None, list | None]]:
-    """(term, postings, blocks, body, keys) of a shard: a row that holds its keys in order, then its lists by term.
-    A body is the documents, the impacts, the blocks' first places and their largest impacts."""
-    order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] if keys[i] is not None else 0))
-    vocabulary: dict[bytes, int] = {}
-    numbers, counts, held = [], [], []
-    for i in order:
-        numbers.extend([vocabulary.setdefault(t, len(vocabulary)) for t, _ in found[i]])
-        counts.extend([n for _, n in found[i]])
-        held.append(len(found[i]))
-    yield None, len(keys), 0, None, [keys[i] for i in order]
-    if not vocabulary:
-        return
-    names = sorted(vocabulary)
-    place = np.zeros(len(names), np.int64)
-    place[[vocabulary[t] for t in names]] = np.arange(len(names))
-    number, local = place[numbers], np.repeat(np.arange(len(order)), held)
-    value = impacts(np.array(counts, np.int64), np.array(lengths, np.int64)[order][local], documents, words)
-    by_term = np.argsort(number, kind="stable")  # within a term, documents stay in order
-    local, value = local[by_term].astype("<u2"), value[by_term].astype("<u4")
-    sizes = np.bincount(number, minlength=len(names))
-    starts = np.cumsum(sizes) - sizes
-    begins = np.flatnonzero(blocks(value, starts, sizes))
-    maxima = np.maximum.reduceat(value, begins).astype("<u4")
-    first = np.searchsorted(begins, starts)
-    n_blocks = np.diff(np.append(first, len(begins)))
-    within = (begins - np.repeat(starts, n_blocks)).astype("<u4")
-    a, b, c, d = local.tobytes(), value.tobytes(), within.tobytes(), maxima.tobytes()
-    for name, at, n, f, k in zip(names, starts.tolist(), sizes.tolist(), first.tolist(), n_blocks.tolist(), strict=True):
-        yield name, n, k, a[2 * at : 2 * (at + n)] + b[4 * at : 4 * (at + n)] + c[4 * f : 4 * (f + k)] + d[4 * f : 4 * (f + k)], None
+class Vocabulary(dict):
+    """Terms by number, in the order in which they come."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = no = len(self)
+        return no
+
+
+class Shard:
+    """Documents gathered so far: each term once, and a number an occurrence."""
+
+    def __init__(self) -> None:
+        self.keys: list = []
+        self.lengths: list[int] = []
+        self.vocabulary = Vocabulary()
+        self.numbers = array("i")
+
+    def add(self, key: object, own: list[bytes]) -> None:
+        self.keys.append(key)
+        self.lengths.append(len(own))
+        self.numbers.extend(map(self.vocabulary.__getitem__, own))
+
+    def lists(self, documents: int, words: int, at: int = 20_000) -> Iterator[list[pa.Array]]:
+        """(term, docs, impacts, begins, maxima, keys) as columns, some rows at a time: one that holds the keys in order, then the lists by term. A list is
+        its documents, their impacts, the blocks' first places in it and their largest impacts, all as packed numbers."""
+        keys = self.keys
+        order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] if keys[i] is not None else 0))
+        none = pa.array([None], pa.binary())
+        yield [none] * 5 + [pa.array([[keys[i] for i in order]])]
+        names = sorted(self.vocabulary)
+        place = np.zeros(len(names), np.int64)
+        place[[self.vocabulary[t] for t in names]] = np.arange(len(names))
+        local = np.zeros(len(keys), np.int64)
+        local[order] = np.arange(len(keys))
+        lengths = np.array(self.lengths, np.int64)
+        # One number an occurrence: by term, then by document.
+        pairs, counts = np.unique(place[np.frombuffer(self.numbers, np.int32)] * len(keys) + np.repeat(local, lengths), return_counts=True)
+        number, local = np.divmod(pairs, len(keys))
+        value = impacts(counts, lengths[order][local], documents, words).astype("<u4")
+        local = local.astype("<u2")
+        sizes = np.bincount(number, minlength=len(names))
+        starts = np.cumsum(sizes) - sizes
+        begins = np.flatnonzero(blocks(value, starts, sizes))
+        maxima = np.maximum.reduceat(value, begins).astype("<u4")
+        first = np.searchsorted(begins, starts)
+        n_blocks = np.diff(np.append(first, len(begins)))
+        within = (begins - np.repeat(starts, n_blocks)).astype("<u4")
+        first, starts = np.append(first, len(begins)), np.append(starts, len(local))
+        for a in range(0, len(names), at):
+            b = min(a + at, len(names))
+            columns = [_packed(x, offsets[a : b + 1]) for x, offsets in ((local, starts), (value, starts), (within, first), (maxima, first))]
+            yield [pa.array(names[a:b], pa.binary()), *columns, pa.nulls(b - a)]
+
+
+def _packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Stretches of numbers as binary values."""
+    own = values[offsets[0] : offsets[-1]]
+    places = ((offsets - offsets[0]) * own.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(own))])
 
 
 @dataclass(frozen=True)
@@ -191,48 +221,39 @@ class Index:
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_rows: int = SHARD) -> Index:
     """Index every document of a table; the lists are written to the shared folder."""
-    n = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(TERM)), F.lit(0)).cast("long")
-    seen = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    texts = docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("text"))
+
+    def counted(found: list) -> Iterator[dict[str, list]]:
+        own = [len(terms(t)) for t in found]
+        yield {"documents": [sum(n > 0 for n in own)], "words": [sum(own)]}
+
+    seen = map_columns(texts, ["text"], counted, "documents long, words long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "words")]).first()
     documents, words = seen.documents, seen.words
     if not 0 < shard_rows <= 65536:
         raise ValueError("a shard holds 1 to 65536 documents")
-    kind = T._parse_datatype_string(f"shard long, term binary, n int, blocks int, body binary, keys array<{docs.schema[key].dataType.simpleString()}>")
+    kind = T._parse_datatype_string(f"shard long, term binary, docs binary, impacts binary, begins binary, maxima binary, keys array<{docs.schema[key].dataType.simpleString()}>")
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list = []
-        found: list[list[tuple[bytes, int]]] = []
-        lengths: list[int] = []
-        no, postings = TaskContext.get().partitionId() << 32, 0
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            nonlocal no, postings
-            columns: tuple[list, ...] = ([], [], [], [], [])
-            for row in shard(keys, found, lengths, documents, words):
-                for c, v in zip(columns, row, strict=True):
-                    c.append(v)
-                if len(columns[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([no] * len(columns[0]), *columns), arrow, strict=True)], schema=arrow)
-                    columns = ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([no] * len(columns[0]), *columns), arrow, strict=True)], schema=arrow)
-            no, postings = no + 1, 0
-            for x in (keys, found, lengths):
-                x.clear()
+        no = TaskContext.get().partitionId() << 32
+
+        def written(own: Shard) -> Iterator[pa.RecordBatch]:
+            for columns in own.lists(documents, words):
+                rows = len(columns[0])
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([pa.array(np.full(rows, no)), *columns], arrow, strict=True)], schema=arrow)
 
+        own = Shard()
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = terms(t.as_py())
-                if own:
-                    keys.append(k)
-                    found.append(list(Counter(own).items()))
-                    lengths.append(len(own))
-                    postings += len(found[-1])
-                    if len(keys) >= shard_rows or postings >= POSTINGS:
-                        yield from closed()
-        if keys:
-            yield from closed()
+                if found := terms(t.as_py()):
+                    own.add(k, found)
+                    if len(own.keys) >= shard_rows or len(own.numbers) >= TERMS:
+                        yield from written(own)
+                        own, no = Shard(), no + 1
+        if own.keys:
+            yield from written(own)
 
-    return Index(staged(docs.select(F.col(key), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(run, kind)), documents, words)
+    return Index(staged(texts.mapInArrow(run, kind)), documents, words)
 
 
 def best(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], weights: list[int], size: int, most: int, opened: list | None = None) -> list[tuple[int, int]]:
@@ -308,7 +329,7 @@ def search(own: Index, queries: DataFrame, most: int = 50, query_key: str = "ite
         names = sorted({t for _, own_terms in block for t in own_terms})
         wanted = F.broadcast(spark.createDataFrame([(bytearray(t),) for t in names], "term binary"))  # at most about QUERY_BYTES
         lists = own.rows.where("term is not null").join(wanted, "term", "left_semi")
-        df = {bytes(r.term): r.df for r in lists.groupBy("term").agg(F.sum("n").alias("df")).collect()}
+        df = {bytes(r.term): r.df for r in lists.groupBy("term").agg(F.sum(F.octet_length("docs") / 2).cast("long").alias("df")).collect()}
         weights = {t: weight(own.documents, n) for t, n in df.items()}
         asked = [(before + no, k, [t for t in own_terms if t in df]) for no, (k, own_terms) in enumerate(block)]
         before += len(block)
@@ -316,12 +337,10 @@ def search(own: Index, queries: DataFrame, most: int = 50, query_key: str = "ite
         def run(tables: Iterator[pa.Table], asked: list = asked, weights: dict = weights) -> Iterator[dict[str, list]]:
             keys, held = [], {}
             for t in tables:
-                for name, n, k, body, listed in zip(*(t[c].to_pylist() for c in ("term", "n", "blocks", "body", "keys")), strict=True):
-                    if name is None:
-                        keys = listed
-                    else:
-                        part = lambda kind, count, at, body=body: np.frombuffer(body, kind, count, at)
-                        held[name] = part("<u2", n, 0), part("<u4", n, 2 * n), part("<u4", k, 6 * n), part("<u4", k, 6 * n + 4 * k)
+                if t["term"][0].as_py() is None:
+                    keys, t = t["keys"][0].as_py(), t.slice(1)
+                parts = [[np.frombuffer(v.as_buffer(), kind) for v in t[c]] for c, kind in (("docs", "<u2"), ("impacts", "<u4"), ("begins", "<u4"), ("maxima", "<u4"))]
+                held.update(zip(t["term"].to_pylist(), zip(*parts, strict=True), strict=True))
             for no, item, names in asked:
                 here = [x for x in names if x in held]
                 if here:
