@@ -1,20 +1,23 @@
 """Command line: validate, ingest, embed, chunk again, parse, approve and verify.
 
-Tables lie in the folder of --store: documents, chunks, drafts, events, and envelopes, which are only ever added to.
+Tables lie in the folder of --store: documents, chunks, drafts and events, which change by atomic commits (a run that
+ends half way changes nothing), and envelopes, which are only ever added to.
 """
 
 from __future__ import annotations
 
 import argparse
 import uuid
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprov.functions.watermark import verified
 from docprov.operators import drafts, embed, ingest, parse, store
 from docprov.session import stored
 from docprov.sources import envelopes, markdown
+from docprov.sources.snapshots import Tables, View, is_store
 
 DOCUMENTS = "corpus_id string, version string, organization_id string, content_hash string, title string, tier string, content_type string, source_url string, source_publisher string, last_verified string, frameworks array<string>, industries array<string>, segments array<string>, is_active boolean"
 ACTIONS = ("validate", "ingest", "ingest_and_embed", "embed_pending", "rechunk", "ingest_content", "parse", "approve_draft", "verify")
@@ -38,24 +41,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-class Store:
-    """The tables of one folder. A snapshot is written beside the present one before it takes its place."""
+CHUNKS = "id string, document_id string, corpus_id string, sequence int, section_title string, heading_level int, content string, content_hash string, token_count long, heading_path array<string>, tier string, frameworks array<string>, industries array<string>, segments array<string>, language string, embedding_status string, embedding array<double>, updated_at timestamp, lease_expires_at timestamp, is_active boolean, status string, run_id string, authority_id string, error string"
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.read.parquet(f"{self.folder}/{name}")
-        return self.spark.createDataFrame([], schema)
+EVENTS = "chunk_id string, run_id string, embedding_authority_id string, status string, error string, occurred_at timestamp"
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}.next")
-        self.spark.read.parquet(f"{self.folder}/{name}.next").write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
+class Store(Tables):
+    """The tables of one folder, made when they are first asked for."""
 
-CHUNKS = "id string, document_id string, corpus_id string, sequence int, section_title string, heading_level int, content string, content_hash string, token_count long, heading_path array<string>, tier string, frameworks array<string>, industries array<string>, segments array<string>, language string, embedding_status string, embedding array<double>, updated_at timestamp, lease_expires_at timestamp, is_active boolean, status string, run_id string, authority_id string, error string"
+    KINDS = {"documents": (DOCUMENTS, ("corpus_id",)), "chunks": (CHUNKS, ("document_id",)), "drafts": (drafts.COLUMNS, ("id",)), "events": (EVENTS, ("chunk_id",))}
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder)
+        for name, (schema, key) in self.KINDS.items():
+            self.define(name, schema, key)
+
+
+def _now() -> Column:
+    """The time, taken here and now: as an expression it would be read when a record is written."""
+    return F.lit(datetime.now(UTC))
 
 
 def _chunk_rows(chunks: DataFrame) -> DataFrame:
@@ -66,21 +71,30 @@ def _chunk_rows(chunks: DataFrame) -> DataFrame:
 
 
 def _ingested(args: argparse.Namespace, tables: Store | None, raw: DataFrame, fact_check: bool, rechunk: bool = False) -> tuple[dict[str, int], DataFrame]:
-    existing = tables.read("documents", DOCUMENTS) if tables else raw.sparkSession.createDataFrame([], DOCUMENTS)
     if args.corpus_id:
         raw = raw.where(F.col("raw").rlike(rf"(?m)^corpus_id:[ \t]*[\"']?{_literal(args.corpus_id)}[\"']?[ \t]*$"))
-    started = F.current_timestamp()
-    results, documents, chunks = ingest.ingest(raw, existing, fact_check, args.secret, rechunk)
-    results = stored(results)  # the tables it was made from give way below
-    counts = {r.action: r.n for r in results.groupBy("action").agg(F.count("*").alias("n")).collect()}
-    if args.action != "validate" and not args.dry_run and tables:
-        have = tables.read("chunks", CHUNKS)
-        new = _chunk_rows(chunks)
-        tables.replace("chunks", store.replaced(new, have))
-        tables.replace("documents", documents)
-        told = results.select("corpus_id", (F.col("action") != "invalid").alias("valid"), F.array_compact(F.array("error")).alias("errors"), F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("document_id"), "action", *[F.lit(None).cast("long").alias(c) for c in ("chunk_count", "embedded", "pending", "old_chunk_count")])
-        envelopes.AppendOnly(f"{tables.folder}/envelopes").append(envelopes.of_pipeline(told, envelopes.Context(uuid.uuid4().hex, "cli", args.action), started, F.current_timestamp()))
-    return counts, results
+    started = _now()
+    if args.action == "validate" or args.dry_run or not tables:
+        existing = tables.read("documents") if tables else raw.sparkSession.createDataFrame([], DOCUMENTS)
+        results, _, _ = ingest.ingest(raw, existing, fact_check, args.secret, rechunk)
+        results = stored(results)
+        return _counted(results), results
+
+    def work(view: View) -> DataFrame:
+        results, documents, chunks = ingest.ingest(raw, view.read("documents"), fact_check, args.secret, rechunk)
+        results, new = stored(results), stored(_chunk_rows(chunks))
+        view.merge("chunks", new, lambda have: store.replaced(new, have))
+        view.replace("documents", documents)
+        return results
+
+    results = tables.transaction(work)
+    told = results.select("corpus_id", (F.col("action") != "invalid").alias("valid"), F.array_compact(F.array("error")).alias("errors"), F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("document_id"), "action", *[F.lit(None).cast("long").alias(c) for c in ("chunk_count", "embedded", "pending", "old_chunk_count")])
+    envelopes.AppendOnly(f"{tables.folder}/envelopes").append(envelopes.of_pipeline(told, envelopes.Context(uuid.uuid4().hex, "cli", args.action), started, _now()))
+    return _counted(results), results
+
+
+def _counted(results: DataFrame) -> dict[str, int]:
+    return {r.action: r.n for r in results.groupBy("action").agg(F.count("*").alias("n")).collect()}
 
 
 def _literal(text: str) -> str:
@@ -88,17 +102,38 @@ def _literal(text: str) -> str:
 
 
 def _embedded(args: argparse.Namespace, tables: Store, provider: embed.Provider) -> dict[str, int]:
-    run = uuid.uuid4().hex
-    state, events, tried = embed.embed_all(tables.read("chunks", CHUNKS), provider, F.current_timestamp(), args.limit, run_id=run)
-    if tried and not args.dry_run:
-        done = state.withColumn("embedding_status", F.when(F.col("status") == "complete", "complete").otherwise(F.col("embedding_status")))
-        tables.replace("chunks", done.select(*tables.read("chunks", CHUNKS).columns))
-        events.write.mode("append").parquet(f"{tables.folder}/events")
-        context = envelopes.Context(run, "cli", args.action)
-        envelopes.AppendOnly(f"{tables.folder}/envelopes").append(envelopes.of_embedding(events.select((F.col("status") == "complete").alias("ok")), context, F.current_timestamp(), F.current_timestamp()))
+    run, started = uuid.uuid4().hex, _now()
+
+    def claimed(view: View) -> DataFrame:
+        have = view.read("chunks")
+        picked = stored(store.claim(have, started, embed.whole_batches(args.limit), run_id=run, authority="authority").where("claimed").drop("claimed"))
+        if not args.dry_run:
+            view.merge("chunks", picked, lambda old: store.chunk_upsert(picked, old, ("id",)))
+        return picked
+
+    # Claimed in one commit, so that no other run embeds the same chunks; settled in a second one, under the same lease.
+    picked = tables.transaction(claimed)
+    results = stored(embed.embedded(picked, provider))
+    events = stored(embed.events_of(results, _now()))
+    if not args.dry_run and not events.isEmpty():
+
+        def settled(view: View) -> None:
+            view.merge("chunks", picked, lambda old: embed.settled(old, results, _now()))
+            view.append("events", events)
+
+        tables.transaction(settled)
+        envelopes.AppendOnly(f"{tables.folder}/envelopes").append(envelopes.of_embedding(events.select((F.col("status") == "complete").alias("ok")), envelopes.Context(run, "cli", args.action), started, _now()))
     return {r.status: r["count"] for r in events.groupBy("status").count().collect()}
 
 
+def _chunks_at(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of a store, of its folder `chunks`, or of plain Parquet files."""
+    for store_folder in (folder, folder.rstrip("/").removesuffix("/chunks")):
+        if is_store(spark, store_folder):
+            return Store(spark, store_folder).read("chunks")
+    return spark.read.parquet(folder)
+
+
 def _say(counts: dict[str, int]) -> None:
     print(", ".join(f"{k} {v}" for k, v in sorted(counts.items())) or "nothing to do")
 
@@ -120,7 +155,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, provi
     tables = Store(spark, args.store) if args.store else None
     provider, model = provider or embed.hashing_provider(), model or parse.identity_model
     if args.action == "verify":
-        chunks = spark.read.parquet(args.corpora or f"{args.store}/chunks")
+        chunks = _chunks_at(spark, args.corpora or args.store)
         told = chunks.select(verified(F.col("content"), args.secret).alias("v")).groupBy("v.valid").count()
         by = {r["valid"]: r["count"] for r in told.collect()}
         print(f"valid {by.get(True, 0)}, invalid {by.get(False, 0)}")
@@ -138,7 +173,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, provi
         counts, _ = _ingested(args, tables, spark.read.text(args.file, wholetext=True).select(F.col("value").alias("raw")), not args.skip_fact_check)
         _say(counts)
         return int("invalid" in counts)
-    have = tables.read("drafts", drafts.COLUMNS) if tables else spark.createDataFrame([], drafts.COLUMNS)
+    have = tables.read("drafts") if tables else spark.createDataFrame([], drafts.COLUMNS)
     if args.action == "parse":
         new = spark.read.text(args.file, wholetext=True).select(F.expr("uuid()").alias("id"), F.lit(args.file.rsplit("/", 1)[-1]).alias("source_filename"), F.col("value").alias("source_text"), F.lit("cli").alias("created_by"))
         new = spark.createDataFrame(new.collect(), new.schema)  # one file

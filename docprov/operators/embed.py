@@ -75,28 +75,36 @@ def embedded(chunks: DataFrame, provider: Provider, dimensions: int = DIMENSIONS
     return rows.mapInPandas(run, f"id {kind}, run_id string, authority_id string, ok boolean, error string, embedding array<double>")
 
 
+def whole_batches(limit: int, batch: int = 50) -> int:
+    """A limit of chunks as the reference keeps it: the batch in which it is reached is embedded whole."""
+    return -(-limit // batch) * batch
+
+
+def settled(chunks: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """The next state of `chunks` once `results` of the provider came in."""
+    state = store.settle(chunks, results.drop("embedding"), as_of)
+    done = results.where("ok").select("id", F.col("embedding").alias("__new"))
+    state = state.join(done, "id", "left")
+    there = F.col("accepted") & F.col("__new").isNotNull()
+    if "embedding_status" in chunks.columns:
+        state = state.withColumn("embedding_status", F.when(there, "complete").otherwise(F.col("embedding_status")))
+    return state.withColumn("embedding", F.when(there, F.col("__new")).otherwise(F.col("embedding"))).drop("__new")
+
+
+def events_of(results: DataFrame, as_of: Column) -> DataFrame:
+    return results.select(F.col("id").alias("chunk_id"), "run_id", F.col("authority_id").alias("embedding_authority_id"), F.when(F.col("ok"), "complete").otherwise("failed").alias("status"), "error", as_of.alias("occurred_at"))
+
+
 def embed_pending(chunks: DataFrame, provider: Provider, as_of: Column, limit: int = 50, dimensions: int = DIMENSIONS, run_id: str = "run", authority: str = "authority") -> tuple[DataFrame, DataFrame]:
     """(next state, events): claim up to `limit` chunks, embed them in one pass, settle the results."""
     claimed = store.claim(chunks, as_of, limit, run_id=run_id, authority=authority)
     results = stored(embedded(claimed.where("claimed"), provider, dimensions))  # the provider is asked once
-    state = store.settle(claimed.drop("claimed"), results.drop("embedding"), as_of)
-    done = results.where("ok").select("id", F.col("embedding").alias("__new"))
-    state = state.join(done, "id", "left").withColumn("embedding", F.when(F.col("accepted") & F.col("__new").isNotNull(), F.col("__new")).otherwise(F.col("embedding"))).drop("__new")
-    events = results.select(F.col("id").alias("chunk_id"), "run_id", F.col("authority_id").alias("embedding_authority_id"), F.when(F.col("ok"), "complete").otherwise("failed").alias("status"), "error", as_of.alias("occurred_at"))
-    return state, events
+    return settled(claimed.drop("claimed"), results, as_of), events_of(results, as_of)
 
 
 def embed_all(chunks: DataFrame, provider: Provider, as_of: Column, limit: int, batch: int = 50, dimensions: int = DIMENSIONS, run_id: str = "run", authority: str = "authority") -> tuple[DataFrame, DataFrame, int]:
-    """(next state, events, chunks tried): batches are claimed until `limit` chunks were tried or none is left; the last
-    batch may go beyond the limit. Each batch is written before the next is claimed."""
-    tried, events = 0, None
-    while tried < limit:
-        state, new = embed_pending(chunks, provider, as_of, batch, dimensions, run_id, authority)
-        n = new.count()
-        if not n:
-            break
-        chunks, tried = stored(state.drop("accepted")), tried + n
-        events = new if events is None else events.unionByName(new)
-    if events is None:
-        events = chunks.sparkSession.createDataFrame([], "chunk_id string, run_id string, embedding_authority_id string, status string, error string, occurred_at timestamp")
-    return chunks, events, tried
+    """(next state, events, chunks tried): as many whole batches as reach `limit` are claimed at once, embedded side by
+    side, and settled at once, so that the table is written once whatever the limit."""
+    state, events = embed_pending(chunks, provider, as_of, whole_batches(limit, batch), dimensions, run_id, authority)
+    events = stored(events)
+    return stored(state.drop("accepted")), events, events.count()

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from docprov.functions.text import domain_slug
 
+#: Rows that are sent to all tasks without a thought.
+SMALL = 10_000
 SCOPE = ("corpus_id", "organization_id")
 LIST_FIELDS, FIELDS = ("frameworks", "industries", "segments"), ("version", "content_hash", "tier", "content_type", "source_url", "source_publisher", "last_verified", "title")
 
@@ -77,7 +79,8 @@ def claim(chunks: DataFrame, as_of: Column, batch: int = 50, lease_seconds: int
     those whose lease ran out. Needs (id, status, updated_at, lease_expires_at, is_active)."""
     free = F.col("status").isin("pending", "stale") | ((F.col("status") == "processing") & (F.col("lease_expires_at") < as_of))
     picked = chunks.where(F.col("is_active") & free).orderBy("updated_at", "id").limit(batch).select("id", F.lit(True).alias("claimed"))
-    new = chunks.join(F.broadcast(picked), "id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    small = F.broadcast(picked) if batch <= SMALL else picked
+    new = chunks.join(small, "id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
     lease = as_of + F.make_dt_interval(secs=F.lit(lease_seconds))
     changes = {"status": F.lit("processing"), "lease_expires_at": lease, "run_id": F.lit(run_id), "authority_id": F.lit(authority), "error": F.lit(None).cast("string")}
     for name, value in changes.items():

@@ -75,7 +75,7 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in/a.md").write_text(doc("a", "v2"))
     assert cli.main(["ingest", "--corpora", f"{tmp_path}/in", "--store", store], spark) == 0
     assert cli.main(["verify", "--corpora", f"{store}/chunks"], spark) == 0
-    assert spark.read.parquet(f"{store}/documents").count() == 2
+    assert cli.Store(spark, store).read("documents").count() == 2
     (tmp_path / "in/b.md").write_text("junk")
     assert cli.main(["validate", "--corpora", f"{tmp_path}/in"], spark) == 1
     assert capsys.readouterr().out.splitlines() == ["inserted 1", "inserted 1", "inserted 1", "valid 4, invalid 0", "inserted 1, invalid 1"]
@@ -91,10 +91,10 @@ def test_rechunk_embed_parse_and_approve(spark, tmp_path, capsys):
     store = f"{tmp_path}/store"
     run = lambda *args, **how: cli.main([*args, "--store", store], spark, **how)
     assert run("ingest_and_embed", "--corpora", f"{tmp_path}/in", "--limit", "3") == 0
-    chunks = spark.read.parquet(f"{store}/chunks")
+    chunks = cli.Store(spark, store).read("chunks")
     assert chunks.count() == 4 and chunks.where("status = 'complete' and size(embedding) = 512").count() == 4  # a batch is tried whole
     assert run("rechunk", "--corpora", f"{tmp_path}/in", "--corpus-id", "a") == 0
-    assert {r["status"]: r["count"] for r in spark.read.parquet(f"{store}/chunks").groupBy("status").count().collect()} == {"pending": 2, "complete": 2}
+    assert {r["status"]: r["count"] for r in cli.Store(spark, store).read("chunks").groupBy("status").count().collect()} == {"pending": 2, "complete": 2}
     assert run("embed_pending", "--dry-run") == 0
     assert run("embed_pending") == 0 and run("embed_pending") == 0
     (tmp_path / "c.md").write_text(doc("c"))
@@ -102,12 +102,13 @@ def test_rechunk_embed_parse_and_approve(spark, tmp_path, capsys):
     (tmp_path / "d.txt").write_text(doc("d"))
     assert run("parse", "--file", f"{tmp_path}/d.txt") == 0
     assert run("parse", "--file", f"{tmp_path}/d.txt") == 1  # submitted before
-    draft = spark.read.parquet(f"{store}/drafts").first()
+    draft = cli.Store(spark, store).read("drafts").first()
     assert draft.status == "parsed" and draft.source_filename == "d.txt"
     assert run("approve_draft", "--draft-id", draft.id) == 0 and run("approve_draft", "--draft-id", draft.id) == 1
-    assert {r.corpus_id for r in spark.read.parquet(f"{store}/documents").collect()} == set("abcd")
+    assert {r.corpus_id for r in cli.Store(spark, store).read("documents").collect()} == set("abcd")
     out = capsys.readouterr().out.splitlines()
     assert out[:3] == ["inserted 2", "complete 4", "updated 1"] and "is already approved" in out[-1]
+    assert all(r.duration_ms > 0 for r in spark.read.parquet(f"{store}/envelopes").collect())
     actions = {r.action for r in spark.read.parquet(f"{store}/envelopes").collect()}
     assert actions == {"ingest_and_embed", "rechunk", "embed_pending", "ingest_content", "approve_draft"}
     for bad in (["rechunk"], ["parse", "--store", store], ["approve_draft", "--store", store], ["embed_pending", "--store", store, "--limit", "0"], ["ingest", "--corpora", "x"]):
