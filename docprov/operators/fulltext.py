@@ -10,6 +10,9 @@ leave the Python workers.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -152,59 +155,69 @@ def websearch(query: str | None) -> list[list[Phrase]]:
     return [g for g in groups if g]
 
 
-def _starts(own: dict[str, list[tuple[int, float]]], phrase: Phrase) -> list[int]:
+Places = dict[str, list[tuple[int, float]]]
+
+
+def _starts(own: Places, phrase: Phrase) -> list[int]:
     """Places where a phrase begins."""
     at = [{p for p, _ in own.get(x, ())} for x in phrase.lexemes]
     return sorted(p for p in at[0] if all(p + d in places for d, places in zip(phrase.steps, at, strict=True)))
 
 
-def matches(own: dict[str, list[tuple[int, float]]], query: list[list[Phrase]]) -> bool:
+def matches(own: Places, query: list[list[Phrase]]) -> bool:
     """Whether places by lexeme satisfy the query."""
     return any(all(bool(_starts(own, p)) == p.wanted for p in group) for group in query)
 
 
-def rank(own: dict[str, list[tuple[int, float]]], query: list[list[Phrase]]) -> float:
+def rank(own: Places, query: list[list[Phrase]]) -> float:
     """Cover density: each shortest stretch that satisfies the query adds the mean weight of the query's lexemes in it
-    (harmonic), divided by one more than the other words in it; r becomes r / (r + 1)."""
+    (harmonic), divided by one more than the other words in it; r becomes r / (r + 1). Linear in the places."""
     words = {x for g in query for p in g if p.wanted for x in p.lexemes}
-    entries = sorted({(place, x, weight) for x in words for place, weight in own.get(x, ())})
-    # Entries of one place count once, under all their lexemes.
-    at = sorted({e[0] for e in entries})
-    here: dict[int, list[tuple[str, float]]] = {}
-    for place, x, weight in entries:
-        here.setdefault(place, []).append((x, weight))
-
-    def holds(i: int, j: int) -> bool:
-        part: dict[str, list[tuple[int, float]]] = {}
-        for place in at[i : j + 1]:
-            for x, weight in here[place]:
-                part.setdefault(x, []).append((place, weight))
-        return any(all(_starts(part, p) for p in group if p.wanted) for group in query if any(p.wanted for p in group))
-
+    # Entries of one place count once, under the first of their lexemes.
+    entries = {place: weight for place, _, weight in sorted(((place, x, weight) for x in words for place, weight in own.get(x, ())), reverse=True)}
+    at = sorted(entries)
+    groups = [[(starts, p.steps[-1]) for p in g if p.wanted for starts in (_starts(own, p),)] for g in query if any(p.wanted for p in g)]
+    # Where the first stretch ends that begins at each place or after it: all phrases of some group lie in it.
+    ends, after = [0] * len(at), [[len(starts) for starts, _ in g] for g in groups]
+    for i in range(len(at) - 1, -1, -1):
+        best = math.inf
+        for group, next_ in zip(groups, after, strict=True):
+            end = 0
+            for k, (starts, length) in enumerate(group):
+                while next_[k] and starts[next_[k] - 1] >= at[i]:
+                    next_[k] -= 1
+                end = max(end, starts[next_[k]] + length if next_[k] < len(starts) else math.inf)
+            best = min(best, end)
+        ends[i] = best
+    inverse = [0.0, *itertools.accumulate(1 / entries[p] for p in at)]
     total, i, j = 0.0, 0, 0
-    while i < len(at):
+    while i < len(at) and ends[i] < math.inf:
         j = max(j, i)
-        while j < len(at) and not holds(i, j):
+        while at[j] < ends[i]:
             j += 1
-        if j == len(at):
-            break
-        while i < j and holds(i + 1, j):
+        while i < j and ends[i + 1] <= at[j]:
             i += 1
-        inside = [weight for place in at[i : j + 1] for _, weight in here[place][:1]]
-        noise = (at[j] - at[i]) - (len(inside) - 1)
-        total += len(inside) / sum(1 / w for w in inside) / (1 + noise)
+        inside = j - i + 1
+        total += inside / (inverse[j + 1] - inverse[i]) / (1 + (at[j] - at[i]) - (inside - 1))
         i += 1
     return total / (total + 1)
 
 
+@lru_cache(maxsize=10_000)
+def beginnings(own: str) -> tuple[str, ...]:
+    """Letters with one of which every word of a lexeme begins: a stem keeps the beginning of its words, but for a last i
+    from a y, and for the words that have stems of their own."""
+    return tuple(dict.fromkeys([own[: max(1, min(3, len(own) - 1))], *(w for w, x in SPECIAL.items() if x == own)]))
+
+
 def may_match(text: Column, query: list[list[Phrase]]) -> Column:
-    """Whether a text may match, told without lexemes: a stem keeps the beginning of its words, but for a last i from a y."""
+    """Whether a text may match, told without lexemes."""
     low, out = F.lower(text), F.lit(False)
     for group in query:
         own = F.lit(True)
         for phrase in group:
             for x in phrase.lexemes if phrase.wanted else ():
-                own &= F.contains(low, F.lit(x[: max(1, min(3, len(x) - 1))]))
+                own &= functools.reduce(Column.__or__, [F.contains(low, F.lit(b)) for b in beginnings(x)])
         out |= own
     return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprov.functions import gate, vectors
-from docprov.operators import fulltext
+from docprov.operators import fulltext, postings
 
 POOL, RRF_K, NO_RANK = 200, 20, 1000
 
@@ -73,14 +73,14 @@ def fused(by_vector: DataFrame, by_text: DataFrame, weight: float = 0.7, key: st
     return both.withColumn("combined_score", weight * part("vector_rank") + (1 - weight) * part("text_rank"))
 
 
-def hybrid(chunks: DataFrame, query: list[float], terms: str | None, filters: Filters = Filters(), weight: float = 0.7, threshold: float = 0.005, count: int = 10, key: str = "chunk_id", vector: str = "embedding", text: str = "content", title: str | None = None, language: Column | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, query: list[float], terms: str | None, filters: Filters = Filters(), weight: float = 0.7, threshold: float = 0.005, count: int = 10, key: str = "chunk_id", vector: str = "embedding", text: str = "content", title: str | None = None, language: Column | None = None, index: postings.Postings | None = None) -> DataFrame:
     """(key, similarity, vector_rank, text_score, text_rank, combined_score); the vector side
     needs an embedding, the text side does not, and scores 0 for what it lacks. `terms` is a
-    web-style query; without words in it the text side is empty."""
+    web-style query; without words in it the text side is empty. With an index of the chunks, no text is read."""
     count = checked(count, weight=weight, threshold=threshold)
     allowed = chunks.where(filters.column())
     near = allowed.where(F.col(vector).isNotNull()).select(key, vectors.cosine_to(query, F.col(vector)).alias("similarity")).where("similarity is not null")
-    told = fulltext.search(allowed, terms, text, title, language, key)
+    told = index.search(terms, key, None if filters == Filters() else allowed) if index else fulltext.search(allowed, terms, text, title, language, key)
     out = fused(ranked(near, "similarity", "vector_rank", key), ranked(told, "text_score", "text_rank", key), weight, key)
     return out.where(F.col("combined_score") >= threshold).orderBy(F.col("combined_score").desc(), key).limit(count)
 

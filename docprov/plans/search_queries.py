@@ -6,13 +6,15 @@ arithmetic on both sides. Floats are rounded to six digits; ties are broken by k
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprov.functions import text, vectors, watermark
-from docprov.operators import audit, chunk, cleanup, fulltext, retrieval, store, views
+from docprov.operators import audit, chunk, cleanup, fulltext, postings, retrieval, store, views
+from docprov.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,6 +103,22 @@ def vec_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "similarity")
 
 
+INDEXED: dict[tuple, postings.Postings] = {}
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """The index of the documents' texts: made by the first query of an application that searches these files."""
+    docs = t(spark, sf_dir, "documents")
+    tell = lambda name: (lambda path: path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path))(spark._jvm.org.apache.hadoop.fs.Path(name))
+    files = tuple((name, s.getLen(), s.getModificationTime()) for name in sorted(docs.inputFiles()) for s in (tell(name),))
+    key = (spark.sparkContext.applicationId, files)
+    if key not in INDEXED:
+        own = postings.Postings(spark, f"{shared_folder(spark)}/postings-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+        own.append(docs, "text", key="doc_id")
+        INDEXED[key] = own
+    return INDEXED[key]
+
+
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)?')"
 #: Each occurrence of either term covers the query alone, with the weight of contents.
 HITS = f"SELECT doc_id, 0.4::DOUBLE * count(DISTINCT least(i, 16383)) AS s FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {TOKENS} AS w FROM documents)) WHERE x IN ('thes', 'des') GROUP BY 1"
@@ -113,7 +131,7 @@ r AS (SELECT doc_id, sum(0.4::DOUBLE / (q - p)) AS r FROM n WHERE a <> b GROUP B
 SELECT doc_id, round(r / (r + 1), 6) AS text_score FROM r ORDER BY round(r / (r + 1), 9) DESC, doc_id LIMIT 25""")
 def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both words: the nearer they stand, the higher the rank."""
-    found = fulltext.search(t(spark, sf_dir, "documents"), "thes bleing", "text", key="doc_id").withColumn("score", F.round("text_score", 9))
+    found = documents_index(spark, sf_dir).search("thes bleing", "doc_id").withColumn("score", F.round("text_score", 9))
     return retrieval.ranked(found, "score", "rank", "doc_id", 25).select("doc_id", r6(F.col("score")).alias("text_score"))
 
 
@@ -121,7 +139,20 @@ def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fulltext_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that must not occur, phrases, and alternatives."""
     asked = 'des -thes -vi OR "onré thes" OR "des réles" or "des le" OR "des des"'
-    return fulltext.search(t(spark, sf_dir, "documents"), asked, "text", key="doc_id").select("doc_id")
+    return documents_index(spark, sf_dir).search(asked, "doc_id").select("doc_id")
+
+
+@query(f"SELECT doc_id, round(s / (s + 1), 6) AS text_score FROM ({HITS}) WHERE doc_id % 10 <> 3 OR doc_id % 20 = 3")
+def fulltext_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that grew by two commits, lost documents and got some of them back, its lists merged half way."""
+    docs = t(spark, sf_dir, "documents")
+    own = postings.Postings(spark, f"{shared_folder(spark)}/postings-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    own.append(docs.where("doc_id % 2 = 0"), "text", key="doc_id")
+    own.append(docs.where("doc_id % 2 = 1"), "text", key="doc_id")
+    own.remove(docs.where("doc_id % 10 = 3").select(F.col("doc_id").alias("key")))
+    own.merge()
+    own.append(docs.where("doc_id % 20 = 3"), "text", key="doc_id")
+    return own.search(TERMS, "doc_id").select("doc_id", r6(F.col("text_score")).alias("text_score"))
 
 
 @query(f"""SELECT doc_id, len({TOKENS}) + 1 AS places, len(list_distinct(list_append({TOKENS}, lower(source)))) AS lexemes FROM documents WHERE len({TOKENS}) > 0 AND regexp_full_match(source, '[A-Za-z0-9]+')""")
@@ -141,7 +172,7 @@ top AS (SELECT * FROM both_ WHERE c >= 0.005 ORDER BY c DESC, doc_id LIMIT 50)
 
 def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = t(spark, sf_dir, "documents").join(t(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
-    return retrieval.hybrid(chunks, first_vector(spark, sf_dir), TERMS, count=50, key="doc_id", text="text")
+    return retrieval.hybrid(chunks, first_vector(spark, sf_dir), TERMS, count=50, key="doc_id", text="text", index=documents_index(spark, sf_dir))
 
 
 @query(HYBRID + "SELECT doc_id, round(coalesce(s, 0), 6) AS similarity, round(coalesce(ts, 0), 6) AS text_score, vr::BIGINT AS vector_rank, tr::BIGINT AS text_rank, round(c, 6) AS combined_score FROM top")
