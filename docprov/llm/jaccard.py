@@ -10,17 +10,22 @@ their l. Prefix shingles that too many classes hold are not paired up; their hol
 as candidates of each other.
 
 Candidates are joined to groups, and each group compares its sets whole and exactly;
-groups larger than `block` are compared block against block. So every class's text moves
-twice (or once more a block), no pairs of copies are made, and no link between different
-sets is lost.
+groups larger than `block` are compared block against block. A comparison takes the shingles
+that several of its sets hold, some thousands at a time and in an order in which those of
+the same sets lie together, and only the sets that hold some of them; so what it keeps in
+memory is one number a pair of sets, however long the texts are. So every class's text
+moves twice (or once more a block), no pairs of copies are made, and no link between
+different sets is lost.
 
 Shingles are compared by 64-bit hashes.
 
 Defined results: a text with fewer words than a shingle is one shingle; null texts and
 texts without words have empty sets, link with nothing and are components of their own;
 rows with a null id get a null component and link with nothing; rows that repeat an id each
-appear, and where their texts differ count as linked, as texts of one document; an empty table gives an empty result;
-other columns are dropped by `near_duplicates` and kept by `without_duplicates`.
+appear and are told apart by their sets, so that an id may stand in several components; an
+empty table gives an empty result; other columns are dropped by `near_duplicates` and kept by
+`without_duplicates`, which keeps of each component a row with the least id and, of rows
+alike in id and set, the one whose text comes first.
 """
 
 from __future__ import annotations
@@ -29,13 +34,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docprov.llm.common import by_group, hash_filter, map_columns, passes, staged, unstaged
-from docprov.llm.components import Forest, connected_components
+from docprov.llm.components import connected_components
 
 #: Counters of the sketch: 4 MB when sent to the tasks, as logarithms of one byte.
 SKETCH = 1 << 22
@@ -49,6 +55,8 @@ BLOCK = 1024
 HOT = 1000
 #: What a class may require to be shared, and how many list entries a comparison costs.
 CHOICES, COMPARISON = (1, 2, 4, 8, 16), 16.0
+#: Shingles that are compared at a time.
+COLUMNS = 4096
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -193,6 +201,32 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
     return met.where((F.col("met") >= F.col("least_met")) & ((100 + percent) * (F.col("met") + F.col("left")) >= percent * F.col("both"))).select("a", "b").unionByName(ties)
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set shares with each one after it."""
+    sizes = np.array([len(s) for s in sets])
+    out = np.zeros((len(sets), len(sets)), np.int32)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = times[at] > 1
+    owner, column = np.repeat(np.arange(len(sets)), sizes)[use], (np.cumsum(times > 1) - 1)[at[use]]
+    # Columns in the order of their first holders: what the same sets hold lies together.
+    first = np.full(int((times > 1).sum()), len(sets))
+    np.minimum.at(first, column, owner)
+    place = np.empty(len(first), np.int64)
+    place[np.argsort(first, kind="stable")] = np.arange(len(first))
+    column = place[column]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, len(first) + COLUMNS, COLUMNS))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        some, row = np.unique(owner[a:b], return_inverse=True)
+        col = column[a:b] % COLUMNS
+        bits = np.zeros((len(some), COLUMNS // 64), np.uint64)
+        np.bitwise_or.at(bits, (row, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+        for i in range(len(some) - 1):
+            out[some[i], some[i + 1 :]] += np.bitwise_count(bits[i + 1 :] & bits[i]).sum(1, dtype=np.int32)
+    return out
+
+
 def _compare(words: int, percent: int):  # noqa: ANN202
     def run(tables: Iterator[pa.Table]) -> Iterator[dict[str, list]]:
         group = pa.concat_tables(list(tables))
@@ -201,27 +235,18 @@ def _compare(words: int, percent: int):  # noqa: ANN202
         nodes, block = group["node"].to_numpy(), group["block"].to_numpy()
         shingles = Shingles(words)
         sets = [shingles.of(t.as_py()) for t in group["text"]]
-        forest, sizes = Forest(len(nodes)), np.array([len(s) for s in sets])
+        sizes, met = np.array([len(s) for s in sets]), overlaps(sets)
         cross = group["left"][0].as_py() != group["right"][0].as_py()
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-        common = times > 1
-        column = np.cumsum(common) - 1
-        use = common[at]
-        width = -(-int(common.sum()) // 64)
-        bits = np.zeros((len(sets), max(1, width)), dtype=np.uint64)
-        col = column[at[use]]
-        np.bitwise_or.at(bits, (owner[use], col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+        roots = np.arange(len(nodes))
         for i in range(len(sets) - 1):
-            if nodes[i] == nodes[i + 1]:
-                forest.link(i, i + 1)
-            met = np.bitwise_count(bits[i + 1 :] & bits[i]).sum(1, dtype=np.int64)
-            linked = (100 + percent) * met >= percent * (sizes[i] + sizes[i + 1 :])
+            linked = (100 + percent) * met[i, i + 1 :].astype(np.int64) >= percent * (sizes[i] + sizes[i + 1 :])
             if cross:
                 linked &= block[i + 1 :] != block[i]
-            for j in np.flatnonzero(linked):
-                forest.link(i, i + 1 + int(j))
-        roots = np.array([forest.root(i) for i in range(len(nodes))])
+            if nodes[i] == nodes[i + 1]:
+                linked[0] = True
+            joined = np.unique(np.append(roots[i + 1 :][linked], roots[i]))
+            if len(joined) > 1:
+                roots[np.isin(roots, joined)] = joined[0]
         moved = np.flatnonzero(roots != np.arange(len(nodes)))
         whole = group["blocks"][0].as_py() == 1
         yield {"a": nodes[roots[moved]].tolist(), "b": nodes[moved].tolist(), "whole": [whole] * len(moved)}
@@ -230,52 +255,61 @@ def _compare(words: int, percent: int):  # noqa: ANN202
 
 
 def links(docs: DataFrame, groups: DataFrame, width: int, percent: int, key: str, text: str, block: int = BLOCK) -> DataFrame:
-    """(a, b, whole): links that span each component within a group; `whole` if the group
-    was compared in one piece, so that a is the least of its component."""
-    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(groups.select(F.xxhash64("node").alias("h"))))
+    """(a, b, whole): links that span each component within a group of classes (node, component, least, class_key); `whole`
+    if the group was compared in one piece, so that a is the least of its component."""
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(groups.select(F.xxhash64("least").alias("h"))))
 
     def run(keys: list, places: list, texts: list) -> Iterator[dict[str, list]]:
-        wanted = sent.value
-        out: dict[str, list] = {"node": [], "text": []}
+        wanted, shingles = sent.value, Shingles(width)
+        out: dict[str, list] = {"key": [], "own_key": [], "text": []}
         for k, place, t in zip(keys, places, texts, strict=True):
             if passes(wanted, place):
-                out["node"].append(k)
+                out["key"].append(k)
+                out["own_key"].append(xxhash.xxh128_digest(shingles.of(t).tobytes()))
                 out["text"].append(t)
         yield out
 
     place = F.xxhash64(F.col(key).cast("long")).alias("place")
     # Texts move, not sets: a text takes less than half of its shingles' hashes.
-    texts = map_columns(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), place, F.col(text).cast("string").alias("text")), ["node", "place", "text"], run, "node long, text string")
+    texts = map_columns(docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), place, F.col(text).cast("string").alias("text")), ["key", "place", "text"], run, "key long, own_key binary, text string")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = texts.join(own, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    there = texts.join(own, (F.col("key") == F.col("least")) & (F.col("own_key") == F.col("class_key")))
+    dealt = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "blocks", "block", "node", "text")
     return by_group(dealt, ["component", "left", "right"], ["node"], _compare(width, percent), "a long, b long, whole boolean")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): `rows` has (key, n, class_key) for each row; `classes` has (class_key, copies, component):
-    how many rows share a set, and the least id of its component."""
+    """(rows, classes): `rows` has (key, n, class_key) for each row; `classes` has (class_key, copies, component, first):
+    how many rows share a set, the least id of its component, and whether it is the component's first class."""
     levels = sketch(docs, width, text)
     wide = staged(_lists(docs, levels, width, percent, key, text))
     rows = staged(wide.select(key, "n", "class_key"))
     sets = rows.where(F.col("class_key").isNotNull() & F.col(key).isNotNull())
-    classes = staged(sets.groupBy("class_key").agg(F.min(F.col(key).cast("long")).alias("cls"), F.count("*").alias("copies")))
-    one = wide.select(F.col(key).cast("long").alias("cls"), F.col("class_key").alias("own_key"), "n", "shared", "prefix")
+    # Numbered once they are written: an id may be the least of several sets.
+    counted = staged(sets.groupBy("class_key").agg(F.min(F.col(key).cast("long")).alias("least"), F.count("*").alias("copies")))
+    classes = staged(counted.withColumn("cls", F.monotonically_increasing_id()))
+    unstaged(counted)
+    one = wide.select(F.col(key).cast("long").alias("least"), F.col("class_key").alias("own_key"), "n", "shared", "prefix")
     # Staged, as both the counts and the lists start from it.
-    reps = staged(one.join(classes, "cls").where(F.col("own_key") == F.col("class_key")).select("cls", "n", "shared", "prefix"))
+    reps = staged(one.join(classes, "least").where(F.col("own_key") == F.col("class_key")).select("cls", "n", "shared", "prefix"))
     unstaged(wide)
     lists = staged(shared_lists(reps))
     unstaged(reps)
-    groups = staged(connected_components(candidates(lists, percent)))
+    tied = connected_components(candidates(lists, percent))
+    groups = staged(tied.join(classes.select(F.col("cls").alias("node"), "least", "class_key"), "node"))
     unstaged(lists)
     found = staged(links(docs, groups, width, percent, key, text))
     unstaged(groups)
-    done = found.where("whole").select(F.col("b").alias("node"), F.col("a").alias("component"))
-    rest = connected_components(found.where("not whole").select("a", "b"))
-    moved = done.unionByName(rest.where("node <> component"))
-    named = staged(classes.join(moved, classes["cls"] == moved["node"], "left").select("class_key", "copies", F.coalesce("component", "cls").alias("component")))
-    unstaged(classes, found)
+    done = found.where("whole").select(F.col("b").alias("cls"), F.col("a").alias("root"))
+    rest = connected_components(found.where("not whole").select("a", "b")).where("node <> component")
+    moved = done.unionByName(rest.select(F.col("node").alias("cls"), F.col("component").alias("root")))
+    members = staged(moved.unionByName(moved.select(F.col("root").alias("cls"), "root").distinct()).join(classes, "cls"))
+    firsts = members.groupBy("root").agg(F.min(F.struct("least", "class_key")).alias("head"))
+    told = members.join(firsts, "root").select("cls", F.col("head.least").alias("component"), (F.col("head.class_key") == F.col("class_key")).alias("first"))
+    named = staged(classes.join(told, "cls", "left").select("class_key", "copies", F.coalesce("component", "least").alias("component"), F.coalesce("first", F.lit(True)).alias("first")))
+    unstaged(classes, found, members)
     return rows, named
 
 
@@ -296,10 +330,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     return out.select(key, F.col("n").alias("n_shingles"), F.coalesce(F.when(ids.isNotNull(), F.col("component")), ids).alias("component_id"))
 
 
+def class_of(width: int):  # noqa: ANN201
+    """A column function: the class of a text, null for a text without words."""
+
+    @F.pandas_udf("binary")
+    def of(texts: pd.Series) -> pd.Series:
+        shingles = Shingles(width)
+        sets = [shingles.of(t) for t in texts]
+        return pd.Series([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets], dtype=object)
+
+    return of
+
+
 def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that are the first of their component:
-    one row for each component, also where rows repeat its id; rows without an id stay."""
-    first = near_duplicates(docs, width, percent, key, text).where(F.col("component_id") == F.col(key)).select(F.col(key).alias("__first")).distinct()
+    """The rows of `docs`, with all their columns, that come first in their component. Rows without an id stay, and of
+    rows without words that repeat an id one does."""
+    rows, classes = components(docs, width, percent, key, text)
     ids = docs.where(F.col(key).isNotNull())
-    kept = ids.join(first, F.col(key).cast("long") == F.col("__first"), "left_semi")
-    return kept.dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
+    keyed = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("__id"), F.col("class_key").alias("__class"))
+    heads = classes.where("first").select(F.col("component").alias("__id"), F.col("class_key").alias("__class"))
+    bare = keyed.where("__class is null").select("__id", "__class").distinct()
+    heads = staged(heads.unionByName(bare))
+    repeated = staged(keyed.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"))
+    same_id = F.col(key).cast("long") == F.col("__id")
+    plain = ids.join(repeated, same_id, "left_anti").join(heads.select("__id").distinct(), same_id, "left_semi")
+    # Of ids that repeat, each row's own set tells.
+    odd = ids.join(repeated, same_id, "left_semi").withColumn("__own", class_of(width)(F.col(text).cast("string")))
+    odd = odd.join(heads, same_id & F.col("__own").eqNullSafe(F.col("__class")), "left_semi")
+    order = F.struct(F.coalesce(F.col(text).cast("string"), F.lit("")), F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != text])))
+    odd = odd.groupBy(F.col(key).alias("__k"), "__own").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias("__row")).select("__row.*")
+    return plain.unionByName(odd).unionByName(docs.where(F.col(key).isNull()))

@@ -98,6 +98,28 @@ def test_without_duplicates(spark, sf):
         assert Counter(r.doc_id for r in out.collect()) == Counter(firsts)
 
 
+def test_ids_that_repeat_with_other_texts_lose_nothing(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near_d = d + " more"
+    rows = [(1, c, "en", "a"), (4, a, "en", "a"), (4, b, "en", "a"), (5, b, "en", "b"), (4, near_d, "en", "c"), (9, d, "en", "c"), (4, "", "en", "a"), (4, None, "en", "a"), (4, a, "en", "z")]
+    docs = frame(spark, rows)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect())
+    assert got == Counter({(1, 36, 1): 1, (4, 36, 4): 3, (5, 36, 4): 1, (4, 37, 4): 1, (9, 36, 4): 1, (4, 0, 4): 2})
+    kept = Counter((r.doc_id, r.text or "") for r in jaccard.without_duplicates(docs).collect())
+    assert kept == Counter({(1, c): 1, (4, a): 1, (4, b): 1, (4, near_d): 1, (4, ""): 1})
+
+
+@pytest.mark.parametrize("columns", [64, 4096])
+def test_overlaps_are_exact_and_small(monkeypatch, columns):
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(1, 900)), replace=False), rng.integers(0, 2**63, 50, dtype=np.uint64)])) for _ in range(30)]
+    sets += [np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64))] * 2
+    met = jaccard.overlaps(sets)
+    assert all(met[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets)))
+
+
 def plain_links(rows, cosine=0.98):
     unit = {}
     for i, (_, label, v) in enumerate(rows):
