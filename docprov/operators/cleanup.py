@@ -51,9 +51,10 @@ def any_of(text: Column, patterns: list[str], flags: str = "(?i)") -> Column:
 def ruled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lines, rules): the lines of each document, and for each the first rule that removes it, or null. All
     within the row."""
-    rows = docs.select(key, normalised(F.col(text)).alias("whole"))
-    bare = F.transform(F.split(F.regexp_replace("whole", f"{BLANK}+", " "), "\n"), lambda x: F.trim(x))
-    rows = rows.select(key, F.split("whole", "\n").alias("lines"), bare.alias("bare"))
+    bare = lambda whole: F.transform(F.split(F.regexp_replace(whole, f"{BLANK}+", " "), "\n"), lambda x: F.trim(x))
+    # Both in one expression, so that the text is normalised once.
+    rows = docs.select(key, let(normalised(F.col(text)), lambda whole: F.struct(F.split(whole, "\n").alias("lines"), bare(whole).alias("bare"))).alias("own"))
+    rows = rows.select(key, "own.lines", "own.bare")
     phrase = lambda x: functools.reduce(operator.or_, [F.lower(x).contains(p) for p in REPEATED])
     rows = rows.withColumn("marked", F.array_sort(F.transform(F.filter("bare", phrase), F.lower)))
     often = F.array_distinct(F.filter("marked", lambda x, i: F.get("marked", i + (OFTEN - 1)) == x))

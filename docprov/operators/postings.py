@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprov.operators import fulltext
+from docprov.session import spread
 from docprov.sources.snapshots import Tables, View
 
 #: The list of all documents, for queries that only say what must not occur.
@@ -49,12 +50,6 @@ def unpacked(places: bytes) -> list[tuple[int, float]]:
     return list(zip(np.cumsum(own >> 1, dtype=np.int64).tolist(), np.where(own & 1, fulltext.WEIGHT_A, fulltext.WEIGHT_B).tolist(), strict=True))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores where they come in fewer parts than that: words are costlier than moving them."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 class Postings:
     """The index of one table of documents, in a folder."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     without: it uses the folder of temporary files, which there is shared."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster may have workers elsewhere
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "docprov-checkpoints")
     return folder.rstrip("/")
@@ -45,6 +46,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where they come in fewer parts than that, for work that costs more than moving them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver found it."""
     env = spark.sparkContext.environment
