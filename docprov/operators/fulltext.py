@@ -1,9 +1,10 @@
 """Full-text search: weighted lexeme positions, web-style queries, matching and cover-density rank.
 
 Lexemes come from lower-cased words by the row's language: stop words go but keep their
-place, English words lose their endings by the Porter2 algorithm, words of other languages
-stay as they are. Titles weigh A, contents B; contents follow titles in the count of places.
-A query is read as English whatever the row's language. Rows are narrowed by a test that
+place, English words lose their endings by the Porter2 algorithm, German, French and Spanish
+ones by those of `stems`, words of other languages stay as they are. Titles weigh A,
+contents B; contents follow titles in the count of places. A query is read as English
+whatever the row's language, unless it says otherwise. Rows are narrowed by a test that
 needs no lexemes before words are taken apart, and only the places of the query's lexemes
 leave the Python workers.
 """
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docprov.functions import stems
+
 # English stop words, endings and exceptions of the Porter2 algorithm, weights of A and B, the last place counted.
 STOP = frozenset(
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
@@ -112,9 +115,11 @@ def stem(word: str) -> str:
 
 def lexeme(word: str, language: str) -> str | None:
     """The lexeme of a lower-case word; None for a stop word."""
-    if language != "english":
-        return word
-    return None if word in STOP else stem(word)
+    if language == "english":
+        return None if word in STOP else stem(word)
+    if language in stems.STEMMERS:
+        return None if word in stems.STOP[language] else stems.STEMMERS[language](word)
+    return word
 
 
 def places(title: str | None, content: str | None, language: str) -> list[tuple[str, int, str]]:
@@ -140,7 +145,7 @@ class Phrase:
     wanted: bool = True
 
 
-def websearch(query: str | None) -> list[list[Phrase]]:
+def websearch(query: str | None, language: str = "english") -> list[list[Phrase]]:
     """Groups of phrases: a text matches if it meets all phrases of some group. Quotes hold a phrase, a hyphen in
     front excludes, OR parts groups; everything else is and. Without lexemes there is no group, and no text matches."""
     groups: list[list[Phrase]] = [[]]
@@ -148,7 +153,7 @@ def websearch(query: str | None) -> list[list[Phrase]]:
         if plain.lower() == "or" and not sign:
             groups.append([])
             continue
-        found = [(lexeme(m[0], "english"), n) for n, m in enumerate(WORD.finditer((quoted or plain).lower()))]
+        found = [(lexeme(m[0], language), n) for n, m in enumerate(WORD.finditer((quoted or plain).lower()))]
         kept = [(x, n) for x, n in found if x is not None]
         if kept:
             groups[-1].append(Phrase(tuple(x for x, _ in kept), tuple(n - kept[0][1] for _, n in kept), sign != "-"))
@@ -210,9 +215,9 @@ def beginnings(own: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys([own[: max(1, min(3, len(own) - 1))], *(w for w, x in SPECIAL.items() if x == own)]))
 
 
-def may_match(text: Column, query: list[list[Phrase]]) -> Column:
-    """Whether a text may match, told without lexemes."""
-    low, out = F.lower(text), F.lit(False)
+def may_match(text: Column, query: list[list[Phrase]], language: str = "english") -> Column:
+    """Whether a text may match, told without lexemes: of English queries only, as other stems change letters within."""
+    low, out = F.lower(text), F.lit(language != "english")
     for group in query:
         own = F.lit(True)
         for phrase in group:
@@ -234,12 +239,12 @@ def vectors(rows: DataFrame, content: str = "content", title: str | None = None,
     return own.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, lexemes array<struct<lexeme: string, place: int, weight: string>>")
 
 
-def search(rows: DataFrame, query: str | None, content: str = "content", title: str | None = None, language: Column | None = None, key: str = "id") -> DataFrame:
+def search(rows: DataFrame, query: str | None, content: str = "content", title: str | None = None, language: Column | None = None, key: str = "id", query_language: str = "english") -> DataFrame:
     """(key, text_score) of the rows that match a web-style query; none for a blank one."""
-    asked = websearch(query)
+    asked = websearch(query, query_language)
     kind = rows.schema[key].dataType.simpleString()
     body = F.concat_ws("\n", *[F.col(c).cast("string") for c in (title, content) if c])
-    own = rows.select(F.col(key), (F.col(title) if title else F.lit(None)).cast("string").alias("title"), F.col(content).cast("string").alias("content"), (F.lit("english") if language is None else language).alias("language"), may_match(body, asked).alias("may")).where("may")
+    own = rows.select(F.col(key), (F.col(title) if title else F.lit(None)).cast("string").alias("title"), F.col(content).cast("string").alias("content"), (F.lit("english") if language is None else language).alias("language"), may_match(body, asked, query_language).alias("may")).where("may")
     wanted = {x for g in asked for p in g for x in p.lexemes}
     weights = {"A": WEIGHT_A, "B": WEIGHT_B}
 

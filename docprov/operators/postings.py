@@ -153,10 +153,10 @@ class Postings:
 
         self.tables.transaction(work)
 
-    def search(self, query: str | None, key: str = "id", among: DataFrame | None = None) -> DataFrame:
+    def search(self, query: str | None, key: str = "id", among: DataFrame | None = None, query_language: str = "english") -> DataFrame:
         """(key, text_score) of the documents that match a web-style query, of those whose keys `among` holds if it is
         given; as `fulltext.search` gives them."""
-        asked = fulltext.websearch(query)
+        asked = fulltext.websearch(query, query_language)
         schema = f"`{key}` {self.key_type}, text_score double"
         spark = self.tables.spark
         lexemes = {x for g in asked for p in g for x in p.lexemes}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprov.functions import text, vectors, watermark
-from docprov.operators import audit, chunk, cleanup, fulltext, postings, retrieval, store, views
+from docprov.operators import audit, chunk, cleanup, fulltext, neighbours, postings, retrieval, store, views
 from docprov.session import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +212,15 @@ def subject_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 HIT_SQL = f"SELECT d.source AS sire_subject, d.text, {COSINE} AS similarity FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id, {QUERY_VECTOR}"
 
 
+@query()
+def ann_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector, by an index of cells and codes: tested against comparing with all."""
+    rows = t(spark, sf_dir, "embeddings")
+    own = neighbours.Neighbours(rows, f"{shared_folder(spark)}/cells-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}", "vec_id")
+    found = own.search_all(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding"))
+    return found.select("query", "vec_id", "rank", r6(F.col("similarity")).alias("similarity"))
+
+
 @query(f"SELECT sire_subject, count(*) AS hits, round(avg(similarity), 6) AS mean_similarity FROM ({HIT_SQL}) GROUP BY 1")
 def sire_identity_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.identity_collapse(subject_hits(spark, sf_dir)).withColumn("mean_similarity", r6(F.col("mean_similarity")))

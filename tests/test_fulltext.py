@@ -85,6 +85,29 @@ def corpus(spark):
     return spark.createDataFrame(rows, "id int, title string, content string")
 
 
+SAMPLES = {
+    "german": "aufeinander aufeinand aufeinanderbiss aufeinanderbiss aufeinanderfolgende aufeinanderfolg aufeinanderschlügen aufeinanderschlug aufenthaltes aufenthalt auferlegen auferleg auferstanden auferstand auferstehung aufersteh auferstünde auferstund auffallen auffall kater kat kategorie kategori kategorischen kategor katers kat katholischer kathol kätzchen katzch katzen katz häuser haus",
+    "spanish": "checa chec checoslovaquia checoslovaqui chelo chel chequeo cheque cheques chequ chiapas chiap chicas chic chicharrones chicharron torá tor tórax torax torcer torc toreado tor toreándolo tor torearlo tor toreó tore toreros torer tormentas torment torneo torne tornillos tornill torres torr torrencial torrencial",
+    "french": "continua continu continuait continu continuation continu continuel continuel continuellement continuel continuerait continu continueront continu continuité continu continuons continuon mains main maintenaient mainten maintenant mainten maintenue maintenu maintien maintien maires mair maîtr maîtr maître maîtr majesté majest majestueuse majestu majestueusement majestu majeur majeur majorité major",
+}
+
+
+@pytest.mark.parametrize("language", sorted(SAMPLES))
+def test_stems_of_other_languages(language):
+    own = SAMPLES[language].split()
+    assert {w: fulltext.lexeme(w, language) for w in own[::2]} == dict(zip(own[::2], own[1::2], strict=True))
+    assert fulltext.lexeme({"german": "und", "spanish": "los", "french": "les"}[language], language) is None
+
+
+def test_rows_are_stemmed_by_their_language(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "german", "Die Kategorien der Häuser"), (2, "french", "une continuation majestueuse"), (3, "spanish", "dos tormentas"), (4, "english", "the categories")], "id int, language string, content string")
+    own = postings.Postings(spark, f"file://{tmp_path}/index", "int")
+    own.append(rows, language=F.col("language"))
+    for query, language, want in (("Kategorie Haus", "german", 1), ("continuer", "french", 2), ("tormenta", "spanish", 3), ("category", "english", 4)):
+        assert [r.id for r in own.search(query, query_language=language).collect()] == [want]
+        assert [r.id for r in fulltext.search(rows, query, language=F.col("language"), query_language=language).collect()] == [want]
+
+
 QUERIES = ["policy", "red blue", '"red policy"', 'red -blue', '-red', '"running red" OR green -policy', "title", "the", "", "nowhere red", '"x green" -"policy red" run']
 
 
