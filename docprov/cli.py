@@ -88,7 +88,7 @@ def _ingested(args: argparse.Namespace, tables: Store | None, raw: DataFrame, fa
         return results
 
     results = tables.transaction(work)
-    told = results.select("corpus_id", (F.col("action") != "invalid").alias("valid"), F.array_compact(F.array("error")).alias("errors"), F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("document_id"), "action", *[F.lit(None).cast("long").alias(c) for c in ("chunk_count", "embedded", "pending", "old_chunk_count")])
+    told = results.select("corpus_id", (~F.col("action").isin("invalid", "failed")).alias("valid"), F.array_compact(F.array("error")).alias("errors"), F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("string").alias("document_id"), "action", *[F.lit(None).cast("long").alias(c) for c in ("chunk_count", "embedded", "pending", "old_chunk_count")])
     envelopes.AppendOnly(f"{tables.folder}/envelopes").append(envelopes.of_pipeline(told, envelopes.Context(uuid.uuid4().hex, "cli", args.action), started, _now()))
     return _counted(results), results
 
@@ -168,11 +168,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, provi
         _say(counts)
         if args.action == "ingest_and_embed" and not args.dry_run:
             _say(_embedded(args, tables, provider))
-        return int("invalid" in counts)
+        return int(bool({"invalid", "failed"} & counts.keys()))
     if args.action == "ingest_content":
         counts, _ = _ingested(args, tables, spark.read.text(args.file, wholetext=True).select(F.col("value").alias("raw")), not args.skip_fact_check)
         _say(counts)
-        return int("invalid" in counts)
+        return int(bool({"invalid", "failed"} & counts.keys()))
     have = tables.read("drafts") if tables else spark.createDataFrame([], drafts.COLUMNS)
     if args.action == "parse":
         new = spark.read.text(args.file, wholetext=True).select(F.expr("uuid()").alias("id"), F.lit(args.file.rsplit("/", 1)[-1]).alias("source_filename"), F.col("value").alias("source_text"), F.lit("cli").alias("created_by"))
@@ -197,7 +197,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, provi
         return 1
     counts, results = _ingested(args, tables, taken.select("raw"), False)
     _say(counts)
-    if "invalid" in counts:
+    if {"invalid", "failed"} & counts.keys():
         return 1
     if tables and not args.dry_run:
         corpus = results.select("corpus_id").first().corpus_id

@@ -13,6 +13,7 @@ MARK = r"<!--\s*corpus-watermark:(v\d+):([^:]+):(\d+):([a-f0-9]+)\s*-->"
 ANY_MARK = r"\n?<!--\s*corpus-watermark:[^\n]*-->"
 NAME = "corpus-watermark:"
 NONE, UNSUPPORTED, MISMATCH = "No watermark found in content", "Unsupported watermark version: ", "Signature mismatch — content may have been tampered with"
+CHECK_FAILED, OTHER_PAYLOAD, NO_REASON = "Watermark integrity check failed for chunk sequence ", "Watermark payload mismatch for chunk sequence ", "verification failed"
 # End of the fixed values.
 AT_END = r"\s*\z"
 
@@ -96,3 +97,11 @@ def verified(content: Column, secret: str | None = None) -> Column:
 def self_verified(content: Column, corpus_id: Column, sequence: Column, secret: str | None = None) -> Column:
     """Whether a chunk carries a valid mark of its own document and place."""
     return let(verified(content, secret), lambda v: v.valid & v.corpus_id.eqNullSafe(corpus_id) & v.sequence.eqNullSafe(sequence.cast("long")))
+
+
+def fault(content: Column, corpus_id: Column, sequence: Column, secret: str | None = None) -> Column:
+    """Why a chunk that was just marked doesn't verify as its document's; null if it does."""
+    at = sequence.cast("string")
+    failed = lambda v: F.concat(F.lit(CHECK_FAILED), at, F.lit(": "), F.coalesce(v.reason, F.lit(NO_REASON)))
+    other = F.concat(F.lit(OTHER_PAYLOAD), at, F.lit(" (expected corpus_id="), corpus_id, F.lit(")"))
+    return let(verified(content, secret), lambda v: F.when(~v.valid, failed(v)).when(~(v.corpus_id.eqNullSafe(corpus_id) & v.sequence.eqNullSafe(sequence.cast("long"))), other))

@@ -34,6 +34,17 @@ def test_versions_and_chunks(spark):
     assert {(r.corpus_id, r.version): r.is_active for r in documents.collect()} == {("a", "v1"): False, ("a", "v2"): True, ("b", "v1"): True}
 
 
+def test_documents_whose_marks_do_not_verify_are_not_taken(spark):
+    none = spark.createDataFrame([], cli.DOCUMENTS)
+    got, documents, chunks = run(spark, [doc("a"), doc("a:b")], none)
+    assert got["a"] == ("inserted", None)
+    assert got["a:b"] == ("failed", "Watermark integrity check failed for chunk sequence 0: No watermark found in content")
+    assert [r.corpus_id for r in documents.collect()] == ["a"] and {r.corpus_id for r in chunks.collect()} == {"a"}
+    marked = chunks.withColumn("sequence", F.col("sequence") + 1)
+    kept, faults = ingest.self_checked(marked)
+    assert kept.count() == 0 and faults.first().error == "Watermark payload mismatch for chunk sequence 1 (expected corpus_id=a)"
+
+
 def test_retries():
     calls, pauses = [], []
 
