@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docprov.llm.common import staged
+
 RING = 2**32
 
 
@@ -84,8 +86,9 @@ def shard_rows(docs: DataFrame, shards: int = 8, vnodes: int = 128, slack: float
     check = F.crc32(body.cast("binary"))
     name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), check.cast("string")))
     position = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long")
-    keyed = docs.select(F.col(key), (F.octet_length(body).cast("long") + 1).alias("size"), check.alias("text_crc32"), position.alias("position"))
-    rows = docs.count()
+    # Written once: what follows reads a few numbers a row, and no text.
+    keyed = staged(docs.select(F.col(key), (F.octet_length(body).cast("long") + 1).alias("size"), check.alias("text_crc32"), position.alias("position")))
+    rows = keyed.count()
     bits = max(0, math.ceil(math.log2(max(1, math.sqrt(rows)))))
     ends = np.array([p for p, _ in points])
 
