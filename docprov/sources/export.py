@@ -35,7 +35,7 @@ def receipt(docs: DataFrame, key: str = "session_id") -> DataFrame:
 
 
 def failures_csv(rows: DataFrame, path: str) -> None:
-    rows.where("attention_reason is not null or stage = 'failed'").write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+    rows.where("attention_reason is not null or stage = 'failed'").write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def formatted(similarity: Column, title: Column, corpus: Column, content: Column, path: Column | None = None) -> Column:
