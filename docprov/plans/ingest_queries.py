@@ -12,7 +12,7 @@ from docprov.operators import embed, frontmatter, ingest, workflow
 from docprov.plans.search_queries import query, t
 from docprov.plans.state_queries import DOCS, ROWS, state_rows, status_sql
 from docprov.session import shared_folder
-from docprov.sources import export
+from docprov.sources import export, web
 
 FILL = "Every part of this document was checked by two people."
 
@@ -124,6 +124,17 @@ def formatted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").where("source is not null").select("doc_id", text.sha256(told).alias("told"))
 
 
+VISIBLE = r"regexp_replace(regexp_replace(regexp_replace(html, '<head>.*?</head>|<script.*?</script>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '&#?[a-zA-Z0-9]+;', ' ', 'g')"
+
+
+@query(rf"SELECT page_id, len(regexp_extract_all(html, '<h[1-6]'))::BIGINT AS headings, len(regexp_extract_all(html, '<a href='))::BIGINT AS links, sha256(regexp_replace({VISIBLE}, '[^\p{{L}}]', '', 'g')) AS letters FROM pages")
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown: all visible letters in order, headings and links."""
+    made = web.documents(t(spark, sf_dir, "pages"))
+    letters = F.regexp_replace(F.regexp_replace("markdown", r"\]\([^)]*\)", "]"), r"[^\p{L}]", "")
+    return made.select("page_id", F.regexp_count("markdown", F.lit(r"(?m)^#{1,6} ")).cast("long").alias("headings"), F.regexp_count("markdown", F.lit(r"\]\(")).cast("long").alias("links"), text.sha256(letters).alias("letters"))
+
+
 @query(ROWS + "SELECT id, stage FROM rows_ WHERE is_stale AND stage = 'chunk' AND framework = 'BUILDING' AND (contains(lower(source_filename), 'urgent') OR contains(lower(session_name), 'urgent') OR contains(lower(title), 'urgent') OR contains(lower(framework), 'urgent'))")
 def dashboard_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All filters of the dashboard at once, a needle of any case among them."""
