@@ -1,7 +1,7 @@
 """Line-first quality rules.
 
-Each line of a text is judged on its own by punctuation, navigation and boilerplate rules;
-failing lines are removed; a document that loses too much of its text is rejected. Word
+Each line of a text is judged on its own by punctuation, navigation and boilerplate rules
+(phrases and words of English, German, French and Spanish); failing lines are removed; a document that loses too much of its text is rejected. Word
 and line counts of the whole text are given beside the verdict.
 
 Defined results: null and empty texts have counts of 0, keep no text and are rejected
@@ -26,8 +26,20 @@ WORDS = re.compile(WORD)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 # What navigation and boilerplate lines consist of.
 SEPARATORS = {"|", "»", "›", "·", "•", "/", ">", "::", "→"}
-NAVIGATION = {"home", "menu", "login", "log", "in", "out", "sign", "up", "register", "search", "sitemap", "next", "previous", "prev", "back", "top", "share", "tweet", "print", "contact", "about", "us", "faq", "help", "rss", "skip", "to", "content", "main"}
-BOILERPLATE = re.compile(r"(?i:all rights reserved|cookie (?:policy|settings|notice)|use of cookies|we use cookies|privacy policy|terms (?:of (?:use|service)|and conditions)|subscribe to our|newsletter|enable javascript|lorem ipsum|click here|read more\b|powered by|©|copyright \(c\)|licensed under|permission is hereby granted|SPDX-License-Identifier|provided \"as is\")")
+NAVIGATION = set(
+    "home menu login log sign register search sitemap next previous prev back top share tweet print contact about faq help rss skip content main "
+    "start startseite menü kontakt suche suchen anmelden abmelden registrieren weiter zurück übersicht impressum datenschutz hilfe teilen drucken inhalt "
+    "accueil recherche rechercher connexion déconnexion inscription suivant précédent retour aide partager imprimer contenu "
+    "inicio contacto buscar acceder registrarse entrar salir siguiente anterior volver ayuda compartir imprimir nosotros contenido".split()
+)
+#: Words that stand between those, and are none by themselves.
+JOINING = set("plan site propos mapa sitio acerca in out up us to über uns zum zur à du de des la le les del el".split())
+BOILERPLATE = re.compile(
+    r"(?i:all rights reserved|cookie (?:policy|settings|notice)|use of cookies|we use cookies|privacy policy|terms (?:of (?:use|service)|and conditions)|subscribe to our|newsletter|enable javascript|lorem ipsum|click here|read more\b|powered by|©|copyright \(c\)|licensed under|permission is hereby granted|SPDX-License-Identifier|provided \"as is\""
+    r"|alle rechte vorbehalten|wir verwenden cookies|verwendung von cookies|cookie-(?:richtlinie|einstellungen|hinweis)|datenschutzerklärung|datenschutzhinweise|nutzungsbedingungen|allgemeine geschäftsbedingungen|hier klicken|klicken sie hier|mehr erfahren\b|mehr lesen\b|weiterlesen\b|jetzt abonnieren"
+    r"|tous droits réservés|nous utilisons des cookies|utilisation de cookies|politique de (?:confidentialité|cookies)|mentions légales|conditions (?:générales|d.utilisation)|cliquez ici|lire la suite|en savoir plus|abonnez-vous"
+    r"|todos los derechos reservados|(?:utilizamos|usamos) cookies|uso de cookies|política de (?:privacidad|cookies)|aviso legal|términos (?:y condiciones|de uso)|haga clic aquí|haz clic aquí|leer más\b|suscríb(?:ete|ase)\b)"
+)
 SENTENCE = re.compile(r"[.!?]+[\"'”’»)]*\s+")
 CLOSERS = "\"'”’»)]"
 # End of the fixed values.
@@ -45,6 +57,7 @@ class Limits:
     lost_text: float = 0.3
     short_line: int = 20
     long_sentence: int = 80
+    bare_marks: int = 5
     boilerplate: float = 0.5
 
 
@@ -84,8 +97,12 @@ def line_fails(words: list[str], line: str, limits: Limits) -> str:
     bars = sum(w in SEPARATORS for w in words)
     if bars >= 2 and bars > limits.separators * n:
         return "navigation"
-    if n <= 8 and all(w.strip(".,:;!?").lower() in NAVIGATION or w in SEPARATORS for w in words):
-        return "navigation"
+    if n <= 8:
+        bare = [w.strip(".,:;!?").lower() for w in words if w not in SEPARATORS]
+        if any(w in NAVIGATION for w in bare) and all(w in NAVIGATION or w in JOINING for w in bare):
+            return "navigation"
+    if sum(map(len, words)) >= limits.bare_marks and not any(c.isalnum() for c in line):
+        return "punctuation"
     if SYMBOLS.search(line):
         marked = sum(1 for w in words if w[-1] in "#*$%&|<>")
         if marked >= 2 and marked > limits.symbol_words * n:

@@ -17,15 +17,21 @@ def _quoted(pattern: str) -> str:
 
 
 def quality_sql(limits: Limits = Limits()) -> str:
-    seps, nav, closers = _listed(quality.SEPARATORS), _listed(quality.NAVIGATION), _quoted(r"[\"'”’»)\]]")
+    seps, nav, joining, closers = _listed(quality.SEPARATORS), _listed(quality.NAVIGATION), _listed(quality.JOINING), _quoted(r"[\"'”’»)\]]")
+    phrase, ends = _quoted(quality.BOILERPLATE.pattern), _quoted(quality.SENTENCE.pattern)
+    # Words of the sentences that hold a phrase; of a very long one, as many as lie beside its phrases at most.
+    sentences = f"string_split(regexp_replace(line, '({ends})', '\\1' || chr(1), 'g'), chr(1))"
+    marked = f"list_sum(list_transform(list_filter({sentences}, lambda s: regexp_matches(s, '{phrase}')), lambda s: CASE WHEN len(regexp_extract_all(s, '{WORD}')) <= {limits.long_sentence} THEN len(regexp_extract_all(s, '{WORD}')) ELSE {limits.short_line} * len(regexp_extract_all(s, '{phrase}')) END))"
+    bare = f"list_transform(list_filter(w, lambda x: x NOT IN {seps}), lambda x: lower(trim(x, '.,:;!?')))"
     return f"""WITH lines AS (
   SELECT doc_id, pos, line, regexp_extract_all(line, '{WORD}') AS w FROM (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
 counted AS (SELECT *, len(w) AS n, length(array_to_string(w, '')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again,
   len(list_filter(w, lambda x: x IN {seps})) AS bars FROM lines WHERE len(w) > 0),
-judged AS (SELECT *, again OR regexp_matches(line, '{_quoted(quality.BOILERPLATE.pattern)}')
+judged AS (SELECT *, again OR regexp_matches(line, '{phrase}') AND (n < {limits.short_line} OR {marked} > {limits.boilerplate}::DOUBLE * n)
   OR (bars >= 2 AND bars > {limits.separators}::DOUBLE * n)
-  OR (n <= 8 AND len(list_filter(w, lambda x: lower(trim(x, '.,:;!?')) IN {nav} OR x IN {seps})) = n)
+  OR (n <= 8 AND len(list_filter({bare}, lambda x: x IN {nav})) > 0 AND len(list_filter({bare}, lambda x: x IN {nav} OR x IN {joining})) = len({bare}))
+  OR (chars >= {limits.bare_marks} AND NOT regexp_matches(line, '[\\p{{L}}\\p{{N}}]'))
   OR (len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) >= 2 AND len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) > {limits.symbol_words}::DOUBLE * n)
   OR (len(list_filter(w, lambda x: regexp_matches(x, '!!{closers}*$'))) >= 2 AND len(list_filter(w, lambda x: regexp_matches(x, '!!{closers}*$'))) > {limits.symbol_words}::DOUBLE * n)
   OR (n >= 3 AND upper(line) = line AND length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) >= 10 AND length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) > {limits.upper_letters}::DOUBLE * length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')))

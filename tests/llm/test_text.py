@@ -69,6 +69,51 @@ def test_long_boilerplate_lines_fail():
         assert len(line.split()) > 20 and quality.judge(f"{prose}\n{line}")["clean_text"] == prose
 
 
+PROSE = "\n".join(" ".join(f"Word{i}x{j} goes on." for i in range(10)) for j in range(9))
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Alle Rechte vorbehalten.", "Tous droits r\u00e9serv\u00e9s", "Wir verwenden Cookies. Mehr erfahren", "Inicio Contacto Buscar", "Startseite | \u00dcber uns | Kontakt", "Accueil Plan du site Contact", "Utilizamos cookies para mejorar el sitio",
+        "..........", "-----", "***** *****", "Impressum Datenschutz", "Mentions l\u00e9gales", "T\u00e9rminos y condiciones",
+    ],
+)
+def test_lines_of_four_languages_fail(line):
+    assert quality.judge(f"{PROSE}\n{line}")["clean_text"] == PROSE
+
+
+@pytest.mark.parametrize("line", ["De la", "To", "In.", "...", "La suite du chapitre", "Der Kontakt blieb aus.", "Sie fand den Inhalt gut", "1.", "El sitio"])
+def test_short_prose_stays(line):
+    assert quality.judge(f"{PROSE}\n{line}")["lost_lines"] == 0
+
+
+@pytest.mark.parametrize("phrase", ["alle Rechte vorbehalten", "tous droits r\u00e9serv\u00e9s", "pol\u00edtica de privacidad"])
+def test_prose_that_mentions_a_phrase_stays(phrase):
+    words = [f"word{i}" + "." * (i % 12 == 11) for i in range(300)]
+    assert quality.judge(" ".join([*words[:150], phrase, *words[150:]]))["lost_chars"] == 0
+
+
+def test_quality_sql_says_the_same_of_odd_lines(spark, tmp_path):
+    from docprov.llm.sql import quality_sql
+    from tests.compare import connection, difference
+
+    long = " ".join(f"w{i}" + "." * (i % 9 == 8) for i in range(60))
+    lines = ["Alle Rechte vorbehalten.", "Inicio Contacto Buscar", "-----", "De la", f"{long} all rights reserved", f"All rights reserved privacy policy {long[:80]}. " + "all rights reserved for us and all others here. " * 4, "...", "Home | To", "to in", f"Word. {long} \u00a9", ""]
+    texts = [(i, PROSE + "\n" + "\n".join(lines[: i + 1])) for i in range(len(lines))] + [(50 + i, x) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/w")
+    import glob
+    import shutil
+
+    shutil.move(glob.glob(f"{tmp_path}/w/*.parquet")[0], f"{tmp_path}/documents.parquet")
+    assert difference(quality.quality(docs, with_text=False), connection(str(tmp_path)), quality_sql()) == ""
+
+
+def test_quality_of_an_empty_table(spark):
+    assert quality.quality(empty(spark)).collect() == []
+
+
 def test_quality_agrees_with_the_labels(spark, sf):
     judged = {r.doc_id: r for r in quality.quality(table(spark, sf, "documents")).collect()}
     for r in table(spark, sf, "labels").collect():
