@@ -6,6 +6,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docprov.llm import mixing, packing, queries, sharding
 from docprov.llm.common import table
@@ -93,6 +94,13 @@ def test_shards_hold_equal_counts_without_gaps(spark, sf):
         assert sorted((r.shard, r.slot) for r in rows) == sorted((s, i) for s, c in count.items() for i in range(c))
 
 
+def test_one_more_shard_moves_few_keys(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    homes = [{r.doc_id: r.shard for r in sharding.shard_rows(docs, n).select("doc_id", "shard").collect()} for n in (8, 9)]
+    moved = [(homes[0][i], homes[1][i]) for i in homes[0] if homes[0][i] != homes[1][i]]
+    assert len(moved) <= 0.14 * 20_000 and sum(b != 8 for _, b in moved) <= 0.03 * 20_000
+
+
 def test_shard_digests(spark):
     rows = sharding.shard_rows(frame(spark)).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == Counter((i, len((t or "").encode()) + 1, crc32((t or "").encode())) for i, t, _, _ in ROWS)
