@@ -40,6 +40,10 @@ BOILERPLATE = re.compile(
     r"|tous droits réservés|nous utilisons des cookies|utilisation de cookies|politique de (?:confidentialité|cookies)|mentions légales|conditions (?:générales|d.utilisation)|cliquez ici|lire la suite|en savoir plus|abonnez-vous"
     r"|todos los derechos reservados|(?:utilizamos|usamos) cookies|uso de cookies|política de (?:privacidad|cookies)|aviso legal|términos (?:y condiciones|de uso)|haga clic aquí|haz clic aquí|leer más\b|suscríb(?:ete|ase)\b)"
 )
+#: Letters of which each of these phrases holds some, in lower case.
+TELLING = ("rights reserved", "cookie", "privacy", "terms ", "subscribe", "newsletter", "javascript", "lorem", "click here", "read more", "powered by", "©", "copyright", "licensed", "permission", "spdx", "provided", "rechte vorbehalten", "datenschutz", "bedingungen", "klicken", "mehr erfahren", "mehr lesen", "weiterlesen", "abonn", "droits", "politique", "mentions", "conditions", "cliquez", "lire la", "savoir plus", "derechos", "política", "aviso", "términos", "clic aqu", "leer más", "suscríb")
+#: Letters whose case-insensitive likes are of other alphabets or signs.
+ODD_CASE = "ıſKİ"
 SENTENCE = re.compile(r"[.!?]+[\"'”’»)]*\s+")
 CLOSERS = "\"'”’»)]"
 # End of the fixed values.
@@ -89,10 +93,16 @@ def boilerplate(n: int, line: str, limits: Limits) -> bool:
     return marked > limits.boilerplate * n
 
 
-def line_fails(words: list[str], line: str, limits: Limits) -> str:
-    """The first rule that a line with words breaks, or an empty string."""
+def may_hold_phrases(text: str) -> bool:
+    """Whether a text can hold a phrase of boilerplate: a cheap test that spares most texts the patterns."""
+    low = text.lower()
+    return any(t in low for t in TELLING) or any(c in text for c in ODD_CASE)
+
+
+def line_fails(words: list[str], line: str, limits: Limits, phrases: bool = True) -> str:
+    """The first rule that a line with words breaks, or an empty string; boilerplate is looked for if there may be some."""
     n = len(words)
-    if boilerplate(n, line, limits):
+    if phrases and boilerplate(n, line, limits):
         return "boilerplate"
     bars = sum(w in SEPARATORS for w in words)
     if bars >= 2 and bars > limits.separators * n:
@@ -101,7 +111,7 @@ def line_fails(words: list[str], line: str, limits: Limits) -> str:
         bare = [w.strip(".,:;!?").lower() for w in words if w not in SEPARATORS]
         if any(w in NAVIGATION for w in bare) and all(w in NAVIGATION or w in JOINING for w in bare):
             return "navigation"
-    if sum(map(len, words)) >= limits.bare_marks and not any(c.isalnum() for c in line):
+    if not words[0][0].isalnum() and sum(map(len, words)) >= limits.bare_marks and not any(c.isalnum() for c in line):
         return "punctuation"
     if SYMBOLS.search(line):
         marked = sum(1 for w in words if w[-1] in "#*$%&|<>")
@@ -136,6 +146,7 @@ def judge(text: str, limits: Limits = Limits()) -> dict:
     words = WORDS.findall(text)
     chars, seen, duplicates, lost, rules = sum(map(len, words)), set(), 0, 0, Counter()
     kept: list[str] = []
+    phrases = may_hold_phrases(text)
     for line in text.split("\n"):
         own = WORDS.findall(line)
         if not own:
@@ -144,7 +155,7 @@ def judge(text: str, limits: Limits = Limits()) -> dict:
         again = line in seen
         duplicates += again
         seen.add(line)
-        rule = line_fails(own, line, limits) or ("repeated" if again else "")
+        rule = line_fails(own, line, limits, phrases) or ("repeated" if again else "")
         if rule:
             rules[rule] += 1
             lost += sum(map(len, own))
