@@ -30,7 +30,8 @@ import json
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,12 +41,27 @@ from pyspark.sql import functions as F
 
 from docprov.llm.common import map_columns, staged
 
-CAPACITY, GROUP, END = 2048, 8192, 0
+CAPACITY, GROUP = 2048, 8192
+#: The id that closes each document.
+CLOSING = np.zeros(1, "<u4").tobytes()
 #: Runs and words whose ids are remembered, and the longest run that is.
 REMEMBERED, LONGEST = 300_000, 64
-#: A run whose parts are words of their own: no apostrophe, no mark of a special token, no letter that changes its neighbours.
-PLAIN = re.compile(r"([!-&(-;=-@\[-`{}~]*)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-;=-@\[-`{}~]*)")
-DIGIT = re.compile(r"[0-9]")
+#: A run whose parts are words of their own: no digit, no apostrophe, no mark of a special token, no letter that changes its neighbours.
+PLAIN = re.compile(r"([!-&(-/:;=-@\[-`{}~]*)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{}~]*)")
+
+
+class Remembered(dict):
+    """Ids by run, worked out where a run is new; of long runs they are not kept."""
+
+    def __init__(self, of: Callable[[bytes], bytes]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self.of(run)
+        if len(run) <= LONGEST:
+            self[run] = ids
+        return ids
 
 
 class Ids:
@@ -59,38 +75,34 @@ class Ids:
             own = json.load(f)
         # The same vocabulary for what is a lower-case word already.
         self.word = Tokenizer.from_str(json.dumps(own | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}))
-        self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.runs = Remembered(self._run)
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words[word] = array("I", self.word.encode(word, add_special_tokens=False).ids).tobytes()
+        return ids
 
     def _run(self, run: bytes) -> bytes:
         text = run.decode()
         m = PLAIN.fullmatch(text)
-        if m is None or DIGIT.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = b""
-        for part in m.groups():
-            low = part.lower()
-            ids = self.words.get(low)
-            if ids is None:
-                ids = self.words[low] = np.array(self.word.encode(low, add_special_tokens=False).ids, "<u4").tobytes()
-            out += ids
-        return out
+        if m is None:
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        words, (before, word, behind) = self.words, m.groups()
+        word = word.lower()
+        ids = words.get(word) or self._word(word)
+        if before:
+            ids = (words.get(before) or self._word(before)) + ids
+        return ids + (words.get(behind) or self._word(behind)) if behind else ids
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Ids of a text and the closing id."""
-        out, runs = [], self.runs
-        for run in (text or "").encode().split():
-            ids = runs.get(run)
-            if ids is None:
-                ids = self._run(run)
-                if len(run) <= LONGEST:
-                    runs[run] = ids
-            out.append(ids)
+        runs = self.runs
+        ids = b"".join(map(runs.__getitem__, (text or "").encode().split()))
         if len(runs) > REMEMBERED:
             runs.clear()
         if len(self.words) > REMEMBERED:
-            self.words = {"": b""}
-        return np.append(np.frombuffer(b"".join(out), "<u4"), np.uint32(END)).astype("<u4")
+            self.words.clear()
+        return np.frombuffer(ids + CLOSING, "<u4")
 
 
 @lru_cache(maxsize=2)
