@@ -76,7 +76,7 @@ def embedded(chunks: DataFrame, provider: Provider, dimensions: int = DIMENSIONS
 
 
 def whole_batches(limit: int, batch: int = 50) -> int:
-    """A limit of chunks as the reference keeps it: the batch in which it is reached is embedded whole."""
+    """A limit of chunks in whole batches: the one in which it is reached is embedded whole."""
     return -(-limit // batch) * batch
 
 
