@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docprov.functions import text
+from docprov.functions.text import let
+
 SCHEMA = (
     "struct<corpus_id: string, title: string, tier: string, version: string, frameworks: array<string>, industries: array<string>, segments: array<string>, "
     "source_url: string, source_publisher: string, last_verified: string, content_type: string, language: string, "
@@ -18,6 +21,10 @@ SCHEMA = (
 )
 REQUIRED = ("corpus_id", "title", "tier", "version")
 HEADER = re.compile(r"\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\Z", re.S)
+#: The same for Spark, up to where the body begins; white space as Python strips it; a second-level heading in a body.
+FRONT = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85" + "".join(x for x in text.BLANKS if x not in "\t\n\x0b\x0c\r \ufeff")
+HEADED = rf"(?:\A|\n)##[{BLANKS}]"
 ENTRY = re.compile(r"^(\s*)([A-Za-z_][\w-]*):[ \t]*(.*?)\s*$")
 LISTS, NESTED = ("frameworks", "industries", "segments"), {"fact_check": (), "sire": ("included", "excluded", "relevant"), "license": ()}
 MIN_BODY = 50
@@ -52,43 +59,59 @@ def header_of(block: str) -> dict:
     return out
 
 
-def parsed(raw: str | None) -> dict:
-    """The document's fields, or an error: the first of no delimiters, a missing field, a
-    short body, no second-level heading."""
-    none = dict.fromkeys(("corpus_id", "title", "tier", "version", "frameworks", "industries", "segments", "source_url", "source_publisher", "last_verified", "content_type", "language", "fact_check", "sire", "license", "content", "error"))
-    m = HEADER.match(raw or "")
-    if not m:
+FIELDS = ("corpus_id", "title", "tier", "version", "frameworks", "industries", "segments", "source_url", "source_publisher", "last_verified", "content_type", "language", "fact_check", "sire", "license", "content", "error")
+
+
+def fields_of(head: str | None, size: int, headed: bool) -> dict:
+    """The fields of a header and no content, or an error: the first of no delimiters, a missing field, a
+    short body, no second-level heading. Of the body only its size and whether it has such a heading are asked for."""
+    none = dict.fromkeys(FIELDS)
+    if head is None:
         return none | {"error": "missing frontmatter delimiters"}
-    found, body = header_of(m[1]), m[2].strip()
+    found = header_of(head)
     missing = next((k for k in REQUIRED if not found.get(k)), None)
     if missing:
         return none | {"error": f"Missing required frontmatter field: {missing}"}
-    if len(body) < MIN_BODY:
-        return none | {"error": f"Content is too short: {len(body)} characters"}
-    if not re.search(r"^##\s", body, re.M):
+    if size < MIN_BODY:
+        return none | {"error": f"Content is too short: {size} characters"}
+    if not headed:
         return none | {"error": "Content has no second-level heading"}
-    text = lambda v: v if isinstance(v, str) else None
+    plain = lambda v: v if isinstance(v, str) else None
     many = lambda v: v if isinstance(v, list) else []
-    out = none | {k: text(found.get(k)) for k in ("corpus_id", "title", "tier", "version", "source_url", "source_publisher", "last_verified")}
+    out = none | {k: plain(found.get(k)) for k in ("corpus_id", "title", "tier", "version", "source_url", "source_publisher", "last_verified")}
     out |= {k: many(found.get(k)) for k in LISTS}
-    out |= {"content_type": text(found.get("content_type")) or "prose", "language": text(found.get("language")) or "en", "content": body}
+    out |= {"content_type": plain(found.get("content_type")) or "prose", "language": plain(found.get("language")) or "en"}
     for name, lists in NESTED.items():
         own = found.get(name)
         if isinstance(own, dict) and own:
             fields = {"fact_check": ("status", "checked_at", "checked_by", "notes"), "sire": ("subject", *lists), "license": ("status", "notes", "output_policy")}[name]
-            out[name] = {f: many(own.get(f)) if f in lists else text(own.get(f)) for f in fields}
+            out[name] = {f: many(own.get(f)) if f in lists else plain(own.get(f)) for f in fields}
     return out
 
 
+def parsed(raw: str | None) -> dict:
+    """The document's fields, or an error."""
+    m = HEADER.match(raw or "")
+    if not m:
+        return fields_of(None, 0, False)
+    body = m[2].strip()
+    out = fields_of(m[1], len(body), bool(re.search(r"^##\s", body, re.M)))
+    return out if out["error"] else out | {"content": body}
+
+
 def parse(raw: Column) -> Column:
-    """A struct of the document's fields and `error`."""
+    """A struct of the document's fields and `error`. Only the header goes to Python; the body stays in the plan."""
 
     @F.pandas_udf(SCHEMA)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([parsed(x) for x in part], columns=[f.split(":")[0] for f in ("corpus_id", "title", "tier", "version", "frameworks", "industries", "segments", "source_url", "source_publisher", "last_verified", "content_type", "language", "fact_check", "sire", "license", "content", "error")])
+            yield pd.DataFrame([fields_of(*x) for x in zip(*part, strict=True)], columns=list(FIELDS))
 
-    return run(raw)
+    front = F.regexp_extract(raw, FRONT, 0)
+    head = F.when(front != "", F.regexp_extract(raw, FRONT, 1))
+    body = F.btrim(F.substring(raw, F.length(front) + 1, F.lit(2**31 - 1)), F.lit(BLANKS))
+    out = run(head, F.coalesce(F.length(body), F.lit(0)), F.coalesce(body.rlike(HEADED), F.lit(False)))
+    return let(out, lambda own: own.withField("content", F.when(own.error.isNull(), body)))
 
 
 def parse_documents(raw: DataFrame, column: str = "raw") -> DataFrame:
