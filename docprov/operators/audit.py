@@ -40,6 +40,8 @@ def rollup(audits: DataFrame, key: str = "document_id") -> DataFrame:
 def warning_summary(audits: DataFrame, key: str = "document_id") -> DataFrame:
     """Warnings of the rows with omissions, one at least each, and the first three of all."""
     own = F.filter("warnings", lambda w: F.trim(w) != "")
-    bad = audits.where("omission_detected")
-    ordered = F.array_sort(F.collect_list(F.struct("sequence", own.alias("w"))))
-    return bad.groupBy(key).agg(F.sum(F.greatest(F.size(own), F.lit(1))).cast("long").alias("warning_count"), F.slice(F.flatten(F.transform(ordered, lambda x: x.w)), 1, 3).alias("preview"))
+    # Not by a filter, which would be pushed down and work out the ratios a second time.
+    bad = F.col("omission_detected")
+    ordered = F.array_sort(F.collect_list(F.when(bad, F.struct("sequence", own.alias("w")))))
+    told = audits.groupBy(key).agg(F.sum(F.when(bad, F.greatest(F.size(own), F.lit(1)))).cast("long").alias("warning_count"), F.slice(F.flatten(F.transform(ordered, lambda x: x.w)), 1, 3).alias("preview"))
+    return told.where("warning_count is not null")
