@@ -12,7 +12,7 @@ MIN_COVERAGE, MIN_LENGTH = 0.82, 0.55
 
 def lexemes(text: Column) -> Column:
     """Distinct lower-case ASCII words of three characters or more."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: F.length(w) >= 3))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{3,})"), 1))
 
 
 def coverage(source: Column, other: Column) -> Column:
