@@ -144,3 +144,9 @@ def hash_filter(hashes: DataFrame) -> np.ndarray:
 def passes(bitmap: np.ndarray, h: int) -> bool:
     at = h & (64 * len(bitmap) - 1)
     return bool(bitmap[at >> 6] >> (at & 63) & 1)
+
+
+def passing(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of many hashes pass."""
+    at = hashes & (64 * len(bitmap) - 1)
+    return (bitmap[at >> 6] >> (at & 63) & 1).astype(bool)

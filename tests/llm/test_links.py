@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docprov.llm import jaccard, ranges
@@ -120,6 +121,58 @@ def test_overlaps_are_exact_and_small(monkeypatch, columns):
     assert all(met[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets)))
 
 
+def test_words_are_hashed_as_they_are_split():
+    """Many texts at once: white space of all kinds, texts that begin and end anywhere, words longer than the table."""
+    rng = random.Random(6)
+    spaces = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "  "]
+    words = ["a", "A", "ab", "é", "É", "\x1c", "\x85x", "\xa0", "w" * 63, "w" * 64, "w" * 65, "W" * 65, "v" * 65 + "a", "v" * 65 + "b", "\0", "a\0"]
+    texts = [None, "", " ", "\n\n", "a", " a", "a "] + ["".join(rng.choice(words) + rng.choice(spaces) for _ in range(rng.randrange(14))).strip(rng.choice(spaces)) for _ in range(400)]
+    sets = list(jaccard.Shingles().each(pa.array(texts).slice(1)))
+    hashes = {}
+    for text, own in zip(texts[1:], sets, strict=True):
+        found = text.encode().lower().split()
+        width = min(5, len(found))
+        want = {tuple(found[i : i + width]) for i in range(len(found) - width + 1)} if found else set()
+        assert len(own) == len(want) and (own[1:] > own[:-1]).all()
+        assert np.array_equal(own, jaccard.Shingles().of(text))
+        hashes.setdefault(frozenset(want), own.tobytes())
+        assert hashes[frozenset(want)] == own.tobytes()
+    assert len(set(hashes.values())) == len(hashes)
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_near_copies_of_each_other_are_not_all_compared(blocks):
+    """The same components as all pairs give, from about one comparison a set and stranger."""
+    rng = np.random.default_rng(8)
+    for k in (60, 240):
+        base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+        sets = []
+        for _ in range(k):
+            own = base.copy()
+            own[rng.permutation(100)[:4]] = rng.integers(0, 2**63, 4, dtype=np.uint64)
+            sets.append(np.unique(own))
+        sets.append(np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64)))
+        block = np.arange(k + 1) % blocks
+        roots, pairs = jaccard.forest(sets, 80, np.arange(k + 1), block)
+        assert roots.tolist() == [0] * k + [k]
+        assert pairs <= 3 * k
+
+
+def test_lists_hold_what_several_prefixes_hold(spark, monkeypatch):
+    """However few entries a bucket takes."""
+    rng = np.random.default_rng(9)
+    rows = [(i, 50 + i, 1 + i % 3, [int(x) for x in np.unique(rng.integers(-(2**62), 2**62, 6))] + [int(x) for x in rng.choice(60, 5, replace=False)]) for i in range(80)]
+    holders = Counter(x for *_, prefix in rows for x in prefix)
+    least = {x: min(r[0] for r in rows if x in r[3]) for x in holders}
+    want = Counter((x, c, n, s, at, holders[x], least[x]) for c, n, s, prefix in rows for at, x in enumerate(prefix) if holders[x] > 1)
+    reps = spark.createDataFrame(rows, "cls long, n long, shared int, prefix array<long>").repartition(3)
+    for bucket in (16, jaccard.BUCKET):
+        monkeypatch.setattr(jaccard, "BUCKET", bucket)
+        got = jaccard.shared_lists(reps).select("token", "cls", "n", "shared", "place", "holders", "least")
+        assert Counter(map(tuple, got.collect())) == want
+    assert jaccard.shared_lists(reps.where("cls < 0")).collect() == []
+
+
 def plain_links(rows, cosine=0.98):
     unit = {}
     for i, (_, label, v) in enumerate(rows):
